@@ -11,6 +11,9 @@ from eventlens.schema import EVENT_SCHEMA, complete
 
 log = logging.getLogger(__name__)
 
+# JSON text keeps whole microseconds.
+JSON_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Events of a parquet or JSON-lines folder in the event schema; absent columns are null."""
@@ -21,6 +24,11 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     raise ValueError(f"unknown format: {fmt}")
 
 
+def write_events(events: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
+    """Events as a parquet or JSON-lines folder."""
+    events.write.mode(mode).options(**(JSON_TIME if fmt == "json" else {})).format(fmt).save(path)
+
+
 def warn_if_empty(events: DataFrame) -> DataFrame:
     """The same table, with a warning in the log when it has no row."""
     if events.isEmpty():
@@ -31,7 +39,7 @@ def warn_if_empty(events: DataFrame) -> DataFrame:
 def event_records(df: DataFrame, columns: list[str], source: str = "hybrid_detector") -> DataFrame:
     """(event, timestamp, source): each row as a JSON record with the time and origin of the request."""
     return df.select(
-        F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("event"),
+        F.to_json(F.struct(*columns), {"ignoreNullFields": "false", **JSON_TIME}).alias("event"),
         F.current_timestamp().alias("timestamp"),
         F.lit(source).alias("source"),
     )

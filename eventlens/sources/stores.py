@@ -36,7 +36,7 @@ def find_incident(spark: SparkSession, path: str, incident: str) -> DataFrame:
     return get_incident(read_incidents(spark, path), incident)
 
 
-def scan_incident_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_incident_files(spark: SparkSession, path: str, files: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(incidents, unreadable lines) of a folder of JSON lines; files of other names are skipped."""
     broken = "__broken"
     schema = "id string, title string, severity string, timestamp string, description string, "
@@ -45,7 +45,7 @@ def scan_incident_files(spark: SparkSession, path: str) -> tuple[DataFrame, Data
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", broken)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", files)
         .option("recursiveFileLookup", "true")
         .json(path)
     )
