@@ -194,8 +194,8 @@ def _(spark, sf):
 query("field_entropies", union(*SINGLE_ENTROPIES))(
     _only(lambda df: features.field_features(df, BY, ["entropy"]))
 )
-query("joint_entropies", union(*JOINT))(_only(lambda df: features.joint_features(df, BY)))
-query("per_key_stats", union(*KEYS))(_only(lambda df: features.key_features(df, BY)))
+query("joint_entropies", union(*JOINT))(_only(lambda df: features.pair_features(df, BY, ["entropy"])))
+query("per_key_stats", union(*KEYS))(_only(lambda df: features.pair_features(df, BY, ["correlation"])))
 query("text_features", union(*LENGTHS, *RATIOS, *TEXT_ENTROPIES))(
     _only(
         lambda df: features.aggregate_features(df, BY, ["text"]).unionByName(features.field_features(df, BY, ["text"])),
@@ -269,16 +269,16 @@ def _rounded_features(long):
 
 
 query("event_transitions", union(*transitions("event_type", "event")))(
-    _only(lambda df: features.transition_features(df, BY, kinds=["event"]))
+    _only(lambda df: features.sequence_features(df, BY, kinds=["event"]))
 )
 query("command_transitions", union(*transitions("command", "command")))(
-    _only(lambda df: features.transition_features(df, BY, kinds=["command"]))
+    _only(lambda df: features.sequence_features(df, BY, kinds=["command"]))
 )
 
 
 @query("time_gaps", union(*GAPS))
 def _(spark, sf):
-    return _rounded_features(features.gap_features(scoped(spark, sf), BY))
+    return _rounded_features(features.sequence_features(scoped(spark, sf), BY, kinds=["gap"]))
 
 
 @query(

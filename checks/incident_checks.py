@@ -266,7 +266,7 @@ def _(spark, sf):
 @query("registry_list", f"WITH {_LATEST} SELECT version_id, timestamp FROM la WHERE price >= 100000")
 def _(spark, sf):
     latest = registry.latest_records(_log(spark, sf), "version_id", tie="o_orderkey")
-    return registry.list_records(latest, F.col("metrics")["price"] >= 100000).select("version_id", "timestamp")
+    return registry.list_records(latest, "version_id", F.col("metrics")["price"] >= 100000).select("version_id", "timestamp")
 
 
 @query(
@@ -300,26 +300,36 @@ def _experiments(spark, sf):
     return registry.experiment_records(customers), links.select("experiment_id", "version_id", "o_orderkey")
 
 
-@query(
-    "experiment_versions",
-    f"WITH {_LOG}, {_EXPERIMENTS}, li AS (SELECT DISTINCT experiment_id, version_id FROM ex JOIN lg ON o_custkey = c_custkey) "
-    "SELECT ex.experiment_id, name, 'created' AS status, coalesce(string_agg(version_id, ',' ORDER BY version_id), '') AS versions "
-    "FROM ex LEFT JOIN li USING (experiment_id) GROUP BY ALL",
-)
+_LINKS = f"{_LOG}, {_EXPERIMENTS}, li AS (SELECT experiment_id, version_id, o_orderkey % 2 AS fresh FROM ex JOIN lg ON o_custkey = c_custkey)"
+
+
+def _half(links, rest):
+    return links.where(F.col("o_orderkey") % 2 == rest)
+
+
+@query("experiment_versions", f"WITH {_LINKS} SELECT DISTINCT experiment_id, version_id FROM li")
 def _(spark, sf):
     experiments, links = _experiments(spark, sf)
-    added = registry.add_versions(experiments, links)
-    return added.select("experiment_id", "name", "status", F.array_join(F.array_sort("versions"), ",").alias("versions"))
+    return registry.add_versions(_half(links, 0), _half(links, 1), experiments)
 
 
 @query(
     "experiment_new_links",
-    f"WITH {_LOG}, {_EXPERIMENTS}, li AS (SELECT experiment_id, version_id, max(o_orderkey % 2) AS fresh, min(o_orderkey % 2) AS known "
-    "FROM ex JOIN lg ON o_custkey = c_custkey GROUP BY ALL) SELECT experiment_id, version_id FROM li WHERE known = 1",
+    f"WITH {_LINKS} SELECT experiment_id, version_id FROM li GROUP BY ALL HAVING min(fresh) = 1",
 )
 def _(spark, sf):
     _, links = _experiments(spark, sf)
-    return registry.new_links(links.where("o_orderkey % 2 = 0"), links.where("o_orderkey % 2 = 1"))
+    return registry.new_links(_half(links, 0), _half(links, 1))
+
+
+@query(
+    "experiment_list",
+    f"WITH {_LINKS} SELECT experiment_id, name, 'created' AS status, count(DISTINCT version_id) AS versions FROM ex LEFT JOIN li USING (experiment_id) GROUP BY ALL",
+)
+def _(spark, sf):
+    experiments, links = _experiments(spark, sf)
+    counted = registry.experiments_with_counts(experiments, links.select("experiment_id", "version_id").distinct())
+    return registry.list_records(counted, "experiment_id").select("experiment_id", "name", "status", "versions")
 
 
 # ---- metrics history ----

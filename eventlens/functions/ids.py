@@ -30,10 +30,15 @@ def _escaped_char(char: Column) -> Column:
     )
 
 
+# Printable ASCII without quote and backslash stands for itself.
+PLAIN = r"^[ !#-\[\]-~]*$"
+
+
 def json_string(text: Column) -> Column:
     """JSON literal of a string in pure ASCII; null becomes ``null``."""
-    body = F.concat_ws("", F.transform(F.split(text, ""), _escaped_char))
-    return F.coalesce(F.concat(F.lit('"'), F.when(text == "", "").otherwise(body), F.lit('"')), F.lit("null"))
+    escaped = F.concat_ws("", F.transform(F.split(text, ""), _escaped_char))
+    body = F.when(text.rlike(PLAIN), text).otherwise(escaped)
+    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
 
 def json_sorted_text(info: Column) -> Column:

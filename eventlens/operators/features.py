@@ -176,58 +176,78 @@ def aggregate_features(
     return _long(table, by, [(family, F.lit(name), F.col(name)) for family, name, _ in wanted])
 
 
-def key_features(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
-    """Rows and distinct values per user, process and address, averaged over these keys."""
-    usable = [m for m in KEY_MEASURES if m[0] in df.columns and m[1] in df.columns]
-    if not usable:
+def pair_features(df: DataFrame, by: Sequence[str], families: Sequence[str]) -> DataFrame | None:
+    """Measures on pairs of fields, from one pair table.
+
+    ``correlation``: rows and distinct values per user, process and address, averaged over these
+    keys. ``entropy``: joint entropies; rows with a null in either part do not count.
+    """
+
+    def usable(a: str, b: str) -> bool:
+        return a in df.columns and b in df.columns
+
+    keys = {(a, b): f"{noun}_per_{key}" for a, b, noun, key in KEY_MEASURES if "correlation" in families and usable(a, b)}
+    joint = {(a, b): name for a, b, name in JOINT_MEASURES if "entropy" in families and usable(a, b)}
+    pairs = {f"{a}+{b}": (F.col(a), F.col(b)) for a, b in sorted({*keys, *joint})}
+    if not pairs:
         return None
-    pairs = {f"{noun}_per_{key}": (F.col(a), F.col(b)) for a, b, noun, key in usable}
-    stats = frequency.per_key_stats(frequency.pair_frequencies(df, by, pairs), by)
+    stats = frequency.pair_stats(
+        frequency.pair_frequencies(df, by, pairs), by, [f"{a}+{b}" for a, b in keys], [f"{a}+{b}" for a, b in joint]
+    )
+    pair, view = F.col("pair"), F.col("view")
     measures = [
-        ("correlation", F.concat(F.lit(f"{form}_{word}"), F.col("pair")), F.col(f"{kind}_{form}"))
+        (
+            "correlation",
+            F.when((view == "keys") & (pair == f"{a}+{b}"), F.lit(f"{form}_{word}{name}")),
+            F.col(f"{kind}_{form}"),
+        )
+        for (a, b), name in keys.items()
         for kind, word in (("rows", ""), ("distinct", "unique_"))
         for form in ("avg", "max", "min")
+    ] + [
+        ("entropy", F.when((view == "joint") & (pair == f"{a}+{b}"), F.lit(name)), F.col("entropy_smoothed"))
+        for (a, b), name in joint.items()
     ]
     return _long(stats, by, measures)
 
 
-def joint_features(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
-    """Entropy of value pairs; rows with a null in either part do not count."""
-    usable = [m for m in JOINT_MEASURES if m[0] in df.columns and m[1] in df.columns]
-    if not usable:
-        return None
-    pairs = frequency.pair_frequencies(df, by, {name: (F.col(a), F.col(b)) for a, b, name in usable})
-    bits = frequency.entropy_of_counts(pairs.where(F.col("b").isNotNull()), [*by, "pair"])
-    return _long(bits, by, [("entropy", F.col("pair"), F.col("entropy_smoothed"))])
-
-
-def transition_features(
-    df: DataFrame, by: Sequence[str], order: Sequence[str] = ("timestamp", "event_id"), kinds: Sequence[str] = ("event", "command")
+def sequence_features(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str] = ("timestamp", "event_id"),
+    kinds: Sequence[str] = ("event", "command", "gap"),
 ) -> DataFrame | None:
-    """Counts of each ``a->b`` step between neighbouring events, and the entropy of these steps."""
+    """Steps between neighbouring events, from one ordered pass.
+
+    Counts of each ``a->b`` step of event types and of commands with the entropy of these counts,
+    and the mean, largest, smallest and sample deviation of the seconds in between.
+    """
     source = {"event": "event_type", "command": "command"}
-    values = {k: F.col(source[k]) for k in kinds if source[k] in df.columns}
-    if not values:
+    values = {k: F.col(source[k]) for k in kinds if k in source and source[k] in df.columns}
+    gaps = "gap" in kinds
+    if not values and not gaps:
         return None
-    counts = ordered.transition_counts(df, by, order, values)
-    # The text says which step a row counts; null marks the row that describes all steps.
-    freq = counts.select(*by, F.col("kind").alias("field"), F.col("transition").alias("value"), "n")
-    stats = frequency.field_stats(freq, by, list(values))
-    step = F.coalesce(F.col("value"), F.lit(""))
-    name = F.when(F.col("value").isNull(), F.concat("field", F.lit("_transition_entropy"))).otherwise(
-        F.concat("field", F.lit("_transition_"), step)
+    counts = ordered.sequence_counts(df, by, order, values, "timestamp" if gaps else None)
+    # The gap row has no value to count; its columns pass through the statistics of the steps.
+    carried = ("gaps", "s", "q", "hi", "lo")
+    gaps_only = F.when(F.col("kind") == "gap", F.col("n")).alias("gaps")
+    freq = counts.select(
+        *by, F.col("kind").alias("field"), F.col("transition").alias("value"), "n", gaps_only, *carried[1:]
     )
-    value = F.when(F.col("value").isNull(), F.col("entropy_smoothed")).otherwise(F.col("rows").cast("double"))
-    return _long(stats, by, [("sequence", name, value)])
-
-
-def gap_features(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("timestamp", "event_id")) -> DataFrame | None:
-    """Mean, largest, smallest and sample deviation of the seconds between neighbouring events."""
-    stats = ordered.gap_stats(df, by, "timestamp", order)
-    names = {"mean": "avg", "max": "max", "min": "min", "std": "std"}
-    return _long(
-        stats, by, [("sequence", F.lit(f"{short}_time_interval"), F.col(c)) for c, short in names.items()]
+    stats = frequency.field_stats(freq, by, list(values), carried)
+    field, value = F.col("field"), F.col("value")
+    is_gap = field == "gap"
+    steps = F.when(value.isNull(), F.concat(field, F.lit("_transition_entropy"))).otherwise(
+        F.concat(field, F.lit("_transition_"), value)
     )
+    count = F.when(value.isNull(), F.col("entropy_smoothed")).otherwise(F.col("rows").cast("double"))
+    measures = [("sequence", F.when(~is_gap, steps), count)]
+    if gaps:
+        names = {"mean": "avg", "max": "max", "min": "min", "std": "std"}
+        measures += [
+            ("sequence", F.when(is_gap, F.lit(f"{names[m]}_time_interval")), c) for m, c in ordered.gap_measures(F.col("gaps")).items()
+        ]
+    return _long(stats, by, measures)
 
 
 def tfidf_features(df: DataFrame, by: Sequence[str], **options) -> DataFrame | None:
@@ -257,11 +277,8 @@ def extract(
     if "text" in families:
         tables.append(tfidf_features(df, by, **tfidf_options))
     if "sequence" in families:
-        tables += [transition_features(df, by), gap_features(df, by)]
-    if "correlation" in families:
-        tables.append(key_features(df, by))
-    if "entropy" in families:
-        tables.append(joint_features(df, by))
+        tables.append(sequence_features(df, by))
+    tables.append(pair_features(df, by, families))
     return reduce(DataFrame.unionByName, [t for t in tables if t is not None])
 
 

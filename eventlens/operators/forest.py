@@ -59,6 +59,9 @@ def sample_rows(
     else:
         share = 2.0 * wanted / rows
         pool = table.where(F.col("pick") <= F.lit(int(-(2**63) + share * 2**64)))
+        found = pool.count()
+        if found < wanted or found > 4 * wanted:
+            raise ValueError(f"the key {list(key)} is not unique: {found} rows share the wanted hashes")
     order = ["pick", *key]
     if rows >= wanted:
         # The pool holds about 2 * wanted rows, so one task can rank it.

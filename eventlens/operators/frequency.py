@@ -30,11 +30,13 @@ def pair_frequencies(df: DataFrame, by: Sequence[str], pairs: Mapping[str, tuple
     return long.where(F.col("a").isNotNull()).groupBy(*by, "pair", "a", "b").agg(F.count("*").alias("n"))
 
 
-def field_stats(freq: DataFrame, by: Sequence[str], keep_values: Sequence[str] = ()) -> DataFrame:
+def field_stats(
+    freq: DataFrame, by: Sequence[str], keep_values: Sequence[str] = (), carried: Sequence[str] = ()
+) -> DataFrame:
     """(by, field, value, distinct, rows, max_n, mean_n, entropy, entropy_smoothed).
 
     ``value`` is null on the row that describes the field. Fields in ``keep_values`` also get one
-    row per value, whose ``rows`` is that value's count.
+    row per value, whose ``rows`` is that value's count. Columns in ``carried`` keep their maximum.
     """
     counted = freq.withColumn("n", F.when(F.col("value").isNotNull(), F.col("n")))
     whole = F.lit(None).cast("string")
@@ -45,7 +47,9 @@ def field_stats(freq: DataFrame, by: Sequence[str], keep_values: Sequence[str] =
         counted = counted.withColumn("value", F.explode(copies))
     else:
         counted = counted.withColumn("value", whole)
-    sizes = counted.groupBy(*by, "field", "value", "n").agg(F.count("n").alias("m"))
+    sizes = counted.groupBy(*by, "field", "value", "n").agg(
+        F.count("n").alias("m"), *[F.max(c).alias(c) for c in carried]
+    )
     group = [*by, "field", "value"]
     total = F.sum(F.col("n") * F.col("m")).over(W.partitionBy(*group))
     n, m = F.col("n"), F.col("m")
@@ -59,37 +63,44 @@ def field_stats(freq: DataFrame, by: Sequence[str], keep_values: Sequence[str] =
             F.try_divide(F.sum(n * m), F.sum("m")).alias("mean_n"),
             entropy_basic(n, m).alias("entropy"),
             entropy_smoothed(n, m, F.col("total")).alias("entropy_smoothed"),
+            *[F.max(c).alias(c) for c in carried],
         )
     )
 
 
-def entropy_of_counts(counts: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
-    """(by, entropy, entropy_smoothed) of a table that has one row per counted value."""
-    sizes = counts.groupBy(*by, F.col(n).alias("n")).agg(F.count("*").alias("m"))
-    total = F.sum(F.col("n") * F.col("m")).over(W.partitionBy(*by))
-    n_, m = F.col("n"), F.col("m")
-    return (
-        sizes.withColumn("total", total)
-        .groupBy(*by)
-        .agg(
-            entropy_basic(n_, m).alias("entropy"),
-            entropy_smoothed(n_, m, F.col("total")).alias("entropy_smoothed"),
-        )
-    )
-
+def pair_stats(
+    pairs: DataFrame, by: Sequence[str], key_pairs: Sequence[str], joint_pairs: Sequence[str]
+) -> DataFrame:
+    """(by, view, pair, rows_*, distinct_*, entropy, entropy_smoothed) with * in avg, max, min.
 
-def per_key_stats(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, pair, rows_avg, rows_max, rows_min, distinct_avg, distinct_max, distinct_min).
-
-    First per key: rows with a second part, and how many different ones; then over the keys.
+    ``view='keys'``: per first part the rows with a second part and how many different ones, over
+    all first parts. ``view='joint'``: entropy of the pairs that have both parts.
     """
-    present = F.col("b").isNotNull()
-    keys = pairs.groupBy(*by, "pair", "a").agg(
-        F.sum(F.when(present, F.col("n")).otherwise(0)).alias("rows"), F.count("b").alias("distinct")
+    n, both = F.col("n"), F.col("b").isNotNull()
+    as_key = F.struct(F.lit("keys").alias("view"), F.col("a").alias("key"), F.lit(None).cast("bigint").alias("size"))
+    as_joint = F.struct(F.lit("joint").alias("view"), F.lit(None).cast("string").alias("key"), n.alias("size"))
+    wanted = F.array(
+        F.when(F.col("pair").isin(list(key_pairs)), as_key), F.when(F.col("pair").isin(list(joint_pairs)) & both, as_joint)
+    )
+    views = pairs.select(*by, "pair", "n", both.alias("both"), F.inline(F.array_compact(wanted)))
+    grouped = views.groupBy(*by, "pair", "view", "key", "size").agg(
+        F.sum(F.when(F.col("both"), n).otherwise(0)).alias("rows"), F.count_if("both").alias("distinct")
     )
+    joint = F.col("view") == "joint"
+    size, m = F.when(joint, F.col("size")), F.when(joint, F.col("distinct"))
+    # Keys stay apart in this window: only the sizes of a pair come together.
+    total = F.sum(F.col("rows")).over(W.partitionBy(*by, "pair", "view", "key"))
     measures = [
         f(c).alias(f"{c}_{name}")
         for c in ("rows", "distinct")
         for name, f in (("avg", F.avg), ("max", F.max), ("min", F.min))
     ]
-    return keys.groupBy(*by, "pair").agg(*measures)
+    return (
+        grouped.withColumn("total", total)
+        .groupBy(*by, "pair", "view")
+        .agg(
+            *measures,
+            entropy_basic(size, m).alias("entropy"),
+            entropy_smoothed(size, m, F.col("total")).alias("entropy_smoothed"),
+        )
+    )

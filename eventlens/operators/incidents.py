@@ -133,10 +133,10 @@ def event_pages(hits: DataFrame, page_size: int = 500, chunks: int | None = None
 
 
 def merge_alerts(first: DataFrame, second: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Both alert tables, duplicates kept, within the inclusive bounds, newest first."""
+    """Both alert tables, duplicates kept, within the inclusive bounds, newest first, then by id."""
     both = first.unionByName(second, allowMissingColumns=True)
     if start is not None:
         both = both.where(F.col("timestamp") >= F.lit(start).cast(both.schema["timestamp"].dataType))
     if end is not None:
         both = both.where(F.col("timestamp") <= F.lit(end).cast(both.schema["timestamp"].dataType))
-    return both.orderBy(F.desc("timestamp"))
+    return both.orderBy(F.desc("timestamp"), "id")

@@ -29,58 +29,62 @@ def range_chunks(df: DataFrame, by: Sequence[str], order: Sequence[str], chunks:
     return spread.withColumn(CHUNK, F.spark_partition_id())
 
 
-def transition_counts(
+def sequence_counts(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
     values: Mapping[str, Column],
+    ts: str | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
-    """(by, kind, transition, n): how often one value directly follows another.
+    """(by, kind, transition, n, s, q, hi, lo): steps between neighbouring rows, from one ordered pass.
 
-    ``values`` maps a kind to its column; a null value counts as the text ``None``.
+    For each kind in ``values`` a row per transition ``a->b`` with its count ``n``; a null value
+    counts as the text ``None``. With ``ts``, one more row of kind ``gap`` holds the number, sum and
+    maximum and minimum of the microseconds between neighbours, and the sum of squared seconds.
     """
     named = [F.coalesce(column.cast("string"), F.lit("None")).alias(kind) for kind, column in values.items()]
-    rows = range_chunks(df.select(*by, *order, F.struct(*named).alias("cur")), by, order, chunks)
+    us = F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(None).cast("bigint")
+    cur = F.struct(*named, us.alias("us"))
+    rows = range_chunks(df.select(*by, *order, cur.alias("cur")), by, order, chunks)
     chunk = W.partitionBy(CHUNK, *by).orderBy(*order)
     rows = rows.withColumn("nxt", F.lead("cur").over(chunk)).withColumn(
         "head", F.first("cur").over(chunk.rowsBetween(W.unboundedPreceding, W.currentRow))
     )
     # The last row of a chunk carries the chunk's first value: the chunk before it needs that.
-    tail = F.col("nxt").isNull()
+    last = F.col("nxt").isNull()
     follower = F.coalesce(F.col("nxt"), F.col("head"))
-    per_kind = [
-        F.struct(F.lit(kind).alias("kind"), F.col("cur")[kind].alias("a"), follower[kind].alias("b")) for kind in values
+    none, no_time = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    steps = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            last.alias("tail"),
+            F.col("cur")[kind].alias("a"),
+            follower[kind].alias("b"),
+            no_time.alias("us"),
+            no_time.alias("gap"),
+        )
+        for kind in values
     ]
-    counted = (
-        rows.select(*by, CHUNK, tail.alias("tail"), F.inline(F.array(*per_kind)))
-        .groupBy(*by, CHUNK, "kind", "tail", "a", "b")
-        .agg(F.count("*").alias("n"))
-    )
-    spread = F.when(~F.col("tail"), F.xxhash64("a", "b"))
-    across = W.partitionBy(*by, "kind", "tail", "spread").orderBy(CHUNK)
-    joined = counted.withColumn("spread", spread).withColumn(
-        "b", F.when(F.col("tail"), F.lead("b").over(across)).otherwise(F.col("b"))
-    )
-    return (
-        joined.where(F.col("b").isNotNull())
-        .groupBy(*by, "kind", F.concat("a", F.lit("->"), "b").alias("transition"))
-        .agg(F.sum("n").alias("n"))
-    )
-
-
-def gap_stats(
-    df: DataFrame, by: Sequence[str], ts: str, order: Sequence[str], chunks: int | None = None
-) -> DataFrame:
-    """(by, n, mean, max, min, std) of the seconds between neighbouring rows; ``std`` is the sample one."""
-    rows = range_chunks(df.select(*by, *order, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")), by, order, chunks)
-    gap = F.col("us") - F.lag("us").over(W.partitionBy(CHUNK, *by).orderBy(*order))
-    # Whole microseconds add up exactly.
+    if ts:
+        gap = F.col("nxt.us") - F.col("cur.us")
+        steps.append(
+            F.struct(
+                F.lit("gap").alias("kind"),
+                F.lit(False).alias("tail"),
+                none.alias("a"),
+                none.alias("b"),
+                F.col("cur.us").alias("us"),
+                gap.alias("gap"),
+            )
+        )
     per_chunk = (
-        rows.withColumn("gap", gap)
-        .groupBy(*by, CHUNK)
+        rows.select(*by, CHUNK, F.inline(F.array(*steps)))
+        .groupBy(*by, CHUNK, "kind", "tail", "a", "b")
         .agg(
-            F.count("gap").alias("n"),
+            F.count("*").alias("rows"),
+            F.count("gap").alias("gaps"),
+            # Whole microseconds add up exactly.
             F.sum("gap").alias("s"),
             F.sum(_squared(F.col("gap"))).alias("q"),
             F.max("gap").alias("hi"),
@@ -89,30 +93,57 @@ def gap_stats(
             F.max("us").alias("last"),
         )
     )
-    bridge = F.col("first") - F.lag("last").over(W.partitionBy(*by).orderBy(CHUNK))
-    none = F.lit(0).cast("bigint")
-    total = (
-        per_chunk.withColumn("bridge", bridge)
-        .groupBy(*by)
+    # Tails and gaps meet those of the next chunk; a transition meets itself in other chunks only.
+    spread = F.when(~F.col("tail"), F.xxhash64("a", "b"))
+    across = W.partitionBy(*by, "kind", "tail", "spread").orderBy(CHUNK)
+    is_gap = F.col("kind") == "gap"
+    bridge = F.when(is_gap, F.col("first") - F.lag("last").over(across))
+    joined = (
+        per_chunk.withColumn("spread", spread)
+        .withColumn("b", F.when(F.col("tail"), F.lead("b").over(across)).otherwise(F.col("b")))
+        .withColumn("bridge", bridge)
+    )
+    zero = F.lit(0).cast("bigint")
+    counted = F.when(is_gap, F.col("gaps") + F.when(F.col("bridge").isNull(), zero).otherwise(1)).otherwise(F.col("rows"))
+    return (
+        joined.where(is_gap | F.col("b").isNotNull())
+        .groupBy(*by, "kind", F.concat("a", F.lit("->"), "b").alias("transition"))
         .agg(
-            (F.sum("n") + F.count("bridge")).alias("n"),
-            F.sum(F.coalesce("s", none) + F.coalesce("bridge", none)).alias("s"),
+            F.sum(counted).alias("n"),
+            F.sum(F.coalesce("s", zero) + F.coalesce("bridge", zero)).alias("s"),
             F.sum(F.coalesce("q", F.lit(0.0)) + F.coalesce(_squared(F.col("bridge")), F.lit(0.0))).alias("q"),
-            F.max(F.greatest("hi", "bridge")).alias("max"),
-            F.min(F.least("lo", "bridge")).alias("min"),
+            F.max(F.greatest("hi", "bridge")).alias("hi"),
+            F.min(F.least("lo", "bridge")).alias("lo"),
         )
     )
-    n = F.nullif(F.col("n"), F.lit(0))
+
+
+def transition_counts(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, Column], chunks: int | None = None
+) -> DataFrame:
+    """(by, kind, transition, n): how often one value directly follows another."""
+    return sequence_counts(df, by, order, values, None, chunks).select(*by, "kind", "transition", "n")
+
+
+def gap_stats(
+    df: DataFrame, by: Sequence[str], ts: str, order: Sequence[str], chunks: int | None = None
+) -> DataFrame:
+    """(by, n, mean, max, min, std) of the seconds between neighbouring rows; ``std`` is the sample one."""
+    total = sequence_counts(df, by, order, {}, ts, chunks)
+    return total.select(*by, "n", *[c.alias(name) for name, c in gap_measures(F.col("n")).items()])
+
+
+def gap_measures(gaps: Column) -> dict[str, Column]:
+    """Mean, max, min and sample deviation in seconds from the columns of a ``gap`` row."""
+    n = F.nullif(gaps, F.lit(0))
     mean = F.col("s") / n / F.lit(1e6)
     spread = F.greatest(F.col("q") - n * mean * mean, F.lit(0.0))
-    return total.select(
-        *by,
-        "n",
-        mean.alias("mean"),
-        (F.col("max") / F.lit(1e6)).alias("max"),
-        (F.col("min") / F.lit(1e6)).alias("min"),
-        F.sqrt(F.try_divide(spread, n - 1)).alias("std"),
-    )
+    return {
+        "mean": mean,
+        "max": F.col("hi") / F.lit(1e6),
+        "min": F.col("lo") / F.lit(1e6),
+        "std": F.sqrt(F.try_divide(spread, n - 1)),
+    }
 
 
 def _squared(micros: Column) -> Column:
@@ -151,7 +182,9 @@ def rolling_entropy(
     joined = placed.withColumn("key", key).withColumn(
         "joined", F.collect_list(F.coalesce(F.col(value), F.lit("None"))).over(across)
     )
-    entropy = F.when(early, _list_entropy(F.col("joined"))).otherwise(F.col("own"))
+    # A longer list means that rows of an earlier chunk came in.
+    longer = early & (F.size("joined") > F.col("rank"))
+    entropy = F.when(longer, _list_entropy(F.col("joined"))).otherwise(F.col("own"))
     return (
         joined.withColumn("rolling_entropy", entropy)
         .where(F.col("rolling_entropy") >= min_entropy)

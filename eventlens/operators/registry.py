@@ -19,7 +19,7 @@ def version_records(models: DataFrame) -> DataFrame:
 
 
 def experiment_records(experiments: DataFrame) -> DataFrame:
-    """(experiment_id, name, description, parameters, timestamp, status, versions) of new experiments."""
+    """(experiment_id, name, description, parameters, timestamp, status) of new experiments."""
     return experiments.select(
         experiment_content_id(F.col("name"), F.col("parameters")).alias("experiment_id"),
         "name",
@@ -27,7 +27,6 @@ def experiment_records(experiments: DataFrame) -> DataFrame:
         "parameters",
         "timestamp",
         F.lit("created").alias("status"),
-        F.array().cast("array<string>").alias("versions"),
     )
 
 
@@ -56,39 +55,32 @@ def lookup(records: DataFrame, key: str, value: str) -> DataFrame:
     return found
 
 
-def list_records(records: DataFrame, readable: Column | None = None) -> DataFrame:
-    """Records newest first, without unreadable ones."""
+def list_records(records: DataFrame, key: str, readable: Column | None = None) -> DataFrame:
+    """Records newest first, then by ``key``, without unreadable ones."""
     if readable is not None:
         records = records.where(readable)
-    return records.orderBy(F.desc("timestamp"))
+    return records.orderBy(F.desc("timestamp"), key)
 
 
-def add_versions(experiments: DataFrame, links: DataFrame) -> DataFrame:
-    """Experiments with the linked versions added once each; a link to no experiment raises.
+def add_versions(links: DataFrame, added: DataFrame, experiments: DataFrame) -> DataFrame:
+    """(experiment_id, version_id): the membership table with ``added`` rows, each link once.
 
-    ``links`` holds (experiment_id, version_id). The array of an experiment is its feature here:
-    links are made distinct before they come together.
+    An experiment's versions are rows here, so it may have any number. A link to no experiment raises.
     """
-    orphans = links.join(experiments, "experiment_id", "left_anti")
-    if not orphans.isEmpty():
-        raise ValueError(f"experiment {orphans.first()['experiment_id']} not found")
-    return union_versions(experiments, links)
-
-
-def union_versions(experiments: DataFrame, links: DataFrame) -> DataFrame:
-    """As ``add_versions`` without the check."""
-    added = (
-        links.select("experiment_id", "version_id")
-        .distinct()
-        .groupBy("experiment_id")
-        .agg(F.array_sort(F.collect_list("version_id")).alias("added"))
-    )
-    joined = experiments.join(added, "experiment_id", "left")
-    none = F.array().cast("array<string>")
-    return joined.withColumn("versions", F.array_union("versions", F.coalesce("added", none))).drop("added")
+    orphan = added.join(experiments, "experiment_id", "left_anti").first()
+    if orphan is not None:
+        raise ValueError(f"experiment {orphan['experiment_id']} not found")
+    keys = ["experiment_id", "version_id"]
+    return links.select(*keys).unionByName(added.select(*keys)).distinct()
 
 
-def new_links(existing: DataFrame, links: DataFrame) -> DataFrame:
-    """Links that are not there yet, once each: what an append to the membership table must add."""
+def new_links(links: DataFrame, added: DataFrame) -> DataFrame:
+    """Links that are not there yet, once each: what an append to the membership table must write."""
     keys = ["experiment_id", "version_id"]
-    return links.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
+    return added.select(*keys).distinct().join(links.select(*keys), keys, "left_anti")
+
+
+def experiments_with_counts(experiments: DataFrame, links: DataFrame) -> DataFrame:
+    """Experiments with their number of versions."""
+    counts = links.groupBy("experiment_id").agg(F.count("*").alias("versions"))
+    return experiments.join(counts, "experiment_id", "left").fillna(0, ["versions"])

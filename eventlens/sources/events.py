@@ -15,12 +15,16 @@ log = logging.getLogger(__name__)
 JSON_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Events of a parquet or JSON-lines folder in the event schema; absent columns are null."""
+def read_events(spark: SparkSession, path: str, fmt: str = "parquet", strict: bool = True) -> DataFrame:
+    """Events of a parquet or JSON-lines folder in the event schema; absent columns are null.
+
+    JSON text that does not fit, such as a bad time, raises; it becomes null when not ``strict``.
+    """
     if fmt == "parquet":
         return complete(spark.read.parquet(path))
     if fmt == "json":
-        return spark.read.schema(EVENT_SCHEMA).json(path)
+        mode = "FAILFAST" if strict else "PERMISSIVE"
+        return spark.read.schema(EVENT_SCHEMA).option("mode", mode).json(path)
     raise ValueError(f"unknown format: {fmt}")
 
 

@@ -67,16 +67,24 @@ def stage_by_window(events: DataFrame, path: str, seconds: int, columns: Sequenc
 
 
 def closed_transitions(
-    staged: DataFrame, seconds: int, delay_seconds: int, values: dict[str, Column], order: Sequence[str] = ("timestamp", "event_id")
+    staged: DataFrame,
+    seconds: int,
+    delay_seconds: int,
+    values: dict[str, Column],
+    order: Sequence[str] = ("timestamp", "event_id"),
+    after: str | None = None,
 ) -> DataFrame:
     """Transition counts of the staged windows that ended before the newest time less the delay.
 
     Neighbours need the whole window, so they are found when it is closed, with the batch operator
-    and its protection against huge windows, instead of a list in the stream's state.
+    and its protection against huge windows, instead of a list in the stream's state. ``after`` is
+    the end of the last window counted by an earlier call; what comes late for it is left out.
     """
     newest = staged.agg(F.max("timestamp")).scalar()
     end = F.col("scope") + F.expr(f"INTERVAL {seconds} SECONDS")
     closed = staged.where(end <= newest - F.expr(f"INTERVAL {delay_seconds} SECONDS"))
+    if after is not None:
+        closed = closed.where(F.col("scope") >= F.lit(after).cast(staged.schema["scope"].dataType))
     return ordered.transition_counts(closed, ["scope"], list(order), values)
 
 
