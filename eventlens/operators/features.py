@@ -7,8 +7,9 @@ sequence measure. ``by`` names the scope columns; an empty ``by`` treats the tab
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -94,52 +95,55 @@ def with_scope(df: DataFrame, seconds: int = 3600, ts: str = "timestamp", name:
     return df.withColumn(name, window_start(F.col(ts), seconds))
 
 
-def _derived(df: DataFrame) -> dict[str, tuple[str, Column]]:
-    """Computed fields: name -> (column it needs, expression)."""
-    parts = time_parts(F.col("timestamp"))
-    return {
-        "hour": ("timestamp", parts["hour"]),
-        "day_of_week": ("timestamp", parts["day_of_week"]),
-        "file_extension": ("file_path", file_extension(F.col("file_path"))),
-    }
-
-
-def _aggregates(df: DataFrame, failed_login: str) -> list[tuple[str, str, Sequence[str], Column]]:
-    """(family, feature name, columns needed, aggregate)."""
-    length = F.char_length("command")
-    return [
-        ("user", "failed_login_count", ("username", "event_type"), F.count_if(F.col("event_type") == failed_login)),
-        ("alert", "high_severity_count", ("alert_level",), F.count_if(F.col("alert_level") >= 12)),
-        ("network", "total_packets", ("packet_count",), F.coalesce(F.sum("packet_count"), F.lit(0))),
-        ("network", "avg_packets_per_connection", ("packet_count",), F.avg("packet_count")),
-        ("network", "total_bytes", ("byte_count",), F.coalesce(F.sum("byte_count"), F.lit(0))),
-        ("network", "avg_bytes_per_connection", ("byte_count",), F.avg("byte_count")),
-        ("cmdline", "avg_execution_time", ("execution_time",), F.avg("execution_time")),
-        ("cmdline", "std_execution_time", ("execution_time",), F.stddev_samp("execution_time")),
-        ("text", "command_avg_length", ("command",), F.avg(length)),
-        ("text", "command_max_length", ("command",), F.max(length)),
-        ("text", "command_min_length", ("command",), F.min(length)),
-        ("text", "command_special_char_ratio", ("command",), F.avg(special_char_ratio(F.col("command")))),
-        ("text", "username_special_char_ratio", ("username",), F.avg(special_char_ratio(F.col("username")))),
-        ("text", "path_avg_depth", ("file_path",), F.avg(path_depth(F.col("file_path")))),
-    ]
+# Computed fields: name -> (column it needs, expression).
+DERIVED: dict[str, tuple[str, Callable[[], Column]]] = {
+    "hour": ("timestamp", lambda: time_parts(F.col("timestamp"))["hour"]),
+    "day_of_week": ("timestamp", lambda: time_parts(F.col("timestamp"))["day_of_week"]),
+    "file_extension": ("file_path", lambda: file_extension(F.col("file_path"))),
+}
+
+HIGH_ALERT = 12
+
+# (family, feature name, columns needed, aggregate of the failed-login event type).
+AGGREGATES: list[tuple[str, str, tuple[str, ...], Callable[[str], Column]]] = [
+    ("user", "failed_login_count", ("username", "event_type"), lambda login: F.count_if(F.col("event_type") == login)),
+    ("alert", "high_severity_count", ("alert_level",), lambda _: F.count_if(F.col("alert_level") >= HIGH_ALERT)),
+    ("network", "total_packets", ("packet_count",), lambda _: F.coalesce(F.sum("packet_count"), F.lit(0))),
+    ("network", "avg_packets_per_connection", ("packet_count",), lambda _: F.avg("packet_count")),
+    ("network", "total_bytes", ("byte_count",), lambda _: F.coalesce(F.sum("byte_count"), F.lit(0))),
+    ("network", "avg_bytes_per_connection", ("byte_count",), lambda _: F.avg("byte_count")),
+    ("cmdline", "avg_execution_time", ("execution_time",), lambda _: F.avg("execution_time")),
+    ("cmdline", "std_execution_time", ("execution_time",), lambda _: F.stddev_samp("execution_time")),
+    ("text", "command_avg_length", ("command",), lambda _: F.avg(F.char_length("command"))),
+    ("text", "command_max_length", ("command",), lambda _: F.max(F.char_length("command"))),
+    ("text", "command_min_length", ("command",), lambda _: F.min(F.char_length("command"))),
+    ("text", "command_special_char_ratio", ("command",), lambda _: F.avg(special_char_ratio(F.col("command")))),
+    ("text", "username_special_char_ratio", ("username",), lambda _: F.avg(special_char_ratio(F.col("username")))),
+    ("text", "path_avg_depth", ("file_path",), lambda _: F.avg(path_depth(F.col("file_path")))),
+]
 
 
-def _long(df: DataFrame, by: Sequence[str], measures: Iterable[tuple[str, Column, Column]]) -> DataFrame:
-    """One output row per (family, name, value) measure of each input row; null names drop out."""
-    items = [
-        F.struct(F.lit(family).alias("family"), name.alias("feature"), value.cast("double").alias("value"))
-        for family, name, value in measures
-    ]
-    return df.select(*by, F.inline(F.array(*items))).where(F.col("feature").isNotNull())
+class Measure(NamedTuple):
+    """One kind of output row, as SQL over an input row; a null name means no row."""
+
+    family: str
+    name: str
+    value: str
+
+
+def _long(df: DataFrame, by: Sequence[str], measures: Iterable[Measure]) -> DataFrame:
+    """The measures of every input row as (by, family, feature, value)."""
+    rows = ", ".join(
+        f"struct('{m.family}' AS family, {m.name} AS feature, CAST({m.value} AS DOUBLE) AS value)" for m in measures
+    )
+    return df.select(*by, F.expr(f"inline(array({rows}))")).where("feature IS NOT NULL")
 
 
 def field_features(df: DataFrame, by: Sequence[str], families: Sequence[str]) -> DataFrame | None:
     """Counts, frequencies and entropies of single fields, from one frequency table."""
-    derived = _derived(df)
 
     def usable(field: str) -> bool:
-        return (derived[field][0] if field in derived else field) in df.columns
+        return (DERIVED[field][0] if field in DERIVED else field) in df.columns
 
     # The user family as a whole hangs on the username column.
     chosen = [f for f in families if f != "user" or "username" in df.columns]
@@ -148,14 +152,13 @@ def field_features(df: DataFrame, by: Sequence[str], families: Sequence[str]) ->
     names = sorted({m[1] for m in stats} | {m[1] for m in values})
     if not names:
         return None
-    columns = {n: derived[n][1] if n in derived else F.col(n) for n in names}
+    columns = {n: DERIVED[n][1]() if n in DERIVED else F.col(n) for n in names}
     described = frequency.field_stats(frequency.frequencies(df, by, columns), by, sorted({m[1] for m in values}))
-    field, value = F.col("field"), F.col("value")
     measures = [
-        (family, F.when((field == name) & value.isNull(), F.lit(feature)), F.col(stat))
-        for family, name, stat, feature in stats
+        Measure(family, f"CASE WHEN field = '{name}' AND value IS NULL THEN '{feature}' END", f"`{column}`")
+        for family, name, column, feature in stats
     ] + [
-        (family, F.when((field == name) & value.isNotNull(), F.concat(F.lit(pre), value, F.lit(post))), F.col("rows"))
+        Measure(family, f"CASE WHEN field = '{name}' AND value IS NOT NULL THEN concat('{pre}', value, '{post}') END", "rows")
         for family, name, pre, post in values
     ]
     return _long(described, by, measures)
@@ -166,14 +169,14 @@ def aggregate_features(
 ) -> DataFrame | None:
     """Sums, means and filtered counts, from one aggregation."""
     wanted = [
-        (family, name, agg)
-        for family, name, needs, agg in _aggregates(df, failed_login)
+        (family, name, build)
+        for family, name, needs, build in AGGREGATES
         if family in families and all(c in df.columns for c in needs)
     ]
     if not wanted:
         return None
-    table = df.groupBy(*by).agg(*[agg.cast("double").alias(name) for _, name, agg in wanted])
-    return _long(table, by, [(family, F.lit(name), F.col(name)) for family, name, _ in wanted])
+    table = df.groupBy(*by).agg(*[build(failed_login).alias(name) for _, name, build in wanted])
+    return _long(table, by, [Measure(family, f"'{name}'", name) for family, name, _ in wanted])
 
 
 def pair_features(df: DataFrame, by: Sequence[str], families: Sequence[str]) -> DataFrame | None:
@@ -186,27 +189,22 @@ def pair_features(df: DataFrame, by: Sequence[str], families: Sequence[str]) ->
     def usable(a: str, b: str) -> bool:
         return a in df.columns and b in df.columns
 
-    keys = {(a, b): f"{noun}_per_{key}" for a, b, noun, key in KEY_MEASURES if "correlation" in families and usable(a, b)}
-    joint = {(a, b): name for a, b, name in JOINT_MEASURES if "entropy" in families and usable(a, b)}
-    pairs = {f"{a}+{b}": (F.col(a), F.col(b)) for a, b in sorted({*keys, *joint})}
+    keys = {f"{a}+{b}": f"{noun}_per_{key}" for a, b, noun, key in KEY_MEASURES if "correlation" in families and usable(a, b)}
+    joint = {f"{a}+{b}": name for a, b, name in JOINT_MEASURES if "entropy" in families and usable(a, b)}
+    pairs = {pair: tuple(F.col(c) for c in pair.split("+")) for pair in sorted({*keys, *joint})}
     if not pairs:
         return None
-    stats = frequency.pair_stats(
-        frequency.pair_frequencies(df, by, pairs), by, [f"{a}+{b}" for a, b in keys], [f"{a}+{b}" for a, b in joint]
-    )
-    pair, view = F.col("pair"), F.col("view")
+    stats = frequency.pair_stats(frequency.pair_frequencies(df, by, pairs), by, list(keys), list(joint))
     measures = [
-        (
-            "correlation",
-            F.when((view == "keys") & (pair == f"{a}+{b}"), F.lit(f"{form}_{word}{name}")),
-            F.col(f"{kind}_{form}"),
+        Measure(
+            "correlation", f"CASE WHEN view = 'keys' AND pair = '{pair}' THEN '{form}_{word}{name}' END", f"{kind}_{form}"
         )
-        for (a, b), name in keys.items()
+        for pair, name in keys.items()
         for kind, word in (("rows", ""), ("distinct", "unique_"))
         for form in ("avg", "max", "min")
     ] + [
-        ("entropy", F.when((view == "joint") & (pair == f"{a}+{b}"), F.lit(name)), F.col("entropy_smoothed"))
-        for (a, b), name in joint.items()
+        Measure("entropy", f"CASE WHEN view = 'joint' AND pair = '{pair}' THEN '{name}' END", "entropy_smoothed")
+        for pair, name in joint.items()
     ]
     return _long(stats, by, measures)
 
@@ -235,19 +233,17 @@ def sequence_features(
         *by, F.col("kind").alias("field"), F.col("transition").alias("value"), "n", gaps_only, *carried[1:]
     )
     stats = frequency.field_stats(freq, by, list(values), carried)
-    field, value = F.col("field"), F.col("value")
-    is_gap = field == "gap"
-    steps = F.when(value.isNull(), F.concat(field, F.lit("_transition_entropy"))).otherwise(
-        F.concat(field, F.lit("_transition_"), value)
-    )
-    count = F.when(value.isNull(), F.col("entropy_smoothed")).otherwise(F.col("rows").cast("double"))
-    measures = [("sequence", F.when(~is_gap, steps), count)]
+    measured = stats.select("*", *[c.alias(name) for name, c in ordered.gap_measures(F.col("gaps")).items()])
+    measures = [
+        Measure("sequence", "CASE WHEN field <> 'gap' AND value IS NOT NULL THEN concat(field, '_transition_', value) END", "rows"),
+        Measure("sequence", "CASE WHEN field <> 'gap' AND value IS NULL THEN concat(field, '_transition_entropy') END", "entropy_smoothed"),
+    ]
     if gaps:
-        names = {"mean": "avg", "max": "max", "min": "min", "std": "std"}
         measures += [
-            ("sequence", F.when(is_gap, F.lit(f"{names[m]}_time_interval")), c) for m, c in ordered.gap_measures(F.col("gaps")).items()
+            Measure("sequence", f"CASE WHEN field = 'gap' THEN '{short}_time_interval' END", f"gap_{form}")
+            for form, short in (("mean", "avg"), ("max", "max"), ("min", "min"), ("std", "std"))
         ]
-    return _long(stats, by, measures)
+    return _long(measured, by, measures)
 
 
 def tfidf_features(df: DataFrame, by: Sequence[str], **options) -> DataFrame | None:
@@ -255,8 +251,7 @@ def tfidf_features(df: DataFrame, by: Sequence[str], **options) -> DataFrame | N
     if "command" not in df.columns:
         return None
     weights = tfidf.mean_tfidf(df, by, F.col("command"), **options)
-    name = F.concat(F.lit("command_tfidf_"), F.col("i").cast("string"))
-    return _long(weights, by, [("text", name, F.col("weight"))])
+    return _long(weights, by, [Measure("text", "concat('command_tfidf_', i)", "weight")])
 
 
 def extract(

@@ -82,21 +82,28 @@ def pair_stats(
     wanted = F.array(
         F.when(F.col("pair").isin(list(key_pairs)), as_key), F.when(F.col("pair").isin(list(joint_pairs)) & both, as_joint)
     )
-    views = pairs.select(*by, "pair", "n", both.alias("both"), F.inline(F.array_compact(wanted)))
+    views = pairs.select(*by, "pair", "n", both.alias("both"), F.inline(wanted)).where(F.col("view").isNotNull())
     grouped = views.groupBy(*by, "pair", "view", "key", "size").agg(
         F.sum(F.when(F.col("both"), n).otherwise(0)).alias("rows"), F.count_if("both").alias("distinct")
     )
-    joint = F.col("view") == "joint"
-    size, m = F.when(joint, F.col("size")), F.when(joint, F.col("distinct"))
-    # Keys stay apart in this window: only the sizes of a pair come together.
-    total = F.sum(F.col("rows")).over(W.partitionBy(*by, "pair", "view", "key"))
+    # All keys of a pair become one row, each size of a joint pair keeps its own.
+    sizes = grouped.groupBy(*by, "pair", "view", "size").agg(
+        F.count("*").alias("keys"),
+        *[f(c).alias(f"{c}_{name}") for c in ("rows", "distinct") for name, f in (("sum", F.sum), ("max", F.max), ("min", F.min))],
+    )
+    size, m = F.col("size"), F.col("distinct_sum")
+    total = F.sum(size * m).over(W.partitionBy(*by, "pair", "view"))
     measures = [
-        f(c).alias(f"{c}_{name}")
+        measure
         for c in ("rows", "distinct")
-        for name, f in (("avg", F.avg), ("max", F.max), ("min", F.min))
+        for measure in (
+            (F.sum(f"{c}_sum") / F.sum("keys")).alias(f"{c}_avg"),
+            F.max(f"{c}_max").alias(f"{c}_max"),
+            F.min(f"{c}_min").alias(f"{c}_min"),
+        )
     ]
     return (
-        grouped.withColumn("total", total)
+        sizes.withColumn("total", total)
         .groupBy(*by, "pair", "view")
         .agg(
             *measures,

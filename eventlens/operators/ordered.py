@@ -130,7 +130,7 @@ def gap_stats(
 ) -> DataFrame:
     """(by, n, mean, max, min, std) of the seconds between neighbouring rows; ``std`` is the sample one."""
     total = sequence_counts(df, by, order, {}, ts, chunks)
-    return total.select(*by, "n", *[c.alias(name) for name, c in gap_measures(F.col("n")).items()])
+    return total.select(*by, "n", *[c.alias(name.removeprefix("gap_")) for name, c in gap_measures(F.col("n")).items()])
 
 
 def gap_measures(gaps: Column) -> dict[str, Column]:
@@ -139,10 +139,10 @@ def gap_measures(gaps: Column) -> dict[str, Column]:
     mean = F.col("s") / n / F.lit(1e6)
     spread = F.greatest(F.col("q") - n * mean * mean, F.lit(0.0))
     return {
-        "mean": mean,
-        "max": F.col("hi") / F.lit(1e6),
-        "min": F.col("lo") / F.lit(1e6),
-        "std": F.sqrt(F.try_divide(spread, n - 1)),
+        "gap_mean": mean,
+        "gap_max": F.col("hi") / F.lit(1e6),
+        "gap_min": F.col("lo") / F.lit(1e6),
+        "gap_std": F.sqrt(F.try_divide(spread, n - 1)),
     }
 
 
