@@ -15,9 +15,11 @@ from eventlens.functions.entropy import entropy_basic, entropy_smoothed
 
 def frequencies(df: DataFrame, by: Sequence[str], fields: Mapping[str, Column]) -> DataFrame:
     """(by, field, value, n); null is a value of its own here, so that all-null fields stay visible."""
-    cast = df.select(*by, *[c.cast("string").alias(name) for name, c in fields.items()])
-    long = cast.unpivot(list(by), list(fields), "field", "value")
-    return long.groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
+    # Prefixed names, because a field may also be one of the scope columns.
+    cast = df.select(*by, *[c.cast("string").alias(f"f:{name}") for name, c in fields.items()])
+    long = cast.unpivot(list(by), [f"`f:{name}`" for name in fields], "field", "value")
+    counted = long.groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
+    return counted.withColumn("field", F.expr("substring(field, 3)"))
 
 
 def pair_frequencies(df: DataFrame, by: Sequence[str], pairs: Mapping[str, tuple[Column, Column]]) -> DataFrame:
