@@ -12,6 +12,7 @@ from eventlens.plans.detection import family_windows
 
 BY = ["scope"]
 
+# Sums next to zero may round to -0.0, hence the + 0.0 below.
 # Plain definitions over (scope, v, n, p); the null group has n = 0 and does not count.
 DISTINCT = "CAST(count(v) AS DOUBLE)"
 LARGEST = "CAST(max(n) FILTER (v IS NOT NULL) AS DOUBLE)"
@@ -28,7 +29,7 @@ def counts(field: str, scope: str = "scope", source: str = "sc") -> str:
 
 
 def stat(field: str, measure: str, name: str) -> str:
-    return f"SELECT scope, '{name}' AS feature, round({measure}, 6) AS value FROM {counts(field)} GROUP BY scope"
+    return f"SELECT scope, '{name}' AS feature, round({measure}, 6) + 0.0 AS value FROM {counts(field)} GROUP BY scope"
 
 
 def agg(measure: str, name: str) -> str:
@@ -113,7 +114,7 @@ SINGLE_ENTROPIES = [
 
 def joint(a: str, b: str, name: str) -> str:
     return (
-        f"SELECT scope, '{name}' AS feature, round(0 - sum(p * log2(p + 1e-10)), 6) AS value FROM "
+        f"SELECT scope, '{name}' AS feature, round(0 - sum(p * log2(p + 1e-10)), 6) + 0.0 AS value FROM "
         f"(SELECT scope, n / sum(n) OVER (PARTITION BY scope) AS p FROM (SELECT scope, count(*) AS n FROM sc "
         f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY scope, {a}, {b})) GROUP BY scope"
     )
@@ -177,7 +178,7 @@ def _only(build, *wanted: str):
 
 @query(
     "entropy_basic",
-    f"WITH {SC} SELECT scope, CAST(count(v) AS BIGINT) AS values, round({ENTROPY}, 6) AS entropy "
+    f"WITH {SC} SELECT scope, CAST(count(v) AS BIGINT) AS values, round({ENTROPY}, 6) + 0.0 AS entropy "
     f"FROM {counts('command')} GROUP BY scope",
 )
 def _(spark, sf):
@@ -185,7 +186,7 @@ def _(spark, sf):
     return rounded(frequency.field_stats(freq, BY).select("scope", F.col("distinct").alias("values"), "entropy"))
 
 
-@query("entropy_smoothed", f"WITH {SC} SELECT scope, round({SMOOTHED}, 6) AS entropy FROM {counts('command')} GROUP BY scope")
+@query("entropy_smoothed", f"WITH {SC} SELECT scope, round({SMOOTHED}, 6) + 0.0 AS entropy FROM {counts('command')} GROUP BY scope")
 def _(spark, sf):
     freq = frequency.frequencies(scoped(spark, sf), BY, {"command": F.col("command")})
     return rounded(frequency.field_stats(freq, BY).select("scope", F.col("entropy_smoothed").alias("entropy")))
@@ -242,7 +243,7 @@ def steps(field: str, partition: str = "PARTITION BY scope") -> str:
 def transitions(field: str, kind: str) -> list[str]:
     return [
         f"SELECT scope, concat('{kind}_transition_', v) AS feature, CAST(count(*) AS DOUBLE) AS value FROM {steps(field)} GROUP BY scope, v",
-        f"SELECT scope, '{kind}_transition_entropy' AS feature, round({SMOOTHED}, 6) AS value FROM "
+        f"SELECT scope, '{kind}_transition_entropy' AS feature, round({SMOOTHED}, 6) + 0.0 AS value FROM "
         f"{counts('v', source=steps(field))} GROUP BY scope",
     ]
 

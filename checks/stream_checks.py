@@ -40,7 +40,7 @@ def _(spark, sf):
 
 @query(
     "stream_entropy",
-    f"WITH {SC} SELECT scope, count(v) AS \"distinct\", max(n) AS max_frequency, round(0 - sum(p * log2(p)), 6) AS entropy "
+    f"WITH {SC} SELECT scope, count(v) AS \"distinct\", max(n) AS max_frequency, round(0 - sum(p * log2(p)), 6) + 0.0 AS entropy "
     f"FROM {counts('command')} WHERE v IS NOT NULL AND scope + INTERVAL '1 hour' <= {CLOSED} GROUP BY scope",
 )
 def _(spark, sf):
@@ -66,7 +66,7 @@ def _(spark, sf):
 @query(
     "stream_incidents",
     f"WITH {INCIDENTS} SELECT id, title, severity, timestamp, description, max_score, event_count FROM inc "
-    "WHERE CAST(timestamp AS TIMESTAMP) + INTERVAL '300 seconds' <= (SELECT max(timestamp) - INTERVAL '10 minutes' FROM ev WHERE true)",
+    "WHERE CAST(timestamp AS TIMESTAMP) + INTERVAL '300 seconds' <= (SELECT max(timestamp) - INTERVAL '10 minutes' FROM ev)",
 )
 def _(spark, sf):
     return sinks.collect_table(spark, queries.stream_incidents(_stream(spark, sf), RULES, MODEL), "stream-incidents")

@@ -38,7 +38,7 @@ def json_string(text: Column) -> Column:
     """JSON literal of a string in pure ASCII; null becomes ``null``."""
     escaped = F.concat_ws("", F.transform(F.split(text, ""), _escaped_char))
     body = F.when(text.rlike(PLAIN), text).otherwise(escaped)
-    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
+    return F.when(text.isNotNull(), F.concat(F.lit('"'), body, F.lit('"'))).otherwise("null")
 
 
 def json_sorted_text(info: Column) -> Column:

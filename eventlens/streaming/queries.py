@@ -50,9 +50,10 @@ def windowed_entropy(events: DataFrame, field: str, seconds: int = 3600, delay:
 
     Two chained aggregations: counts per value, then their statistics per window.
     """
+    timed = F.when(F.col("timestamp").isNotNull(), F.col(field))
     per_value = (
         watermarked(events, delay)
-        .where(F.col(field).isNotNull())
+        .where(timed.isNotNull())
         .groupBy(_window(seconds).alias("w"), F.col(field).alias("value"))
         .agg(F.count("*").alias("n"))
     )
@@ -71,7 +72,9 @@ def stream_incidents(
     scored: DataFrame, rules: IncidentRules = IncidentRules(), model_info: Mapping[str, str] | None = None, delay: str = DELAY
 ) -> DataFrame:
     """Incidents of closed windows, equal to the batch ones."""
-    hits = watermarked(scored, delay).where(F.col("score") > rules.score_threshold)
+    # The condition names the time, or Spark would filter first and only hits would move the watermark.
+    timed = F.when(F.col("timestamp").isNotNull(), F.col("score"))
+    hits = watermarked(scored, delay).where(timed > rules.score_threshold)
     kind = F.coalesce("event_type", F.lit("None"))
     per_type = hits.groupBy(_window(rules.window_seconds).alias("w"), kind.alias("event_type")).agg(
         F.count("*").alias("n"),
