@@ -93,7 +93,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     records = _drift(spark, sf).select(F.col("scope").alias("timestamp"), "drift_metric")
-    kept = drift.newest(records, 100)
+    kept = settle(drift.newest(records, 100))
     current = drift.latest(kept).select("timestamp").scalar()
     return rounded(kept.withColumn("is_current", F.col("timestamp") == current))
 

@@ -69,7 +69,8 @@ def _(spark, sf):
     "WHERE CAST(timestamp AS TIMESTAMP) + INTERVAL '300 seconds' <= (SELECT max(timestamp) - INTERVAL '10 minutes' FROM ev)",
 )
 def _(spark, sf):
-    return sinks.collect_table(spark, queries.stream_incidents(_stream(spark, sf), RULES, MODEL), "stream-incidents")
+    found = queries.stream_incidents(_stream(spark, sf), RULES, MODEL)
+    return sinks.collect_table(spark, found.drop("model_info"), "stream-incidents")
 
 
 @query("stream_dedup", f"WITH {EV} SELECT event_id, timestamp, event_type FROM ev")

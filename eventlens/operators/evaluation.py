@@ -7,19 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventlens.operators.ordered import CHUNK, range_chunks
+from eventlens.session import settle
 
 
 def label_pairs(df: DataFrame, true: Column, predicted: Column) -> DataFrame:
-    """(true, pred, n)."""
-    return df.groupBy(true.cast("string").alias("true"), predicted.cast("string").alias("pred")).agg(
-        F.count("*").alias("n")
-    )
+    """(true, pred, n); a missing label is a label of its own, ``None``."""
+    none = F.lit("None")
+    return df.groupBy(
+        F.coalesce(true.cast("string"), none).alias("true"), F.coalesce(predicted.cast("string"), none).alias("pred")
+    ).agg(F.count("*").alias("n"))
 
 
 def confusion_matrix(pairs: DataFrame) -> DataFrame:
     """(true, pred, n) with a row for every pair of labels that occur on either side."""
     both = F.array_sort(F.collect_set("label")).alias("labels")
-    labels = pairs.select(F.explode(F.array("true", "pred")).alias("label")).agg(both)
+    # Asking for n here too makes both branches read one and the same pair table.
+    seen = pairs.where(F.col("n") > 0)
+    labels = seen.select(F.explode(F.array("true", "pred")).alias("label")).agg(both)
     grid = labels.select("labels", F.explode("labels").alias("true")).select("true", F.explode("labels").alias("pred"))
     return grid.join(pairs, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -121,7 +125,8 @@ def evaluate(df: DataFrame, true: Column, predicted: Column, score: Column | Non
 
     The last two are nested: rows of counts in label order, and a map from label to its scores.
     """
-    pairs = label_pairs(df, true, predicted)
+    # Written once: one small row per pair of labels, read by all of the below.
+    pairs = settle(label_pairs(df, true, predicted))
     cells = confusion_matrix(pairs)
     by_row = cells.groupBy("true").agg(F.array_sort(F.collect_list(F.struct("pred", "n"))).alias("row"))
     matrix = by_row.agg(F.array_sort(F.collect_list(F.struct("true", F.col("row.n").alias("ns")))).alias("m")).select(

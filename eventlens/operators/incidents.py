@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from eventlens.config import IncidentRules
 from eventlens.functions.severity import severity_of
 from eventlens.functions.time import iso_text, window_start
+from eventlens.operators.joins import join_null_safe
 from eventlens.operators.ordered import CHUNK, range_chunks
 
 
 def attach_scores(events: DataFrame, scores: DataFrame, keys: str | list[str] = "event_id") -> DataFrame:
-    """Events with their ``prediction`` and ``score``; a hot scope key is split by AQE's skew join."""
+    """Events with their ``prediction`` and ``score``, by event id or by scope columns."""
     keys = [keys] if isinstance(keys, str) else keys
-    return events.drop("prediction", "score").join(scores.select(*keys, "prediction", "score"), keys)
+    plain = events.drop("prediction", "score")
+    return join_null_safe(plain, scores.select(*keys, "prediction", "score"), keys)
 
 
 def _model_map(info: Mapping[str, str]) -> Column:
@@ -40,16 +42,22 @@ def high_score_events(scored: DataFrame, rules: IncidentRules = IncidentRules(),
     )
 
 
-def type_counts(hits: DataFrame) -> DataFrame:
-    """(incident_id, window, event_type, n, max_score, first) per type; ``first`` orders the types.
+def moment(ts: Column, event_id: Column) -> Column:
+    """One number that sorts like (time, id), which hash aggregation can take the minimum of."""
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(20,0)")
+    return (micros * F.lit(str(2**64)).cast("decimal(20,0)") + event_id).cast("decimal(38,0)")
+
+
+def type_counts(hits: DataFrame, window: Column | str = "window") -> DataFrame:
+    """(window, event_type, n, max_score, first) per window and type; ``first`` orders the types.
 
     A null type counts as ``None``; without the column all events are ``unknown``.
     """
     kind = F.coalesce("event_type", F.lit("None")) if "event_type" in hits.columns else F.lit("unknown")
-    return hits.groupBy("incident_id", "window", kind.alias("event_type")).agg(
+    return hits.groupBy(window, kind.alias("event_type")).agg(
         F.count("*").alias("n"),
         F.max("score").alias("max_score"),
-        F.min(F.struct("timestamp", "event_id")).alias("first"),
+        F.min(moment(F.col("timestamp"), F.col("event_id"))).alias("first"),
     )
 
 
@@ -60,19 +68,20 @@ def description(total: Column, types: Column) -> Column:
 
 
 def summarize(
-    per_type: DataFrame, rules: IncidentRules, model_info: Mapping[str, str] | None = None, by: tuple[str, ...] = ("incident_id", "window")
+    per_type: DataFrame, window: Column, rules: IncidentRules, model_info: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Incident rows from per-type counts; only the types of a window come together in a list."""
-    total = per_type.groupBy(*by).agg(
+    total = per_type.groupBy(window.alias("window")).agg(
         F.sum("n").alias("event_count"),
         F.max("max_score").alias("max_score"),
         F.collect_list(F.struct("first", "event_type", "n")).alias("types"),
     )
+    start = F.col("window.start") if total.schema["window"].dataType.typeName() == "struct" else F.col("window")
     return total.select(
-        F.col("incident_id").alias("id"),
+        incident_id(start, model_info or {}).alias("id"),
         F.concat(F.lit("Anomaly Detected: "), F.col("event_count"), F.lit(" events")).alias("title"),
         severity_of(F.col("max_score"), rules.severity_levels).alias("severity"),
-        iso_text(F.col("window")).alias("timestamp"),
+        iso_text(start).alias("timestamp"),
         description(F.col("event_count"), F.col("types")).alias("description"),
         "max_score",
         "event_count",
@@ -84,7 +93,8 @@ def detect_incidents(
     scored: DataFrame, rules: IncidentRules = IncidentRules(), model_info: Mapping[str, str] | None = None
 ) -> DataFrame:
     """One row per window with at least one high-scoring event. Their events: ``high_score_events``."""
-    return summarize(type_counts(high_score_events(scored, rules, model_info)), rules, model_info)
+    per_type = type_counts(high_score_events(scored, rules, model_info))
+    return summarize(per_type, F.col("window"), rules, model_info)
 
 
 def list_incidents(

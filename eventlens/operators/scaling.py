@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from eventlens.operators.joins import join_null_safe
+
 
 def fill_with_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null and NaN become 0."""
@@ -19,7 +21,7 @@ def fill_with_mean(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     df = df.withColumns(clean)
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns])
     if by:
-        joined = df.join(means, list(by), "left")
+        joined = join_null_safe(df, means, by, "left")
         return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__mean_{c}")) for c in columns}).drop(
             *[f"__mean_{c}" for c in columns]
         )

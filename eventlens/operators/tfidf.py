@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from eventlens.operators.joins import join_null_safe
+
 # Fixed value: words of two or more word characters.
 WORD = r"(?U)\b\w\w+\b"
 
@@ -46,6 +48,7 @@ def mean_tfidf(
     words = F.concat(F.array(F.lit("")), terms_of(F.col("text"), stop_words, ngrams))
     tf = (
         texts.select(*by, F.sha2("text", 256).alias("doc"), "n", F.explode(words).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(*by, "doc", "n", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -58,11 +61,11 @@ def mean_tfidf(
         .where(F.col("rank") <= max_features + 1)
         .withColumn("texts", F.max(F.when(counter, F.col("df"))).over(W.partitionBy(*by)))
         .withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("term")) - 2)
-        .where(~counter)
+        .where(F.col("i") >= 0)
         .select(*by, "term", "i", "texts", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    keys = [*by, "term"]
-    weighted = tf.join(vocabulary, keys).withColumn("w", F.col("tf") * F.col("idf"))
+    # Both sides start from the same term counts, which Spark computes once.
+    weighted = join_null_safe(tf, vocabulary, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     # At most max_features rows per text.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*by, "doc")))
     return (

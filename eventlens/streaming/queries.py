@@ -75,29 +75,9 @@ def stream_incidents(
     # The condition names the time, or Spark would filter first and only hits would move the watermark.
     timed = F.when(F.col("timestamp").isNotNull(), F.col("score"))
     hits = watermarked(scored, delay).where(timed > rules.score_threshold)
-    kind = F.coalesce("event_type", F.lit("None"))
-    per_type = hits.groupBy(_window(rules.window_seconds).alias("w"), kind.alias("event_type")).agg(
-        F.count("*").alias("n"),
-        F.max("score").alias("max_score"),
-        F.min(F.struct("timestamp", "event_id")).alias("first"),
-    )
-    width = f"{rules.window_seconds} seconds"
-    window = F.window(F.window_time("w"), width)
-    total = per_type.groupBy(window.alias("w2")).agg(
-        F.sum("n").alias("event_count"),
-        F.max("max_score").alias("max_score"),
-        F.collect_list(F.struct("first", "event_type", "n")).alias("types"),
-    )
-    start = F.col("w2.start")
-    return total.select(
-        incidents.incident_id(start, model_info or {}).alias("id"),
-        F.concat(F.lit("Anomaly Detected: "), "event_count", F.lit(" events")).alias("title"),
-        incidents.severity_of(F.col("max_score"), rules.severity_levels).alias("severity"),
-        incidents.iso_text(start).alias("timestamp"),
-        incidents.description(F.col("event_count"), F.col("types")).alias("description"),
-        "max_score",
-        "event_count",
-    )
+    per_type = incidents.type_counts(hits, _window(rules.window_seconds).alias("w"))
+    again = F.window(F.window_time("w"), f"{rules.window_seconds} seconds")
+    return incidents.summarize(per_type, again, rules, model_info)
 
 
 def deduplicated(events: DataFrame, delay: str = DELAY) -> DataFrame:

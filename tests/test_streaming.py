@@ -58,7 +58,7 @@ def test_incidents_equal_batch_on_closed_windows(spark):
     rows = [[{"timestamp": 60 * (3 * b + i), "event_type": "ab"[i % 2]} for i in range(3)] for b in range(8)] + [minutes(500)]
     path, stream = parts(spark, rows)
     score = F.lit(0.95)
-    got = sinks.collect_table(spark, queries.stream_incidents(stream.withColumn("score", score)), "incidents")
+    got = sinks.collect_table(spark, queries.stream_incidents(stream.withColumn("score", score)), "incidents").drop("model_info")
     batch = incidents.detect_incidents(spark.read.parquet(f"{path}/*").withColumn("score", score)).drop("model_info")
     closed = batch.where("timestamp < '2024-01-01T08:00:00'")
     columns = batch.columns
