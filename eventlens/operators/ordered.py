@@ -162,25 +162,40 @@ def rolling_entropy(
 ) -> DataFrame:
     """Each row with the entropy of ``value`` over its group's last ``rows`` rows, kept from ``min_entropy`` on.
 
+    With c the count of each value in the window, the entropy is log2(N) - sum(c * log2 c) / N. A
+    row changes that sum when it enters, by its value's count in the rows before it, and again when
+    it leaves, by the count in the rows after it: two running sums, no list per row.
+
     The first rows of a chunk look back into earlier chunks, so the outermost rows of all chunks of
     a group are windowed once more, together: fewer than ``2 * rows`` per chunk.
     """
     back = rows - 1
-    spread = range_chunks(df.select(*by, *order, value), by, order, chunks)
+    v = F.coalesce(F.col(value).cast("string"), F.lit("None")).alias("v")
+    spread = range_chunks(df.select(*by, *order, value, v), by, order, chunks)
     inside = W.partitionBy(CHUNK, *by).orderBy(*order)
-    recent = F.collect_list(F.coalesce(F.col(value), F.lit("None"))).over(inside.rowsBetween(-back, 0))
-    size = F.count("*").over(W.partitionBy(CHUNK, *by))
-    placed = (
-        spread.withColumn("own", _list_entropy(recent))
-        .withColumn("rank", F.row_number().over(inside))
-        .withColumn("size", size)
+    ranked = spread.withColumns(
+        {"rank": F.row_number().over(inside), "size": F.count("*").over(W.partitionBy(CHUNK, *by))}
+    )
+    same = W.partitionBy(CHUNK, *by, "v").orderBy("rank")
+    counted = ranked.withColumns(
+        {
+            "enters": _step(F.count("*").over(same.rangeBetween(-back, 0))),
+            "leaves": _step(F.count("*").over(same.rangeBetween(0, back))),
+        }
     )
+    placed = W.partitionBy(CHUNK, *by).orderBy("rank")
+    gone = F.coalesce(F.sum("leaves").over(placed.rowsBetween(W.unboundedPreceding, -rows)), F.lit(0.0))
+    total = F.sum("enters").over(placed.rowsBetween(W.unboundedPreceding, 0)) - gone
+    held = F.least(F.col("rank"), F.lit(rows)).cast("double")
+    own = counted.withColumn("own", F.greatest(F.log2(held) - total / held, F.lit(0.0)))
+
     early = F.col("rank") <= back
     edge = early | (F.col("rank") > F.col("size") - back)
     key = F.when(~edge, F.xxhash64(CHUNK, *order))
     across = W.partitionBy(*by, "key").orderBy(*order).rowsBetween(-back, 0)
-    joined = placed.withColumn("key", key).withColumn(
-        "joined", F.collect_list(F.coalesce(F.col(value), F.lit("None"))).over(across)
+    joined = (
+        own.select(*by, *order, value, "v", "rank", "own", key.alias("key"))
+        .withColumn("joined", F.collect_list("v").over(across))
     )
     # A longer list means that rows of an earlier chunk came in.
     longer = early & (F.size("joined") > F.col("rank"))
@@ -192,6 +207,12 @@ def rolling_entropy(
     )
 
 
+def _step(count: Column) -> Column:
+    """What a count of c adds to sum(c * log2 c) over a count of c - 1."""
+    c = count.cast("double")
+    return c * F.log2(c) - F.when(c > 1, (c - 1) * F.log2(c - 1)).otherwise(0.0)
+
+
 def _list_entropy(values: Column) -> Column:
     """Entropy of a short list: log2(N) - sum(n * log2 n) / N over the runs of the sorted list."""
     total = F.size(values).cast("double")

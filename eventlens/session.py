@@ -42,6 +42,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once, so that several readers share one result."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared folder and read that: lineage ends, columns stay prunable.
+
+    Several readers then share one result, and a lost executor costs a re-read, not a re-run.
+    """
+    path = new_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
