@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
-from checks.sample import DAY, EV, FAILED_LOGIN, SC, events, scoped
+from checks.sample import DAY, EV, FAILED_LOGIN, SC, events, scoped, table
+from eventlens.functions.text import file_extension, path_depth, special_char_ratio
 from eventlens.functions.time import time_parts
 from eventlens.operators import features, frequency, ordered, tfidf
 from eventlens.plans.detection import family_windows
@@ -339,6 +340,56 @@ def _(spark, sf):
     return rounded(tfidf.mean_tfidf(scoped(spark, sf, 86400), BY, F.col("command"), ngrams=(1, 2)))
 
 
+DOCUMENTS = """WITH tok AS (SELECT lang, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM documents),
+docs AS (SELECT lang, count(*) AS nd FROM documents GROUP BY lang),
+tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM (SELECT lang, doc_id, unnest(w) AS term FROM tok) GROUP BY ALL),
+dfr AS (SELECT lang, term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY ALL),
+cut AS (SELECT * FROM dfr QUALIFY row_number() OVER (PARTITION BY lang ORDER BY total DESC, term) <= 100),
+voc AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY term) - 1 AS i, nd,
+               ln((1 + nd) / (1 + df)) + 1 AS idf FROM cut JOIN docs USING (lang)),
+wt AS (SELECT lang, doc_id, i, term, nd, tf * idf AS w FROM tf JOIN voc USING (lang, term)),
+un AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY lang, doc_id)) AS u FROM wt)
+SELECT lang, CAST(i AS INTEGER) AS i, term, round(sum(u) / any_value(nd), 6) AS weight FROM un GROUP BY lang, i, term"""
+
+
+@query("tfidf_documents", DOCUMENTS)
+def _(spark, sf):
+    texts = table(spark, sf, "documents")
+    return rounded(tfidf.mean_tfidf(texts, ["lang"], F.col("text"), stop_words=[]))
+
+
+_URL_RATIO = RATIO.format("url")
+
+
+@query(
+    "url_measures",
+    f"SELECT page_id, CAST(len(string_split(url, '/')) AS INTEGER) AS depth, "
+    f"CASE WHEN contains(url, '.') THEN string_split(url, '.')[-1] ELSE 'no_extension' END AS extension, "
+    f"round({_URL_RATIO}, 6) AS special_char_ratio FROM pages",
+)
+def _(spark, sf):
+    url = F.col("url")
+    return rounded(
+        table(spark, sf, "pages").select(
+            "page_id",
+            path_depth(url).alias("depth"),
+            file_extension(url).alias("extension"),
+            special_char_ratio(url).alias("special_char_ratio"),
+        )
+    )
+
+
+@query(
+    "role_transitions",
+    "SELECT conv_id, concat(role, '->', b) AS transition, count(*) AS n FROM "
+    "(SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL GROUP BY ALL",
+)
+def _(spark, sf):
+    turns = table(spark, sf, "conversations")
+    counted = ordered.transition_counts(turns, ["conv_id"], ["turn"], {"role": F.col("role")})
+    return counted.select("conv_id", "transition", "n")
+
+
 TFIDF_FEATURES = tfidf_sql(False)
 ALL_PARTS = {
     "basic": [*EVENT_TYPE, *IP, *USER, *PROCESS, *ALERT, *NETWORK, *SYSCALL, *CMDLINE],

@@ -114,6 +114,19 @@ def _(spark, sf):
     return incidents.high_score_events(events(spark, sf), RULES, MODEL).select("incident_id", "event_id", "score")
 
 
+@query(
+    "incident_event_store",
+    f"WITH {INCIDENTS}, top AS (SELECT id, timestamp AS t FROM inc ORDER BY event_count DESC, timestamp LIMIT 1) "
+    "SELECT id AS incident_id, event_id, hit.timestamp, score FROM hit JOIN top ON strftime(w, '%Y-%m-%dT%H:%M:%S') = t",
+)
+def _(spark, sf):
+    path = new_path(spark, "incident-events")
+    scored = events(spark, sf)
+    stores.write_incident_events(incidents.high_score_events(scored, RULES, MODEL), path)
+    top = incidents.detect_incidents(scored, RULES, MODEL).orderBy(F.desc("event_count"), "timestamp").limit(1)
+    return stores.read_incident_events(spark, path, top).select("incident_id", "event_id", "timestamp", "score")
+
+
 @query("incident_store", f"WITH {INCIDENTS} SELECT *, 2 AS model_facts FROM inc")
 def _(spark, sf):
     path = new_path(spark, "incidents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 # Thresholds and routing that define an incident.
@@ -58,3 +58,45 @@ def enabled_channels(config: Mapping | None) -> list[str]:
     known = ("email", "slack", "webhook")
     settings = (config or {}).get("notifications", {})
     return [c for c in known if c in settings and (settings[c] or {}).get("enabled", True)]
+
+
+# Where settings switch feature families off (section, key -> family).
+FAMILY_SWITCHES = {
+    ("features", "user_behavior"): "user",
+    ("features", "network_traffic"): "network",
+    ("features", "system_calls"): "syscall",
+    ("features", "command_line"): "cmdline",
+    ("advanced_features", "text_features"): "text",
+    ("advanced_features", "sequence_features"): "sequence",
+    ("advanced_features", "correlation_features"): "correlation",
+    ("advanced_features", "entropy_features"): "entropy",
+}
+
+
+def enabled_families(config: Mapping | None, families: Sequence[str]) -> list[str]:
+    """``families`` without those that ``config`` switches off; families without a switch stay."""
+    config = config or {}
+    off = {
+        family
+        for (section, key), family in FAMILY_SWITCHES.items()
+        if not (config.get(section, {}).get(key) or {}).get("enabled", True)
+    }
+    return [f for f in families if f not in off]
+
+
+def scope_seconds(config: Mapping | None) -> int:
+    """Width of a feature window."""
+    return (config or {}).get("features", {}).get("window_size", DEFAULT_SCOPE_SECONDS)
+
+
+def family_seconds(config: Mapping | None) -> dict[str, int]:
+    """Width of each family's own window, where the settings name one."""
+    given = (config or {}).get("features", {})
+    names = {key: family for (section, key), family in FAMILY_SWITCHES.items() if section == "features"}
+    named = {family: (given.get(key) or {}).get("window_size") for key, family in names.items()}
+    return {**FAMILY_SECONDS, **{f: w for f, w in named.items() if w}}
+
+
+def tfidf_options(config: Mapping | None) -> dict:
+    """Keyword arguments of the TF-IDF features."""
+    return {"max_features": (config or {}).get("advanced_features", {}).get("tfidf_max_features", 100)}

@@ -21,6 +21,21 @@ def write_incidents(incidents: DataFrame, path: str, fmt: str = "parquet", mode:
     incidents.withColumn("dt", day).hint("rebalance", "dt").write.partitionBy("dt").mode(mode).format(fmt).save(path)
 
 
+def write_incident_events(hits: DataFrame, path: str, mode: str = "append") -> None:
+    """The events of all incidents (``high_score_events``) as rows with ``incident_id``, partitioned by day."""
+    day = F.date_format("window", "yyyy-MM-dd")
+    hits.withColumn("dt", day).hint("rebalance", "dt").write.partitionBy("dt").mode(mode).parquet(path)
+
+
+def read_incident_events(spark: SparkSession, path: str, incident: DataFrame | None = None) -> DataFrame:
+    """Stored events; those of one incident when its row is given, reading only that day."""
+    stored = spark.read.parquet(path)
+    if incident is None:
+        return stored.drop("dt")
+    one = incident.select("id", "timestamp").first()
+    return stored.where((F.col("dt") == one["timestamp"][:10]) & (F.col("incident_id") == one["id"])).drop("dt")
+
+
 def read_incidents(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Incidents of a parquet store, reading only the days between the ISO times, both inclusive."""
     stored = spark.read.schema(T.StructType([*INCIDENT_SCHEMA.fields, T.StructField("dt", T.StringType())])).parquet(path)

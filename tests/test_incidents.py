@@ -89,6 +89,16 @@ def test_store_lookup_and_list(spark, sample):
     assert stores.read_incidents(spark, path, "2024-01-02T00:00:00").count() == 0
 
 
+def test_stored_events_of_an_incident(spark, sample):
+    path = new_path(spark, "incident-events")
+    stores.write_incident_events(incidents.high_score_events(sample), path)
+    made = incidents.detect_incidents(sample)
+    for r in made.collect():
+        found = stores.read_incident_events(spark, path, made.where(F.col("id") == r["id"]))
+        assert found.count() == r["event_count"] and found.agg(F.max("score")).first()[0] == r["max_score"]
+    assert stores.read_incident_events(spark, path).count() == 4
+
+
 def test_store_reads_only_the_wanted_days(spark, sample):
     path = new_path(spark, "incidents")
     stores.write_incidents(incidents.detect_incidents(sample), path)
