@@ -357,11 +357,34 @@ def _(spark, sf):
     return model.predict(gaps, raw=True, fill="mean")
 
 
-@query("model_roundtrip")
+def _same(left, right, key):
+    """Per key: do both predictions agree in label and score?"""
+    a = left.select(key, F.struct("prediction", "score").alias("a"))
+    b = right.select(key, F.struct("prediction", "score").alias("b"))
+    return a.join(b, key).select(key, (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("model_roundtrip", "SELECT vec_id, true AS same FROM embeddings")
 def _(spark, sf):
     vectors = _vectors(spark, sf)
-    path = stores.save_model(spark, Detector.fit(vectors, ["vec_id"]), new_path(spark, "model"))
-    return stores.load_model(spark, path).predict(vectors)
+    model = Detector.fit(vectors, ["vec_id"])
+    loaded = stores.load_model(spark, stores.save_model(spark, model, new_path(spark, "model")))
+    return _same(model.predict(vectors), loaded.predict(vectors), "vec_id")
+
+
+@query(
+    "forest_cutoff_share",
+    f"WITH {SC} SELECT count(DISTINCT scope) AS scopes, CAST(floor((count(DISTINCT scope) - 1) * 0.1) + 1 AS BIGINT) AS anomalies, "
+    "true AS in_range FROM sc",
+)
+def _(spark, sf):
+    matrix = _hourly(spark, sf)
+    scored = Detector.fit(matrix, BY, MODEL_FEATURES).predict(matrix)
+    return scored.agg(
+        F.count("*").alias("scopes"),
+        F.sum("prediction").alias("anomalies"),
+        F.bool_and(F.col("score").between(-1, 0)).alias("in_range"),
+    )
 
 
 @query("model_summary")

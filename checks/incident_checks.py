@@ -60,6 +60,12 @@ def _(spark, sf):
     return sources.event_records(events(spark, sf), EVENT_SCHEMA.names)
 
 
+@query("event_records_roundtrip", f"WITH {EV} SELECT {', '.join(EVENT_SCHEMA.names)} FROM ev")
+def _(spark, sf):
+    records = sources.event_records(events(spark, sf), EVENT_SCHEMA.names)
+    return records.select(F.from_json("event", EVENT_SCHEMA).alias("e")).select("e.*")
+
+
 @query("payload_rows", f"WITH {EV} SELECT event_id, execution_time, command FROM ev")
 def _(spark, sf):
     fields = ("event_id", "execution_time", "command")
@@ -216,6 +222,17 @@ for _channel in ("email", "slack", "webhook"):
     query(f"payload_{_channel}")(_payload(_channel))
 
 
+@query(
+    "payload_events",
+    f"WITH {INCIDENTS} SELECT id, title, event_id, hit.score FROM hit JOIN inc ON strftime(w, '%Y-%m-%dT%H:%M:%S') = inc.timestamp",
+)
+def _(spark, sf):
+    sent = _messages(spark, sf).where(F.col("channel") == "webhook")
+    schema = "id string, title string, details struct<events: array<struct<event_id: bigint, score: double>>>"
+    bodies = sent.select(F.from_json("body", schema).alias("b"))
+    return bodies.select("b.id", "b.title", F.inline("b.details.events"))
+
+
 @query(
     "delivery_log",
     f"WITH {INCIDENTS}, r AS (SELECT id, event_count, unnest(CASE severity WHEN 'high' THEN ['email', 'slack', 'webhook'] ELSE ['slack', 'webhook'] END) AS channel FROM inc) "

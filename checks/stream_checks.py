@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.detection_checks import DIMENSIONS, _vectors
+from checks.detection_checks import DIMENSIONS, _same, _vectors
 from checks.feature_checks import counts
 from checks.incident_checks import INCIDENTS, MODEL, RULES
 from checks.registry import query, rounded
@@ -80,13 +80,14 @@ def _(spark, sf):
     return _naive(sinks.collect_table(spark, stream, "stream-dedup"), "timestamp")
 
 
-@query("stream_scores")
+@query("stream_scores", "SELECT vec_id, true AS same FROM embeddings")
 def _(spark, sf):
     vectors = _vectors(spark, sf)
     model = Detector.fit(vectors, ["vec_id"])
     raw = stream_table(spark, sf, table(spark, sf, "embeddings").schema, "embeddings.parquet")
     cells = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(DIMENSIONS)]
-    return sinks.collect_table(spark, queries.scored_stream(raw.select("vec_id", *cells), model), "stream-scores")
+    scored = queries.scored_stream(raw.select("vec_id", *cells), model)
+    return _same(sinks.collect_table(spark, scored, "stream-scores"), model.predict(vectors), "vec_id")
 
 
 @query(
