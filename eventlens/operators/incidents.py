@@ -14,9 +14,14 @@ from eventlens.operators.ordered import CHUNK, range_chunks
 
 
 def attach_scores(events: DataFrame, scores: DataFrame, keys: str | list[str] = "event_id") -> DataFrame:
-    """Events with their ``prediction`` and ``score``, by event id or by scope columns."""
-    keys = [keys] if isinstance(keys, str) else keys
+    """Events with their ``prediction`` and ``score``: by an id, or by a list of scope columns.
+
+    Scope columns may be null, an entity for example, and null then means null; an id may not.
+    ``scores`` has one row per key.
+    """
     plain = events.drop("prediction", "score")
+    if isinstance(keys, str):
+        return plain.join(scores.select(keys, "prediction", "score"), keys)
     return join_null_safe(plain, scores.select(*keys, "prediction", "score"), keys)
 
 

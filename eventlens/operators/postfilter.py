@@ -66,7 +66,7 @@ def zip_results(batches: DataFrame, batch: str = "batch_id") -> DataFrame:
     pairs = F.arrays_zip(
         F.slice("predictions", F.lit(1), shorter).alias("prediction"), F.slice("scores", F.lit(1), shorter).alias("score")
     )
-    rows = batches.select(batch, F.posexplode(pairs).alias("index", "pair"))
+    rows = batches.select(batch, F.posexplode_outer(pairs).alias("index", "pair")).where(F.col("index").isNotNull())
     return rows.select(batch, "index", F.col("pair")["prediction"].alias("prediction"), F.col("pair")["score"].alias("score"))
 
 

@@ -13,19 +13,50 @@ from eventlens.operators.joins import join_null_safe
 WORD = r"(?U)\b\w\w+\b"
 
 
-def terms_of(text: Column, stop_words: Sequence[str], ngrams: tuple[int, int] = (1, 1)) -> Column:
-    """Lower-case words without stop words, and their neighbouring runs of up to ``ngrams[1]`` words."""
+def words_of(text: Column, stop_words: Sequence[str]) -> Column:
+    """Lower-case words in order, without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    kept = F.filter(words, lambda w: ~w.isin(list(stop_words))) if stop_words else words
-    low, high = ngrams
-    return F.concat(*[kept if size == 1 else _runs(kept, size) for size in range(low, high + 1)])
+    return F.filter(words, lambda w: ~w.isin(list(stop_words))) if stop_words else words
 
 
-def _runs(words: Column, size: int) -> Column:
-    """Every ``size`` neighbouring words, joined by a blank."""
+def runs_of(words: str, size: int) -> Column:
+    """Every ``size`` neighbouring words of a list column, joined by a blank."""
+    kept = F.col(words)
+    if size == 1:
+        return kept
     none = F.array().cast("array<int>")
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - F.lit(size - 1))).otherwise(none)
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+    starts = F.when(F.size(kept) >= size, F.sequence(F.lit(1), F.size(kept) - F.lit(size - 1))).otherwise(none)
+    return F.transform(starts, lambda i: F.array_join(F.slice(kept, i, size), " "))
+
+
+def term_counts(texts: DataFrame, stop_words: Sequence[str], ngrams: tuple[int, int]) -> DataFrame:
+    """The other columns of ``texts`` with one row per different term of ``text``: (term, tf).
+
+    The empty term occurs once in every text. A text's terms are sorted in place and the lengths of
+    equal runs read off, so counting needs no shuffle. Each list is a column of its own before
+    lambdas look into it, or Spark would build it anew for every element.
+    """
+    rest = [c for c in texts.columns if c != "text"]
+    low, high = ngrams
+    listed = texts.select(*rest, words_of(F.col("text"), stop_words).alias("words"))
+    ordered = listed.select(
+        *rest, F.sort_array(F.concat(F.array(F.lit("")), *[runs_of("words", n) for n in range(low, high + 1)])).alias("terms")
+    )
+    # Positions, from 1, at which a new term begins.
+    terms, starts = F.col("terms"), F.col("starts")
+    begins = F.filter(
+        F.sequence(F.lit(1), F.size(terms)), lambda i: ~F.get(terms, i - 1).eqNullSafe(F.get(terms, i - 2))
+    )
+    cut = ordered.select(*rest, "terms", begins.alias("starts"))
+    counts = F.transform(
+        starts,
+        lambda i, j: F.struct(
+            F.get(terms, i - 1).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(terms) + 1) - i).alias("tf")
+        ),
+    )
+    # A plain inline would first filter on the list's size, and Spark moves that below the grouping
+    # of the texts: every text would be split into words twice.
+    return cut.select(*rest, counts.alias("counts")).select(*rest, F.inline_outer("counts"))
 
 
 def mean_tfidf(
@@ -44,14 +75,9 @@ def mean_tfidf(
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     texts = df.select(*by, F.coalesce(text, F.lit("")).alias("text")).groupBy(*by, "text").agg(F.count("*").alias("n"))
-    # Each text also yields the empty term, which no word equals: its row counts the texts.
-    words = F.concat(F.array(F.lit("")), terms_of(F.col("text"), stop_words, ngrams))
-    tf = (
-        texts.select(*by, F.sha2("text", 256).alias("doc"), "n", F.explode(words).alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy(*by, "doc", "n", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    # The text's hash stands for it from here on. The empty term's row counts the texts.
+    hashed = texts.select(*by, F.unhex(F.sha2("text", 256)).alias("doc"), "n", "text")
+    tf = term_counts(hashed, stop_words, ngrams).where(F.col("term").isNotNull())
     counter = F.col("term") == ""
     ranked = W.partitionBy(*by).orderBy(F.desc(counter), F.desc("total"), "term")
     vocabulary = (

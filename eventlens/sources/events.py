@@ -59,4 +59,6 @@ def payload_rows(df: DataFrame, payload: Column, row_schema: T.StructType | str,
     rows = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, T.ArrayType(row_schema))).otherwise(
         zipped.cast(T.ArrayType(row_schema))
     )
-    return df.select(*keep, F.inline(rows))
+    # The outer form keeps Spark from parsing each payload once more to look for empty lists.
+    listed = df.select(*keep, F.posexplode_outer(rows).alias("__place", "__row"))
+    return listed.where(F.col("__place").isNotNull()).select(*keep, "__row.*")

@@ -258,3 +258,11 @@ def test_scores_on_events(spark):
     df = frame(spark, [{}, {}, {}])
     scores = spark.createDataFrame([(0, 1, 0.9), (2, 0, 0.1)], "event_id bigint, prediction int, score double")
     assert sorted((r["event_id"], r["score"]) for r in attach_scores(df, scores).collect()) == [(0, 0.9), (2, 0.1)]
+
+
+def test_scores_on_scopes_with_null_entities(spark):
+    from eventlens.operators.incidents import attach_scores
+
+    df = frame(spark, [{"username": "a"}, {}, {"username": "b"}])
+    scores = spark.createDataFrame([("a", 1, 0.9), (None, 0, 0.1)], "username string, prediction int, score double")
+    assert sorted((r["event_id"], r["score"]) for r in attach_scores(df, scores, ["username"]).collect()) == [(0, 0.9), (1, 0.1)]
