@@ -204,6 +204,18 @@ def _(spark, sf):
     return routing.route(_incidents(spark, sf), CHANNELS).select("id", "severity", "channel")
 
 
+@query(
+    "event_pages",
+    f"WITH {INCIDENTS}, nr AS (SELECT id, event_id, (row_number() OVER (PARTITION BY w ORDER BY hit.timestamp, event_id) - 1) // 2 AS page "
+    "FROM hit JOIN inc ON strftime(w, '%Y-%m-%dT%H:%M:%S') = inc.timestamp) "
+    "SELECT id AS incident_id, page, string_agg(event_id, ',' ORDER BY event_id) AS event_ids FROM nr GROUP BY ALL",
+)
+def _(spark, sf):
+    pages = incidents.event_pages(incidents.high_score_events(events(spark, sf), RULES, MODEL), 2)
+    # Event ids rise with time in these tables.
+    return pages.select("incident_id", "page", F.array_join("events.event_id", ",").alias("event_ids"))
+
+
 def _messages(spark, sf):
     df = events(spark, sf)
     pages = incidents.event_pages(incidents.high_score_events(df, RULES, MODEL))

@@ -11,6 +11,7 @@ from eventlens.functions.severity import severity_of
 from eventlens.functions.time import iso_text, window_start
 from eventlens.operators.joins import join_null_safe
 from eventlens.operators.ordered import CHUNK, range_chunks
+from eventlens.session import settle
 
 
 def attach_scores(events: DataFrame, scores: DataFrame, keys: str | list[str] = "event_id") -> DataFrame:
@@ -125,25 +126,26 @@ def get_incident(incidents: DataFrame, incident: str) -> DataFrame:
 
 
 def event_pages(hits: DataFrame, page_size: int = 500, chunks: int | None = None) -> DataFrame:
-    """(incident_id, page, events): every event of an incident, in order, in lists of bounded length.
+    """(incident_id, page, events): every event of an incident, in order, in lists of ``page_size``.
 
-    Pages are numbered by range chunk and place in the chunk, so sorting by ``page`` restores the
-    order and one huge incident is spread over many tasks.
+    An event's place is its place in its range chunk plus the rows of the incident's earlier chunks,
+    so one huge incident is spread over many tasks and a repeated run cuts the same pages.
     """
     rows = range_chunks(hits, ["incident_id"], ["timestamp", "event_id"], chunks)
-    place = F.row_number().over(W.partitionBy(CHUNK, "incident_id").orderBy("timestamp", "event_id"))
-    page = F.struct(F.col(CHUNK).alias("chunk"), F.floor((place - 1) / page_size).alias("part"))
-    event = F.struct(*[c for c in hits.columns if c not in ("incident_id", "window")])
+    inside = W.partitionBy(CHUNK, "incident_id").orderBy("timestamp", "event_id")
+    # Written once: the counts and the rows below must see the same chunks.
+    placed = settle(rows.withColumn("place", F.row_number().over(inside)))
+    earlier = W.partitionBy("incident_id").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy("incident_id", CHUNK).agg(F.count("*").alias("in_chunk"))
+    offsets = counts.select("incident_id", CHUNK, F.coalesce(F.sum("in_chunk").over(earlier), F.lit(0)).alias("offset"))
+    page = F.floor((F.col("offset") + F.col("place") - 1) / page_size).alias("page")
+    event = F.struct(*[c for c in hits.columns if c not in ("incident_id", "window")]).alias("event")
+    ordered = F.array_sort(F.collect_list(F.struct("event.timestamp", "event.event_id", "event")))
     return (
-        rows.select("incident_id", CHUNK, page.alias("page"), event.alias("event"))
-        .groupBy("incident_id", CHUNK, "page")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col("event.timestamp"), F.col("event.event_id"), "event"))),
-                lambda e: e["event"],
-            ).alias("events")
-        )
-        .drop(CHUNK)
+        placed.join(offsets, ["incident_id", CHUNK])
+        .select("incident_id", page, event)
+        .groupBy("incident_id", "page")
+        .agg(F.transform(ordered, lambda e: e["event"]).alias("events"))
     )
 
 

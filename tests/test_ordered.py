@@ -124,7 +124,7 @@ def test_event_pages_hold_every_event_in_order(spark, chunks):
     df = frame(spark, [{"timestamp": i // 50, "event_type": "t"} for i in range(n)]).withColumn("score", F.lit(0.95))
     hits = incidents.high_score_events(df)
     pages = incidents.event_pages(hits, 20, chunks).collect()
-    assert all(len(p["events"]) <= 20 for p in pages)
+    assert {p["page"]: len(p["events"]) for p in pages} == {i: 20 if i < 11 else 10 for i in range(12)}
     ids = [e["event_id"] for p in sorted(pages, key=lambda p: p["page"]) for e in p["events"]]
     assert ids == list(range(n))
     assert {p["incident_id"] for p in pages} == {incidents.detect_incidents(df).first()["id"]}
