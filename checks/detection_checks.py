@@ -374,7 +374,7 @@ def _(spark, sf):
 
 @query(
     "forest_cutoff_share",
-    f"WITH {SC} SELECT count(DISTINCT scope) AS scopes, CAST(floor((count(DISTINCT scope) - 1) * 0.1) + 1 AS BIGINT) AS anomalies, "
+    f"WITH {SC} SELECT count(DISTINCT scope) AS scopes, CAST(ceil((count(DISTINCT scope) - 1) * CAST(0.1 AS DOUBLE)) AS BIGINT) AS anomalies, "
     "true AS in_range FROM sc",
 )
 def _(spark, sf):

@@ -232,7 +232,11 @@ def sequence_features(
     freq = counts.select(
         *by, F.col("kind").alias("field"), F.col("transition").alias("value"), "n", gaps_only, *carried[1:]
     )
-    stats = frequency.field_stats(freq, by, list(values), carried)
+    if values:
+        stats = frequency.field_stats(freq, by, list(values), carried)
+    else:
+        nothing = F.lit(None).cast("double")
+        stats = freq.select("*", nothing.alias("rows"), nothing.alias("entropy_smoothed"))
     measured = stats.select("*", *[c.alias(name) for name, c in ordered.gap_measures(F.col("gaps")).items()])
     measures = [
         Measure("sequence", "CASE WHEN field <> 'gap' AND value IS NOT NULL THEN concat(field, '_transition_', value) END", "rows"),
