@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, rounded
+from checks.registry import query
 from checks.sample import EV, events, table
 from eventlens import IncidentRules
 from eventlens.functions.severity import rule_severity, severity_of
