@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from eventlens.operators.ranked import first_ranked
 
 DRIFT_THRESHOLD = 0.1
 HISTORY_SIZE = 1000
@@ -42,8 +44,7 @@ def newest(history: DataFrame, keep: int = HISTORY_SIZE, by: Sequence[str] = (),
     """The newest ``keep`` records, per group or of the whole table."""
     if not by:
         return history.orderBy(F.desc(ts)).limit(keep)
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(ts)))
-    return history.withColumn("__rank", rank).where(F.col("__rank") <= keep).drop("__rank")
+    return first_ranked(history, by, [F.desc(ts)], keep)
 
 
 def latest(history: DataFrame, ts: str = "timestamp") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens.functions.ids import content_id, experiment_content_id
+from eventlens.operators.ranked import first_ranked
 
 
 def version_records(models: DataFrame) -> DataFrame:
@@ -32,19 +33,16 @@ def experiment_records(experiments: DataFrame) -> DataFrame:
 
 def latest_records(log: DataFrame, key: str, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
     """The last record per key of an append-only log: writing a key again replaces its record."""
-    return _first_ranked(log, [key], ts, 1, tie)
+    return first_ranked(log, [key], _newest_first(ts, tie), 1)
 
 
 def keep_newest(records: DataFrame, group: str, keep: int = 5, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
     """The newest ``keep`` records per group."""
-    return _first_ranked(records, [group], ts, keep, tie)
+    return first_ranked(records, [group], _newest_first(ts, tie), keep)
 
 
-def _first_ranked(df: DataFrame, by: list[str], ts: str, keep: int, tie: str | None) -> DataFrame:
-    # Spark cuts each task's rows to the first ``keep`` per group before the shuffle.
-    order = [F.desc(ts), *([F.desc(tie)] if tie else [])]
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= keep).drop("__rank")
+def _newest_first(ts: str, tie: str | None) -> list[Column]:
+    return [F.desc(ts), *([F.desc(tie)] if tie else [])]
 
 
 def lookup(records: DataFrame, key: str, value: str) -> DataFrame:

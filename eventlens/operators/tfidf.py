@@ -8,6 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventlens.operators.joins import join_null_safe
+from eventlens.operators.ranked import first_ranked
 
 # Fixed value: words of two or more word characters.
 WORD = r"(?U)\b\w\w+\b"
@@ -79,13 +80,11 @@ def mean_tfidf(
     hashed = texts.select(*by, F.unhex(F.sha2("text", 256)).alias("doc"), "n", "text")
     tf = term_counts(hashed, stop_words, ngrams).where(F.col("term").isNotNull())
     counter = F.col("term") == ""
-    ranked = W.partitionBy(*by).orderBy(F.desc(counter), F.desc("total"), "term")
+    totals = tf.groupBy(*by, "term").agg(F.sum(F.col("tf") * F.col("n")).alias("total"), F.sum("n").alias("df"))
+    # One more for the empty term, which stays in front.
+    kept = first_ranked(totals, by, [F.desc(counter), F.desc("total"), "term"], max_features + 1)
     vocabulary = (
-        tf.groupBy(*by, "term")
-        .agg(F.sum(F.col("tf") * F.col("n")).alias("total"), F.sum("n").alias("df"))
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= max_features + 1)
-        .withColumn("texts", F.max(F.when(counter, F.col("df"))).over(W.partitionBy(*by)))
+        kept.withColumn("texts", F.max(F.when(counter, F.col("df"))).over(W.partitionBy(*by)))
         .withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("term")) - 2)
         .where(F.col("i") >= 0)
         .select(*by, "term", "i", "texts", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -247,6 +247,12 @@ def test_newest_per_group_and_last(spark):
     assert tuple(drift.latest(df).first()) == ("b", 9)
 
 
+def test_many_newest_of_a_hot_group(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("m"), F.col("id").alias("timestamp"))
+    got = drift.newest(df.repartition(5), 1500, ["m"]).groupBy("m").agg(F.count("*"), F.min("timestamp")).collect()
+    assert sorted(map(tuple, got)) == [("a", 1500, 1500), ("b", 1500, 3751)]
+
+
 def test_average_path():
     assert forest.average_path(1) == 0 and forest.average_path(2) == 1
     assert forest.average_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
