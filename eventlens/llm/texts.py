@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 # Bytes of text that one step of a task handles at once; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 
 # A cut says, for all bytes of a slice, where a new piece starts.
 Cut = Callable[[np.ndarray], np.ndarray]
@@ -17,7 +17,7 @@ Cut = Callable[[np.ndarray], np.ndarray]
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of long texts has to fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -57,15 +57,42 @@ def distinct_pieces(flat: np.ndarray, offsets: np.ndarray, cut: Cut) -> tuple[li
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(places, offsets)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_SIGN = np.arange(256) < 128
+_SIGN &= ~_LETTER
+_SIGN[[ord(" "), ord("\n")]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def lowered(flat: np.ndarray) -> np.ndarray:
+    """A-Z lowered."""
+    return _LOWER[flat]
+
+
+def word_starts(flat: np.ndarray) -> np.ndarray:
+    """Pieces end behind a blank or line end, and between an ASCII letter and an ASCII sign."""
+    starts = np.empty(len(flat), bool)
+    starts[0] = True
+    starts[1:] = (flat[:-1] == 0x20) | (flat[:-1] == 0x0A) | (_LETTER[flat[:-1]] & _SIGN[flat[1:]])
+    return starts
+
+
 def after_blank(flat: np.ndarray) -> np.ndarray:
-    """Pieces are words, each with the one blank or line end behind it."""
-    blank = (flat == 0x20) | (flat == 0x0A)
+    """Pieces end behind a blank or line end only."""
     starts = np.empty(len(flat), bool)
     starts[0] = True
-    starts[1:] = blank[:-1]
+    starts[1:] = (flat[:-1] == 0x20) | (flat[:-1] == 0x0A)
     return starts
 
 
+def plain_word(piece: str) -> str | None:
+    """The word in lower case if the piece is Latin letters (and a blank) only: no rule splits or rewrites it further."""
+    word = piece.strip(" \n").lower()
+    return word if word.isalpha() and max(word) < "\u0250" else None
+
+
 def spread(lengths: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Indices first, first + 1, ... of every run, one run after the other."""
     total = int(lengths.sum())
