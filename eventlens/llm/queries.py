@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, packing, sharding, token_counts
+from eventlens.llm import exact_dedup, packing, piece_transducer, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,3 +78,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.round_trips(table(spark, sf_dir, "documents"))
