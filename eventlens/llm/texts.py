@@ -20,15 +20,15 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes of their texts, offsets) with about SLICE_BYTES of text each; a null text counts as empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes of their texts, offsets) with about ``size`` bytes of text each; a null text counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
         start, ends = 0, text_offsets(texts)
         while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, side="right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, side="right")) - 1)
             own = texts.slice(start, stop - start)
             offsets = text_offsets(own)
             data = own.buffers()[2]
