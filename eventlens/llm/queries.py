@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, language, near_dedup, neighbours, packing, piece_transducer, quality, sharding, token_counts
+from eventlens.llm import exact_dedup, language, near_dedup, neighbours, packing, piece_transducer, quality, sharding, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,3 +106,8 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_dedup")
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
