@@ -65,4 +65,4 @@ def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """The rows of ``docs`` that stay, with all their columns."""
     groups = exact_groups(docs, id_column, text_column, support)
     stay = groups.where("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, docs[f"`{id_column}`"].eqNullSafe(stay["__stays"]), "left_semi")
+    return docs.join(stay.hint("merge"), docs[f"`{id_column}`"].eqNullSafe(stay["__stays"]), "left_semi")

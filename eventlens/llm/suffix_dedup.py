@@ -398,7 +398,7 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     settled = settle(ordered.mapInArrow(_settled_runs, RUNS))
     whole = settled.where("span").select("id", F.col("place").alias("first"), (F.col("place") + F.col("size")).alias("stop"))
     open_ = settled.where("not span").groupBy("id").agg(F.collect_list(F.struct("anchor", "place")).alias("open"))
-    strings = settle(texts.join(open_, "id").select("id", "text", "open").mapInArrow(_strings, STRINGS))
+    strings = settle(texts.join(open_.hint("merge"), "id").select("id", "text", "open").mapInArrow(_strings, STRINGS))
     crowded = strings.groupBy("anchor", "core").count().where(F.col("count") > hot).select("anchor", "core")
     few = strings.join(crowded, ["anchor", "core"], "left_anti").repartition("anchor", "core").sortWithinPartitions("anchor", "core")
     many = strings.join(crowded, ["anchor", "core"], "left_semi")
@@ -430,9 +430,9 @@ def _kept(rows: pa.RecordBatch, flat: np.ndarray, offsets: np.ndarray) -> tuple[
 
 
 def _with_spans(docs: DataFrame, texts: DataFrame, hot: int) -> DataFrame:
-    """``docs`` with a last column, the spans to remove."""
+    """``docs`` with a last column, the spans to remove. Merge joins where texts move: the plan is the same at every size."""
     spans = repeats(texts, hot).groupBy("id").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
-    return docs.join(spans, docs["id"] == spans["id"], "left").drop(spans["id"])
+    return docs.join(spans.hint("merge"), docs["id"] == spans["id"], "left").drop(spans["id"])
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
