@@ -30,7 +30,9 @@ FILTERS = 32
 HIDDEN = 16
 # Rows per label that the network is fitted on.
 PER_LABEL = 2000
+# Passes over the sample, and batches at least: a small sample is passed more often.
 EPOCHS = 16
+STEPS = 1200
 # One in so many good chunks is also learned from by its start alone.
 SHORT = 4
 BATCH = 64
@@ -115,7 +117,7 @@ def fit(chunks: dict[int, list[bytes]], seed: int = 7) -> Network:
     first_moment = {k: np.zeros_like(v) for k, v in net.items()}
     second_moment = {k: np.zeros_like(v) for k, v in net.items()}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]

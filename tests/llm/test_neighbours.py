@@ -21,7 +21,7 @@ def brute(rows, queries, k):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v], 0, "x", 1) for i, v in rows], SCHEMA).repartition(3)
 
 
 def found(df):
@@ -40,14 +40,14 @@ def test_all_cells_give_the_exact_answer_with_ties_and_odd_vectors(spark):
     good = [(i, [np.float32(x) for x in v]) for i, v in rows if usable(v)]
     df = frame(spark, rows + odd + rows[:5])
     queries = df.where("vec_id % 50 = 0 or vec_id is null")
-    got = found(neighbours.search(df, queries, candidates=10**6))
+    got = found(neighbours.search(df, queries, share=1.0))
     assert got == brute(good, [(i, v) for i, v in good if i % 50 == 0], 10)
 
 
 def test_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    got = found(neighbours.search(df, df.where("vec_id % 20 = 0"), candidates=150))
+    got = found(neighbours.search(df, df.where("vec_id % 20 = 0"), least=1))
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 10)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert got.keys() == want.keys() and hits >= 0.9 * 10 * len(want)
