@@ -8,11 +8,12 @@
 * Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per document; two documents share a
   sample with the probability of their similarity. Documents of equal words share everything and are one
   node from here on, so copies are never expanded.
-* A band's samples are a key. Every document of a key is compared with the key's first document; a key may
-  be as hot as it likes, each of its documents gives one pair. Where this leaves documents of a key in
-  different groups, they are compared by their samples inside the key, and for every document the most alike
-  one of each other group is checked as well.
-* Every pair is checked on the texts. Links of at least ``THRESHOLD`` make groups by connected components.
+* A band's samples are a key. Every document of a key is compared with the key's hub, the document that meets
+  most others over all its keys; a key may be as hot as it likes, each of its documents gives one pair. Links
+  of at least ``THRESHOLD`` on the whole texts make groups by connected components.
+* Where this leaves documents of a key in different groups, all its documents are compared inside the key, as
+  products of weights and shared shingles; what leaves the task is a spanning forest of the links found. A key
+  of more than ``GROUP`` shingles is first cut by the next band's samples.
 
 Cases: null counts as empty. Texts without words are equal if their bytes are, else unlike any other. A text
 of one to four words is one shingle. Rows with the same id are one document. A null id takes part, but if a
@@ -41,10 +42,8 @@ ROWS = 3
 # The sketch: two rows of counters, summed in blocks.
 WIDTH_BITS = 19
 BLOCK = 1 << 14
-# Samples that two documents of a key have to share to be checked beyond the key's first document.
-ALIKE = 0.55
-# Documents of a key that are compared in one task; a larger key is cut by the next band's key.
-GROUP = 5000
+# Shingles of a key that are compared in one task; a larger key is cut by the next band's key.
+GROUP = 4_000_000
 # Bytes of text per step: its arrays stay in a core's cache.
 STEP = 1 << 20
 
@@ -241,19 +240,20 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     signed = settle(_signed(texts, weigh))
     copies = signed.select("doc_id", "words").groupBy("words").agg(F.min("doc_id").alias("copy_of"))
     named = settle(signed.select("doc_id", "words").join(copies, "words").select("doc_id", "copy_of"))
-    nodes = settle(
+    nodes = (
         signed.where(F.size("bands") > 0)
         .join(copies.select(F.col("copy_of").alias("doc_id"), "words"), ["doc_id", "words"], "left_semi")
         .dropDuplicates(["doc_id"])
     )
-    keys = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = settle(keys.join(shared, ["band", "key"]))
-    pairs = members.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    links = settle(_checked(pairs, texts, weigh, threshold))
+    keys = nodes.select("doc_id", "size", "bands", F.posexplode("bands").alias("band", "key"))
+    keys = settle(keys.select("doc_id", "size", "band", "key", F.expr("bands[(band + 1) % size(bands)]").alias("next")))
+    members = settle(_members(keys))
+    pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    # Merge joins where texts move: the plan is the same at every size of the table.
+    own = settle(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    links = settle(_checked(pairs, own, weigh, threshold))
     groups = settle(components(links))
-    more = _alike(members, nodes, groups)
-    further = settle(_checked(more, texts, weigh, threshold))
+    further = settle(_within_keys(members, own, groups, weigh, threshold))
     if further.limit(1).count():
         groups = settle(components(links.unionByName(further)))
     return named.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left").select(
@@ -261,8 +261,17 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     ).select("*", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _members(keys: DataFrame) -> DataFrame:
+    """Rows of the keys that several documents share, with the key's hub and its number of shingles."""
+    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("total")).where("number > 1")
+    met = keys.join(shared, ["band", "key"])
+    busy = met.groupBy("doc_id").agg(F.sum("number").alias("meets"))
+    hubs = met.join(busy, "doc_id").groupBy("band", "key").agg(F.max_by("doc_id", F.struct("meets", -F.col("doc_id"))).alias("hub"))
+    return met.join(hubs, ["band", "key"]).select("doc_id", "band", "key", "next", "total", "hub")
+
+
 def _signed(texts: DataFrame, weigh) -> DataFrame:
-    """doc_id, words (a digest of the words, or of the bytes where there are none), bands, samples."""
+    """doc_id, words (a digest of the words, or of the bytes where there are none), bands, size (its number of shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -278,11 +287,11 @@ def _signed(texts: DataFrame, weigh) -> DataFrame:
             limits = np.concatenate(([0], np.cumsum(filled * BANDS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.ascontiguousarray(keys[filled]).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(words, pa.binary()), bands, pa.array([s.tobytes() for s in found], pa.binary())],
-                names=["doc_id", "words", "bands", "samples"],
+                [rows.column("doc_id"), pa.array(words, pa.binary()), bands, pa.array(np.diff(bounds))],
+                names=["doc_id", "words", "bands", "size"],
             )
 
-    return texts.mapInArrow(sign, "doc_id long, words binary, bands array<long>, samples binary")
+    return texts.mapInArrow(sign, "doc_id long, words binary, bands array<long>, size long")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, weigh, threshold: float) -> DataFrame:
@@ -298,12 +307,9 @@ def _checked(pairs: DataFrame, texts: DataFrame, weigh, threshold: float) -> Dat
                 good = np.array([similarity(x, y) for x, y in zip(first, second, strict=True)]) >= threshold
                 yield rows.select(["a", "b"]).filter(pa.array(good))
 
-    pairs = settle(pairs)
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = settle(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    one = own.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
-    two = own.select(F.col("doc_id").alias("b"), F.col("text").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two"))
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
 
 
 def _weighted(flat: np.ndarray, offsets: np.ndarray, weigh: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -312,37 +318,76 @@ def _weighted(flat: np.ndarray, offsets: np.ndarray, weigh: Weights) -> list[tup
     return [(ids[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _alike(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a key in different groups whose samples are alike: for each document the best of each other group."""
+def _within_keys(members: DataFrame, texts: DataFrame, groups: DataFrame, weigh, threshold: float) -> DataFrame:
+    """Links (a, b) between documents of a key that are in different groups so far: a spanning forest for each key."""
     placed = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("component", "doc_id"))
-    mixed_keys = placed.groupBy("band", "key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high")
-    open_ = placed.join(mixed_keys.select("band", "key"), ["band", "key"], "left_semi")
-    joined = open_.join(nodes.select("doc_id", "samples", "bands"), "doc_id").withColumn(
-        "part", F.when(F.col("size") > GROUP, F.element_at("bands", (F.col("band") + 1) % BANDS + 1)).otherwise(F.lit(0))
+    open_ = placed.groupBy("band", "key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high")
+    rows = placed.join(open_.select("band", "key"), ["band", "key"], "left_semi").withColumn(
+        "part", F.when(F.col("total") > GROUP, F.col("next")).otherwise(F.lit(0))
     )
 
     def compare(rows: pa.Table) -> pa.Table:
         names, own = rows.column("doc_id").to_numpy(), rows.column("own").to_numpy()
-        found = np.frombuffer(b"".join(rows.column("samples").to_pylist()), np.uint32).reshape(len(names), -1)
         out: list[tuple[int, int]] = []
-        if len(set(own.tolist())) > 1:
-            # Documents of the largest group are only ever the other side of a pair.
-            values, counts = np.unique(own, return_counts=True)
-            for i in np.flatnonzero(own != values[counts.argmax()]):
-                share = (found == found[i]).mean(axis=1)
-                share[own == own[i]] = 0
-                near = np.flatnonzero(share >= ALIKE)
-                best = near[np.lexsort((names[near], -share[near]))]
-                _, at = np.unique(own[best], return_index=True)
-                out += [(int(names[i]), int(names[j])) for j in best[at]]
-        ends = np.array(out, np.int64).reshape(-1, 2)
+        if len(np.unique(own)) > 1:
+            found = [x for batch in rows.combine_chunks().to_batches() for _, flat, offsets in slices(iter([batch]), size=STEP) for x in _shingled(flat, offsets)]
+            out = _forest(own, _similar(found, weigh.value, threshold))
+        ends = names[np.array(out, np.int64).reshape(-1, 2)]
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    pairs = joined.select("band", "key", "part", "doc_id", "own", "samples").groupBy("band", "key", "part").applyInArrow(compare, "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = rows.join(texts.hint("merge"), "doc_id").select("band", "key", "part", "doc_id", "own", "text")
+    return pairs.groupBy("band", "key", "part").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _shingled(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    ids, times, bounds, _ = shingles(flat, offsets)
+    return [(ids[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _similar(found: list[tuple[np.ndarray, np.ndarray]], weigh: Weights, threshold: float) -> np.ndarray:
+    """Row numbers (i, j), i < j, of the sets that are similar enough. The k-th of equal shingles is a feature of its own."""
+    number = len(found)
+    ids, times = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    row = np.repeat(np.repeat(np.arange(number), [len(f[0]) for f in found]), times)
+    turn = spread(times, np.zeros(len(times), np.int64)).astype(np.uint64)
+    _, first, feature, counts = np.unique(np.repeat(ids, times) ^ (turn << U(44)), return_index=True, return_inverse=True, return_counts=True)
+    weight = weigh(np.repeat(ids, times)[first], np.ones(len(first)))
+    total = np.bincount(row, weight[feature], minlength=number)
+    common = np.zeros((number, number))
+    shared = np.flatnonzero(counts > 1)
+    place = np.full(len(counts), -1)
+    step = max(64, 4_000_000 // number)
+    for at in range(0, len(shared), step):
+        own = shared[at : at + step]
+        place[:] = -1
+        place[own] = np.arange(len(own))
+        columns = place[feature]
+        has = np.zeros((number, len(own)))
+        has[row[columns >= 0], columns[columns >= 0]] = 1
+        common += (has * weight[own]) @ has.T
+    close = common >= threshold * (total[:, None] + total[None, :] - common) * (1 - 1e-12)
+    return np.argwhere(np.triu(close, 1))
+
+
+def _forest(own: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """The links that join groups which were apart until then, in order."""
+    parent = {int(g): int(g) for g in own}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in links.tolist():
+        a, b = root(int(own[i])), root(int(own[j]))
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each group, with all its columns."""
+    """The rows of one document of each group, with all their columns; those without an id go by one answer for all of them."""
     stay = classes(docs, threshold=threshold).where("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stay, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
+    return docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["__stays"]), "left_semi")
