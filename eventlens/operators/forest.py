@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting, Zhou 2008) trained and applied on Spark.
 
-Training needs ``trees * 256`` rows whatever the table's size: a hash of the row key picks them,
-each tree is grown in its own task, and the forest is a table of at most ``trees * 511`` nodes.
+Training needs ``trees * 256`` rows whatever the table's size: hashes of the row key pick them, each
+tree is grown in its own task, and the forest is a table of at most ``trees * 511`` nodes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from eventlens.operators.ranked import first_ranked
 
 # Fixed values of the model.
 TREES = 100
@@ -45,34 +47,17 @@ class Forest:
 def sample_rows(
     df: DataFrame, key: Sequence[str], features: Sequence[str], rows: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
 ) -> DataFrame:
-    """(tree, pick, x): at most ``sample`` rows per tree, without repeats inside a tree.
+    """(tree, pick, x): ``sample`` rows per tree, or all if there are fewer, drawn for each tree by itself.
 
-    ``key`` must be unique. With enough rows the trees share out one pool without overlap; the pool
-    is cut by a hash threshold first, so only about ``2 * trees * sample`` rows leave the scan.
+    ``key`` must be unique. A row has one hash per tree. Those below a bound that lets about twice the
+    sample through leave the scan, about ``2 * trees * sample`` rows of any table, and of these each tree
+    takes the lowest. The rule is the same for every number of rows.
     """
-    wanted = trees * sample
-    pick = F.xxhash64(F.lit(seed), *key)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    table = df.select(*key, pick.alias("pick"), x.alias("x"))
-    if rows <= 2 * wanted:
-        pool = table
-    else:
-        share = 2.0 * wanted / rows
-        pool = table.where(F.col("pick") <= F.lit(int(-(2**63) + share * 2**64)))
-        found = pool.count()
-        if found < wanted or found > 4 * wanted:
-            raise ValueError(f"the key {list(key)} is not unique: {found} rows share the wanted hashes")
-    order = ["pick", *key]
-    if rows >= wanted:
-        # The pool holds about 2 * wanted rows, so one task can rank it.
-        ranked = pool.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(*order)))
-        return ranked.where(F.col("rank") <= wanted).select(
-            ((F.col("rank") - 1) % trees).cast("int").alias("tree"), "pick", "x"
-        )
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    spread = spread.withColumn("pick", F.xxhash64(F.lit(seed), "tree", *key))
-    ranked = spread.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(*order)))
-    return ranked.where(F.col("rank") <= sample).select("tree", "pick", "x")
+    bound = min(2**63 - 1, int(-(2**63) + min(1.0, 2.0 * sample / rows) * 2**64))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.xxhash64(F.lit(seed), tree, *key) <= F.lit(bound))
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    picked = df.select(*key, x.alias("x"), F.explode(chosen).alias("tree")).withColumn("pick", F.xxhash64(F.lit(seed), "tree", *key))
+    return first_ranked(picked, ["tree"], ["pick", *key], sample).select("tree", "pick", "x")
 
 
 def grow(samples: DataFrame, sample: int, seed: int = SEED) -> DataFrame:
@@ -113,9 +98,11 @@ def fit_forest(
     df: DataFrame, key: Sequence[str], features: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
 ) -> Forest:
     """Train on a table of scaled features; brings only the node table to the driver."""
-    rows = df.count()
+    rows, different = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*key), 0.02)).first()
     if rows == 0:
         raise ValueError("cannot train on an empty table")
+    if different < 0.5 * rows:
+        raise ValueError(f"the key {list(key)} is not unique: about {different} values in {rows} rows")
     per_tree = min(sample, rows)
     nodes = grow(sample_rows(df, key, features, rows, trees, per_tree, seed), per_tree, seed)
     table = nodes.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)

@@ -6,22 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# Up to this rank Spark cuts the groups inside each task, before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Spark cuts groups inside each task, before the shuffle, up to this rank.
+CUT_BEFORE_SHUFFLE = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def first_ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], keep: int) -> DataFrame:
-    """The first ``keep`` rows per group in ``order``.
+    """The first ``keep`` rows per group in ``order``, or of the whole table when ``by`` is empty.
 
-    For larger ``keep`` the groups are ranked in parts first, so a hot group never meets whole.
+    Whatever ``keep`` is, every task sends ``keep`` rows per group at most, so a hot group never meets whole.
     """
-    if by and keep > GROUP_LIMIT:
-        parts = df.withColumn("__part", F.spark_partition_id())
-        df = _cut(parts, [*by, "__part"], order, keep).drop("__part")
-    return _cut(df, by, order, keep)
-
-
-def _cut(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], keep: int) -> DataFrame:
+    if not by:
+        return df.orderBy(*order).limit(keep)
+    conf = df.sparkSession.conf
+    conf.set(CUT_BEFORE_SHUFFLE, str(max(keep, int(conf.get(CUT_BEFORE_SHUFFLE)))))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= keep).drop("__rank")

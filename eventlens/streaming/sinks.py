@@ -37,16 +37,35 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     )
 
 
-def finish(query: StreamingQuery) -> None:
-    """Wait for the end; a failed query raises."""
-    query.awaitTermination()
+class LateRows:
+    """Rows that a stream dropped because they came after the watermark, added up over all batches.
 
+    Spark keeps the reports of the last batches only, so ``update`` has to be called while the stream runs,
+    before that many batches have gone by; ``finish`` does.
+    """
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped so far because they came after the watermark."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p.get("stateOperators", [])
-    )
+    def __init__(self) -> None:
+        self.by_batch: dict[tuple[str, int], int] = {}
+
+    def update(self, query: StreamingQuery) -> int:
+        for p in query.recentProgress:
+            dropped = sum(op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", []))
+            key = (str(p["runId"]), int(p["batchId"]))
+            # A batch without data may repeat a number's report; its rows count once.
+            self.by_batch[key] = max(dropped, self.by_batch.get(key, 0))
+        return self.total
+
+    @property
+    def total(self) -> int:
+        return sum(self.by_batch.values())
+
+
+def finish(query: StreamingQuery, late: LateRows | None = None) -> int:
+    """Wait for the end; a failed query raises. Returns the number of rows that came too late."""
+    late = late or LateRows()
+    while not query.awaitTermination(1):
+        late.update(query)
+    return late.update(query)
 
 
 def collect_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
