@@ -4,7 +4,7 @@ from eventlens.functions.entropy import entropy_basic, entropy_smoothed
 from eventlens.functions.ids import content_id, experiment_content_id, json_sorted_text
 from eventlens.functions.severity import rule_severity, severity_of
 from eventlens.functions.text import file_extension, path_depth, special_char_ratio
-from eventlens.functions.time import floor_time, iso_text, parse_time, time_parts, window_start
+from eventlens.functions.time import floor_time, iso_text, micros, parse_time, time_parts
 
 __all__ = [
     "content_id",
@@ -21,5 +21,5 @@ __all__ = [
     "severity_of",
     "special_char_ratio",
     "time_parts",
-    "window_start",
+    "micros",
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
 
 def _code_unit(value: Column) -> Column:
@@ -41,18 +42,68 @@ def json_string(text: Column) -> Column:
     return F.when(text.isNotNull(), F.concat(F.lit('"'), body, F.lit('"'))).otherwise("null")
 
 
-def json_sorted_text(info: Column) -> Column:
-    """JSON object of a MAP<STRING, STRING> with sorted keys, ``", "`` and ``": "`` as separators."""
-    entries = F.array_sort(F.map_entries(info))
-    pairs = F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(": "), json_string(e["value"])))
-    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
-
-
-def content_id(info: Column) -> Column:
-    """Id of a version: equal information gives an equal id."""
-    return F.substring(F.sha2(json_sorted_text(info), 256), 1, 12)
+def _json_double(value: Column) -> Column:
+    """A double as its shortest digits: plain from 1e-4 to below 1e16, else with an exponent of two digits at least."""
+    text = value.cast("string")
+    plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    exponent = F.substring_index(text, "E", -1).cast("int")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    digits = F.abs(exponent).cast("string")
+    padded = F.when(F.char_length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+    power = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"), sign, padded)
+    size = F.abs(value)
+    return (
+        F.when(F.isnan(value), "NaN")
+        .when(size == float("inf"), F.when(value > 0, "Infinity").otherwise("-Infinity"))
+        .when(~text.contains("E"), text)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(power)
+    )
 
 
-def experiment_content_id(name: Column, parameters: Column) -> Column:
+def json_text(value: Column, kind: T.DataType) -> Column:
+    """JSON text of a value of any nested type, keys sorted, ``", "`` and ``": "`` as separators."""
+    if isinstance(kind, T.StringType):
+        return json_string(value)
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(json_string(F.lit(f.name)), F.lit(": "), json_text(value[f.name], f.dataType)) for f in fields]
+        body = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise ValueError("only text can be a key")
+        pairs = F.transform(
+            F.array_sort(F.transform(F.map_keys(value), lambda k: k)),
+            lambda k: F.concat(json_string(k), F.lit(": "), json_text(F.element_at(value, k), kind.valueType)),
+        )
+        body = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        body = F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: json_text(v, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        body = _json_double(value.cast("double"))
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        body = value.cast("string")
+    elif isinstance(kind, T.NullType):
+        return F.lit("null")
+    else:
+        raise ValueError(f"no JSON text for {kind.simpleString()}")
+    return F.when(value.isNotNull(), body).otherwise("null")
+
+
+TEXT_MAP = T.MapType(T.StringType(), T.StringType())
+
+
+def json_sorted_text(info: Column, kind: T.DataType = TEXT_MAP) -> Column:
+    """JSON object with sorted keys of a map or struct of the type ``kind``."""
+    return json_text(info, kind)
+
+
+def content_id(info: Column, kind: T.DataType = TEXT_MAP) -> Column:
+    """Id of a version: equal information gives an equal id. ``kind`` is the type of ``info``."""
+    return F.substring(F.sha2(json_sorted_text(info, kind), 256), 1, 12)
+
+
+def experiment_content_id(name: Column, parameters: Column, kind: T.DataType = TEXT_MAP) -> Column:
     """Id of an experiment: its name, an underscore and its parameters."""
-    return F.substring(F.sha2(F.concat(name, F.lit("_"), json_sorted_text(parameters)), 256), 1, 12)
+    return F.substring(F.sha2(F.concat(name, F.lit("_"), json_sorted_text(parameters, kind)), 256), 1, 12)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from eventlens.schema import JSON_TEXT
+
 # Texts that receivers of the messages see.
 ALERT = "Security Incident Alert"
 UNKNOWN = "Unknown"
 NO_DESCRIPTION = "No description available"
-PRETTY = {"pretty": "true"}
+PRETTY = {"pretty": "true", **JSON_TEXT}
 
 
 def _or(value: Column, default: str) -> Column:
@@ -19,18 +21,25 @@ def subject(title: Column) -> Column:
     return F.concat(F.lit(f"{ALERT}: "), _or(title, UNKNOWN))
 
 
+def escaped(text: Column) -> Column:
+    """Text that HTML shows as it is: event types and titles come from logs that anybody may write to."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def email_body(title: Column, severity: Column, timestamp: Column, description: Column, details: Column) -> Column:
     """HTML page with one paragraph per field."""
     fields = [("Title", _or(title, UNKNOWN)), ("Severity", _or(severity, UNKNOWN)), ("Timestamp", _or(timestamp, UNKNOWN))]
-    rows = [F.concat(F.lit(f"<p><strong>{name}:</strong> "), value, F.lit("</p>")) for name, value in fields]
+    rows = [F.concat(F.lit(f"<p><strong>{name}:</strong> "), escaped(value), F.lit("</p>")) for name, value in fields]
     return F.concat_ws(
         "\n",
         F.lit(f"<html><body><h2>{ALERT}</h2>"),
         *rows,
         F.lit("<p><strong>Description:</strong></p>"),
-        F.concat(F.lit("<p>"), _or(description, NO_DESCRIPTION), F.lit("</p>")),
+        F.concat(F.lit("<p>"), escaped(_or(description, NO_DESCRIPTION)), F.lit("</p>")),
         F.lit("<p><strong>Details:</strong></p>"),
-        F.concat(F.lit("<pre>"), F.coalesce(F.to_json(details, PRETTY), F.lit("{}")), F.lit("</pre>")),
+        F.concat(F.lit("<pre>"), escaped(F.coalesce(F.to_json(details, PRETTY), F.lit("{}"))), F.lit("</pre>")),
         F.lit("</body></html>"),
     )
 

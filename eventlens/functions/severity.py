@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from eventlens.config import CONDITION_RULES, SEVERITY_LEVELS
+from eventlens.functions.numbers import known
 
 
 def severity_of(score: Column, levels: Mapping[str, float] = SEVERITY_LEVELS) -> Column:
-    """``high``, ``medium``, ``low`` (bounds inclusive) or ``info``."""
-    bucket = F.lit("info")
+    """``high``, ``medium``, ``low`` (bounds inclusive) or ``info``, also for null and NaN."""
+    score, bucket = known(score), F.lit("info")
     for name in ("low", "medium", "high"):
         bucket = F.when(score >= levels[name], name).otherwise(bucket)
     return bucket

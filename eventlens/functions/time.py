@@ -15,16 +15,21 @@ def time_parts(ts: Column) -> dict[str, Column]:
     return {"hour": F.hour(ts), "day_of_week": F.weekday(ts)}
 
 
-def window_start(ts: Column, seconds: int) -> Column:
-    """Start of the tumbling window that holds ``ts``; windows count from the epoch."""
-    return F.window(ts, f"{seconds} seconds").start
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds from the epoch to a naive time; no session zone takes part."""
+    seconds = (ts.cast("timestamp_ntz") - _epoch()).cast("interval second").cast("decimal(20,6)")
+    return (seconds * F.lit(1_000_000)).cast("bigint")
 
 
 def floor_time(ts: Column, seconds: int) -> Column:
-    """``ts`` cut to a multiple of ``seconds`` since the epoch, null for null."""
-    width = F.lit(seconds * 1_000_000)
-    micros = F.unix_micros(ts.cast("timestamp"))
-    return F.timestamp_micros(micros - F.pmod(micros, width)).cast("timestamp_ntz")
+    """A naive time cut to a multiple of ``seconds`` since the epoch, null for null."""
+    at = micros(ts)
+    whole = (at - F.pmod(at, F.lit(seconds * 1_000_000))) / F.lit(1_000_000)
+    return _epoch() + F.make_dt_interval(secs=whole.cast("decimal(18,6)"))
 
 
 def iso_text(ts: Column) -> Column:

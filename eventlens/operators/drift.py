@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from eventlens.functions.numbers import above
 from eventlens.operators.ranked import first_ranked
 
 DRIFT_THRESHOLD = 0.1
@@ -36,20 +37,24 @@ def score_drift(
         current.withColumn("mean_drift", mean_drift)
         .withColumn("std_drift", std_drift)
         .withColumn("drift_metric", F.greatest("mean_drift", "std_drift"))
-        .withColumn("drift_detected", F.col("drift_metric") > threshold)
+        .withColumn("drift_detected", above(F.col("drift_metric"), threshold))
     )
 
 
-def newest(history: DataFrame, keep: int = HISTORY_SIZE, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
-    """The newest ``keep`` records, per group or of the whole table."""
-    if not by:
-        return history.orderBy(F.desc(ts)).limit(keep)
-    return first_ranked(history, by, [F.desc(ts)], keep)
+def newest(history: DataFrame, keep: int = HISTORY_SIZE, by: Sequence[str] = (), ts: str = "timestamp", *, tie: str) -> DataFrame:
+    """The newest ``keep`` records, per group or of the whole table; ``tie`` decides between equal times."""
+    return first_ranked(history, by, [F.desc(ts), F.desc(tie)], keep)
 
 
-def latest(history: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """The last record."""
-    return history.agg(F.max_by(F.struct(*history.columns), ts).alias("r")).select("r.*")
+def latest(history: DataFrame, ts: str = "timestamp", *, tie: str) -> DataFrame:
+    """The last record; ``tie`` decides between equal times."""
+    return history.agg(F.max_by(F.struct(*history.columns), F.struct(ts, tie)).alias("r")).select("r.*")
+
+
+def record(drifts: DataFrame, timestamp: Column | str) -> DataFrame:
+    """A row of ``score_drift`` as a record of the drift history, with the time given for it."""
+    at = F.lit(timestamp).cast("timestamp_ntz") if isinstance(timestamp, str) else timestamp
+    return drifts.select(at.alias("timestamp"), "drift_metric", "mean_drift", "std_drift", "drift_detected")
 
 
 def metric_drift(reference: DataFrame, current: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
@@ -59,7 +64,7 @@ def metric_drift(reference: DataFrame, current: DataFrame, threshold: float = DR
         current.where(compared).select("metric", F.col("value").alias("c")), "metric"
     )
     drift = F.abs(F.col("r") - F.col("c"))
-    return pair.select("metric", drift.alias("drift"), (drift > threshold).alias("exceeds"))
+    return pair.select("metric", drift.alias("drift"), above(drift, threshold).alias("exceeds"))
 
 
 def drift_detected(metrics: DataFrame) -> DataFrame:

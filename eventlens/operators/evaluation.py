@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from eventlens.functions.numbers import known
 from eventlens.operators.ordered import CHUNK, range_chunks
 from eventlens.session import settle
 
@@ -18,13 +20,12 @@ def label_pairs(df: DataFrame, true: Column, predicted: Column) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(pairs: DataFrame) -> DataFrame:
-    """(true, pred, n) with a row for every pair of labels that occur on either side."""
-    both = F.array_sort(F.collect_set("label")).alias("labels")
-    # Asking for n here too makes both branches read one and the same pair table.
-    seen = pairs.where(F.col("n") > 0)
-    labels = seen.select(F.explode(F.array("true", "pred")).alias("label")).agg(both)
-    grid = labels.select("labels", F.explode("labels").alias("true")).select("true", F.explode("labels").alias("pred"))
+def confusion_matrix(pairs: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """(true, pred, n): the cells that occur, or with ``labels`` every cell of these, 0 where none occurs."""
+    if labels is None:
+        return pairs.where(F.col("n") > 0).select("true", "pred", "n")
+    cells = F.array(*[F.struct(F.lit(str(t)).alias("true"), F.lit(str(p)).alias("pred")) for t in labels for p in labels])
+    grid = pairs.sparkSession.range(1).select(F.inline(cells))
     return grid.join(pairs, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -96,13 +97,14 @@ def class_report(pairs: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, true: Column, score: Column, by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """(by, roc_auc): exact area under the ROC curve, ties counting half; null with one class only.
 
+    Labels are 0 and 1, any other raises. Rows without a label or a score (null, NaN) do not count.
     Scores are counted first; each chunk of the sorted scores keeps its own running count, and the
     chunk totals supply what lies below a chunk.
     """
-    positive = F.when(true == 1, 1).otherwise(0)
-    counts = df.groupBy(*by, score.alias("s")).agg(
-        F.sum(positive).alias("p"), F.sum(1 - positive).alias("q")
-    )
+    refused = F.raise_error(F.concat(F.lit("not a label of two classes: "), true.cast("string"))).cast("int")
+    positive = F.when(true == 1, 1).when(true == 0, 0).otherwise(refused)
+    labelled = df.where(true.isNotNull()).select(*by, known(score).alias("s"), positive.alias("p"))
+    counts = labelled.groupBy(*by, "s").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("q"))
     rows = range_chunks(counts.where(F.col("s").isNotNull()), by, ["s"], chunks)
     running = W.partitionBy(CHUNK, *by).orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow)
     below = F.sum("q").over(running) - F.col("q") / 2
@@ -120,27 +122,35 @@ def roc_auc(df: DataFrame, true: Column, score: Column, by: Sequence[str] = (),
     return total.select(*by, area.alias("roc_auc"))
 
 
-def evaluate(df: DataFrame, true: Column, predicted: Column, score: Column | None = None) -> DataFrame:
-    """One metrics record: precision, recall, f1, roc_auc, confusion_matrix and classification_report.
-
-    The last two are nested: rows of counts in label order, and a map from label to its scores.
+def evaluate(
+    df: DataFrame,
+    true: Column,
+    predicted: Column,
+    timestamp: str,
+    score: Column | None = None,
+    model_info: Mapping | None = None,
+    seq: int = 0,
+) -> DataFrame:
+    """One metrics record, as ``write_metrics`` stores it: seq, timestamp, precision, recall, f1, roc_auc,
+    confusion_matrix, classification_report and model_info.
+
+    The matrix is the list of its cells that occur, by label; the report is a map from label to its
+    scores. Both have as many entries as there are labels and pairs of labels. ``model_info`` becomes JSON text.
     """
     # Written once: one small row per pair of labels, read by all of the below.
     pairs = settle(label_pairs(df, true, predicted))
-    cells = confusion_matrix(pairs)
-    by_row = cells.groupBy("true").agg(F.array_sort(F.collect_list(F.struct("pred", "n"))).alias("row"))
-    matrix = by_row.agg(F.array_sort(F.collect_list(F.struct("true", F.col("row.n").alias("ns")))).alias("m")).select(
-        F.col("m.ns")
-    )
-    report = class_report(pairs)
+    cells = confusion_matrix(pairs).agg(F.array_sort(F.collect_list(F.struct("true", "pred", "n"))))
     entry = F.struct("label", F.struct("precision", "recall", "f1", "support").alias("v"))
-    nested = report.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))))
+    nested = class_report(pairs).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))))
     area = roc_auc(df, true, score).scalar() if score is not None else F.lit(None).cast("double")
     return weighted_scores(pairs).select(
+        F.lit(seq).cast("bigint").alias("seq"),
+        F.lit(timestamp).alias("timestamp"),
         "precision",
         "recall",
         "f1",
         area.alias("roc_auc"),
-        matrix.scalar().alias("confusion_matrix"),
+        cells.scalar().alias("confusion_matrix"),
         nested.scalar().alias("classification_report"),
+        F.lit(json.dumps(model_info, sort_keys=True) if model_info is not None else None).cast("string").alias("model_info"),
     )

@@ -14,7 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens.functions.text import file_extension, path_depth, special_char_ratio
-from eventlens.functions.time import time_parts, window_start
+from eventlens.functions.numbers import known
+from eventlens.functions.time import floor_time, time_parts
 from eventlens.operators import frequency, ordered, tfidf
 
 # (family, field, statistic, feature name). Statistics are columns of frequency.field_stats.
@@ -91,8 +92,8 @@ FAMILIES = BASIC + ADVANCED
 
 
 def with_scope(df: DataFrame, seconds: int = 3600, ts: str = "timestamp", name: str = "scope") -> DataFrame:
-    """``df`` with the start of each row's tumbling window."""
-    return df.withColumn(name, window_start(F.col(ts), seconds))
+    """``df`` with the start of each row's tumbling window, null for rows without a time."""
+    return df.withColumn(name, floor_time(F.col(ts), seconds))
 
 
 # Computed fields: name -> (column it needs, expression).
@@ -112,8 +113,8 @@ AGGREGATES: list[tuple[str, str, tuple[str, ...], Callable[[str], Column]]] = [
     ("network", "avg_packets_per_connection", ("packet_count",), lambda _: F.avg("packet_count")),
     ("network", "total_bytes", ("byte_count",), lambda _: F.coalesce(F.sum("byte_count"), F.lit(0))),
     ("network", "avg_bytes_per_connection", ("byte_count",), lambda _: F.avg("byte_count")),
-    ("cmdline", "avg_execution_time", ("execution_time",), lambda _: F.avg("execution_time")),
-    ("cmdline", "std_execution_time", ("execution_time",), lambda _: F.stddev_samp("execution_time")),
+    ("cmdline", "avg_execution_time", ("execution_time",), lambda _: F.avg(known(F.col("execution_time")))),
+    ("cmdline", "std_execution_time", ("execution_time",), lambda _: F.stddev_samp(known(F.col("execution_time")))),
     ("text", "command_avg_length", ("command",), lambda _: F.avg(F.char_length("command"))),
     ("text", "command_max_length", ("command",), lambda _: F.max(F.char_length("command"))),
     ("text", "command_min_length", ("command",), lambda _: F.min(F.char_length("command"))),

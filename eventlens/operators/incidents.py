@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventlens.config import IncidentRules
+from eventlens.functions.numbers import above
 from eventlens.functions.severity import severity_of
-from eventlens.functions.time import iso_text, window_start
+from eventlens.functions.time import floor_time, iso_text, micros
 from eventlens.operators.joins import join_null_safe
 from eventlens.operators.ordered import CHUNK, range_chunks
 from eventlens.session import settle
@@ -34,24 +35,25 @@ def _model_map(info: Mapping[str, str]) -> Column:
 def incident_id(window: Column, info: Mapping[str, str]) -> Column:
     """The same window and model always give the same id, so a repeated run changes nothing."""
     model = "|".join(f"{k}={info[k]}" for k in sorted(info))
-    return F.substring(F.sha2(F.concat(iso_text(window), F.lit(f"|{model}")), 256), 1, 32)
+    at = F.coalesce(iso_text(window), F.lit("None"))
+    return F.substring(F.sha2(F.concat(at, F.lit(f"|{model}")), 256), 1, 32)
 
 
 def high_score_events(scored: DataFrame, rules: IncidentRules = IncidentRules(), model_info: Mapping[str, str] | None = None) -> DataFrame:
     """Events strictly above the threshold with their window and the id of their incident.
 
     This table holds the incidents' events: an incident of any size is a set of rows, never a list.
+    Events without a time share an incident without one. A NaN score is above no threshold.
     """
-    hits = scored.where(F.col("score") > rules.score_threshold)
-    return hits.withColumn("window", window_start(F.col("timestamp"), rules.window_seconds)).withColumn(
+    hits = scored.where(above(F.col("score"), rules.score_threshold))
+    return hits.withColumn("window", floor_time(F.col("timestamp"), rules.window_seconds)).withColumn(
         "incident_id", incident_id(F.col("window"), model_info or {})
     )
 
 
 def moment(ts: Column, event_id: Column) -> Column:
     """One number that sorts like (time, id), which hash aggregation can take the minimum of."""
-    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(20,0)")
-    return (micros * F.lit(str(2**64)).cast("decimal(20,0)") + event_id).cast("decimal(38,0)")
+    return (micros(ts).cast("decimal(20,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + event_id).cast("decimal(38,0)")
 
 
 def type_counts(hits: DataFrame, window: Column | str = "window") -> DataFrame:

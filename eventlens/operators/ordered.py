@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from eventlens.functions.time import micros
 from eventlens.session import settle
 
 CHUNK = "__chunk"
@@ -41,10 +42,11 @@ def sequence_counts(
 
     For each kind in ``values`` a row per transition ``a->b`` with its count ``n``; a null value
     counts as the text ``None``. With ``ts``, one more row of kind ``gap`` holds the number, sum and
-    maximum and minimum of the microseconds between neighbours, and the sum of squared seconds.
+    maximum and minimum of the microseconds between neighbours, and the sum of the squares of their
+    distances in seconds from their mean.
     """
     named = [F.coalesce(column.cast("string"), F.lit("None")).alias(kind) for kind, column in values.items()]
-    us = F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(None).cast("bigint")
+    us = micros(F.col(ts)) if ts else F.lit(None).cast("bigint")
     cur = F.struct(*named, us.alias("us"))
     rows = range_chunks(df.select(*by, *order, cur.alias("cur")), by, order, chunks)
     chunk = W.partitionBy(CHUNK, *by).orderBy(*order)
@@ -86,7 +88,8 @@ def sequence_counts(
             F.count("gap").alias("gaps"),
             # Whole microseconds add up exactly.
             F.sum("gap").alias("s"),
-            F.sum(_squared(F.col("gap"))).alias("q"),
+            # Deviations from the chunk's own mean: squares of long gaps would lose the digits of short ones.
+            (F.var_pop("gap") * F.count("gap")).alias("q"),
             F.max("gap").alias("hi"),
             F.min("gap").alias("lo"),
             F.min("us").alias("first"),
@@ -104,6 +107,16 @@ def sequence_counts(
         .withColumn("bridge", bridge)
     )
     zero = F.lit(0).cast("bigint")
+    whole = W.partitionBy(*by, "kind", "tail", "spread")
+    all_gaps = F.sum(F.col("gaps") + F.when(F.col("bridge").isNull(), zero).otherwise(1)).over(whole)
+    mean = F.try_divide(F.sum(F.coalesce("s", zero) + F.coalesce("bridge", zero)).over(whole), all_gaps)
+    # A chunk's squares around its own mean, moved to the mean of all, and the square of the bridge.
+    around = (
+        F.coalesce("q", F.lit(0.0))
+        + F.coalesce(F.col("gaps") * F.pow(F.col("s") / F.nullif("gaps", F.lit(0)) - F.col("mean"), F.lit(2.0)), F.lit(0.0))
+        + F.coalesce(F.pow(F.col("bridge") - F.col("mean"), F.lit(2.0)), F.lit(0.0))
+    )
+    joined = joined.withColumn("mean", F.when(is_gap, mean)).withColumn("around", around / F.lit(1e12))
     counted = F.when(is_gap, F.col("gaps") + F.when(F.col("bridge").isNull(), zero).otherwise(1)).otherwise(F.col("rows"))
     return (
         joined.where(is_gap | F.col("b").isNotNull())
@@ -111,7 +124,7 @@ def sequence_counts(
         .agg(
             F.sum(counted).alias("n"),
             F.sum(F.coalesce("s", zero) + F.coalesce("bridge", zero)).alias("s"),
-            F.sum(F.coalesce("q", F.lit(0.0)) + F.coalesce(_squared(F.col("bridge")), F.lit(0.0))).alias("q"),
+            F.sum("around").alias("q"),
             F.max(F.greatest("hi", "bridge")).alias("hi"),
             F.min(F.least("lo", "bridge")).alias("lo"),
         )
@@ -137,20 +150,14 @@ def gap_measures(gaps: Column) -> dict[str, Column]:
     """Mean, max, min and sample deviation in seconds from the columns of a ``gap`` row."""
     n = F.nullif(gaps, F.lit(0))
     mean = F.col("s") / n / F.lit(1e6)
-    spread = F.greatest(F.col("q") - n * mean * mean, F.lit(0.0))
     return {
         "gap_mean": mean,
         "gap_max": F.col("hi") / F.lit(1e6),
         "gap_min": F.col("lo") / F.lit(1e6),
-        "gap_std": F.sqrt(F.try_divide(spread, n - 1)),
+        "gap_std": F.sqrt(F.try_divide(F.col("q"), n - 1)),
     }
 
 
-def _squared(micros: Column) -> Column:
-    seconds = micros / F.lit(1e6)
-    return seconds * seconds
-
-
 def rolling_entropy(
     df: DataFrame,
     by: Sequence[str],

@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from eventlens.functions.numbers import above
+
 # The default thresholds of each kind.
 THRESHOLDS = {"anomaly_detection": 0.5, "threat_detection": 0.7, "pattern_recognition": 0.6}
 
@@ -15,8 +17,8 @@ def _or(df: DataFrame, name: str, default: Column) -> Column:
 
 
 def anomalies(results: DataFrame, threshold: float = THRESHOLDS["anomaly_detection"]) -> DataFrame:
-    """Rows predicted anomalous with a score above the threshold."""
-    return results.where((F.col("prediction") == 1) & (F.col("score") > threshold))
+    """Rows predicted anomalous with a score above the threshold; NaN is above none."""
+    return results.where((F.col("prediction") == 1) & above(F.col("score"), threshold))
 
 
 def behaviors(results: DataFrame) -> DataFrame:

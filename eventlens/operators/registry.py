@@ -11,7 +11,7 @@ from eventlens.operators.ranked import first_ranked
 def version_records(models: DataFrame) -> DataFrame:
     """(version_id, timestamp, model_info, metrics, model_path) from rows without the id."""
     return models.select(
-        content_id(F.col("model_info")).alias("version_id"),
+        content_id(F.col("model_info"), models.schema["model_info"].dataType).alias("version_id"),
         "timestamp",
         "model_info",
         F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"),
@@ -22,7 +22,7 @@ def version_records(models: DataFrame) -> DataFrame:
 def experiment_records(experiments: DataFrame) -> DataFrame:
     """(experiment_id, name, description, parameters, timestamp, status) of new experiments."""
     return experiments.select(
-        experiment_content_id(F.col("name"), F.col("parameters")).alias("experiment_id"),
+        experiment_content_id(F.col("name"), F.col("parameters"), experiments.schema["parameters"].dataType).alias("experiment_id"),
         "name",
         "description",
         "parameters",
@@ -31,18 +31,18 @@ def experiment_records(experiments: DataFrame) -> DataFrame:
     )
 
 
-def latest_records(log: DataFrame, key: str, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
-    """The last record per key of an append-only log: writing a key again replaces its record."""
+def latest_records(log: DataFrame, key: str, ts: str = "timestamp", *, tie: str) -> DataFrame:
+    """The last record per key of an append-only log: writing a key again replaces its record. ``tie`` decides between equal times."""
     return first_ranked(log, [key], _newest_first(ts, tie), 1)
 
 
-def keep_newest(records: DataFrame, group: str, keep: int = 5, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
+def keep_newest(records: DataFrame, group: str, keep: int = 5, ts: str = "timestamp", *, tie: str) -> DataFrame:
     """The newest ``keep`` records per group."""
     return first_ranked(records, [group], _newest_first(ts, tie), keep)
 
 
-def _newest_first(ts: str, tie: str | None) -> list[Column]:
-    return [F.desc(ts), *([F.desc(tie)] if tie else [])]
+def _newest_first(ts: str, tie: str) -> list[Column]:
+    return [F.desc(ts), F.desc(tie)]
 
 
 def lookup(records: DataFrame, key: str, value: str) -> DataFrame:

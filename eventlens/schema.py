@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from eventlens.functions.numbers import known
+
+# JSON text keeps whole microseconds and names nulls.
+JSON_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+JSON_TEXT = {"ignoreNullFields": "false", **JSON_TIME}
+
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -53,18 +59,18 @@ METRICS_SCHEMA = T.StructType(
         T.StructField("roc_auc", T.DoubleType()),
         T.StructField("confusion_matrix", T.StringType()),
         T.StructField("classification_report", T.StringType()),
+        T.StructField("model_info", T.StringType()),
     ]
 )
 
 
 def complete(df: DataFrame, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """All columns of ``schema`` in order, cast to its types; absent optional ones become nulls."""
+    """All columns of ``schema`` in order, cast to its types; absent optional ones and NaN become nulls."""
     missing = [c for c in REQUIRED if c in schema.names and c not in df.columns]
     if missing:
         raise ValueError(f"events lack required columns: {', '.join(missing)}")
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    def column(f: T.StructField) -> Column:
+        value = (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
+        return (known(value) if f.dataType.typeName() == "double" else value).alias(f.name)
+
+    return df.select(*[column(f) for f in schema.fields])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventlens.config import IncidentRules
 from eventlens.functions.entropy import entropy_basic
+from eventlens.functions.numbers import above
 from eventlens.operators import incidents
 from eventlens.operators.detector import Detector
 
@@ -74,7 +75,7 @@ def stream_incidents(
     """Incidents of closed windows, equal to the batch ones."""
     # The condition names the time, or Spark would filter first and only hits would move the watermark.
     timed = F.when(F.col("timestamp").isNotNull(), F.col("score"))
-    hits = watermarked(scored, delay).where(timed > rules.score_threshold)
+    hits = watermarked(scored, delay).where(above(timed, rules.score_threshold))
     per_type = incidents.type_counts(hits, _window(rules.window_seconds).alias("w"))
     again = F.window(F.window_time("w"), f"{rules.window_seconds} seconds")
     return incidents.summarize(per_type, again, rules, model_info)
