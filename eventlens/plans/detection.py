@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.config import DEFAULT_SCOPE_SECONDS, FAMILY_SECONDS, IncidentRules
+from eventlens.config import DEFAULT_SCOPE_SECONDS, FAMILY_SECONDS, IncidentRules, enabled_families, scope_seconds
 from eventlens.operators import features, incidents
 from eventlens.operators.detector import Detector
 from eventlens.session import settle
@@ -50,20 +50,24 @@ class Detection:
 
 
 def basic_matrix(
-    events: DataFrame, by: Sequence[str], names: Sequence[str] = MODEL_FEATURES, failed_login: str = "failed_login"
+    events: DataFrame,
+    by: Sequence[str],
+    names: Sequence[str] = MODEL_FEATURES,
+    failed_login: str = "failed_login",
+    families: Sequence[str] = features.BASIC,
 ) -> DataFrame:
-    """The basic families as one wide row per scope."""
-    long = features.extract(events, by, features.BASIC, failed_login)
-    return features.feature_matrix(features.merge_features(long, by, features.BASIC), by, names)
+    """The basic families, or those of them that are given, as one wide row per scope."""
+    long = features.extract(events, by, families, failed_login)
+    return features.feature_matrix(features.merge_features(long, by, families), by, names)
 
 
 def family_windows(
     events: DataFrame, seconds: Mapping[str, int] = FAMILY_SECONDS, failed_login: str = "failed_login"
 ) -> DataFrame:
-    """(family, scope, feature, value) with a window width of its own for each family."""
+    """(family, scope, feature, value) with a window width of its own for each family; families of one width share a pass."""
     parts = [
-        features.extract(features.with_scope(events, width), ["scope"], [family], failed_login)
-        for family, width in seconds.items()
+        features.extract(features.with_scope(events, width), ["scope"], [f for f, own in seconds.items() if own == width], failed_login)
+        for width in sorted(set(seconds.values()))
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -79,15 +83,21 @@ def detect(
     rules: IncidentRules = IncidentRules(),
     model: Detector | None = None,
     failed_login: str = "failed_login",
+    config: Mapping | None = None,
 ) -> Detection:
     """Score every scope (and entity) and raise incidents from the events of high-scoring ones.
 
     Without a ``model`` one is trained on these scopes. Incident scores rise with anomaly: they are
-    the negative forest scores, in [0, 1].
+    the negative forest scores, in [0, 1]. A ``config`` sets the window, the feature families and the
+    rules instead; features of families that it switches off are 0.
     """
+    families: Sequence[str] = features.BASIC
+    if config is not None:
+        seconds, rules = scope_seconds(config), IncidentRules.from_config(config)
+        families = enabled_families(config, features.BASIC)
     scoped = features.with_scope(events, seconds)
     by = ["scope", *entity]
-    matrix = settle(basic_matrix(scoped, by, names, failed_login))
+    matrix = settle(basic_matrix(scoped, by, names, failed_login, families))
     model = model or Detector.fit(matrix, by, names)
     scopes = model.predict(matrix).withColumn("score", F.lit(0.0) - F.col("score"))
     scored = incidents.attach_scores(scoped, scopes, by)

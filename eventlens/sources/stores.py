@@ -5,54 +5,67 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from eventlens.operators.detector import Detector
+from eventlens.operators.drift import record
 from eventlens.operators.forest import NODE_SCHEMA, Forest
 from eventlens.operators.incidents import get_incident
+from eventlens.operators.registry import latest_records
 from eventlens.operators.scaling import Scaler
 from eventlens.schema import INCIDENT_SCHEMA, METRICS_SCHEMA
 
+WRITTEN = "written"
+
 
 def write_incidents(incidents: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """One dataset partitioned by day; a large day is written by several tasks."""
+    """One dataset partitioned by day; a large day is written by several tasks.
+
+    Rows carry the time of their write: readers take the last one of an id, so writing again replaces.
+    """
     day = F.substring("timestamp", 1, 10)
-    incidents.withColumn("dt", day).hint("rebalance", "dt").write.partitionBy("dt").mode(mode).format(fmt).save(path)
+    incidents.withColumns({"dt": day, WRITTEN: F.current_timestamp()}).hint("rebalance", "dt").write.partitionBy("dt").mode(mode).format(fmt).save(path)
 
 
 def write_incident_events(hits: DataFrame, path: str, mode: str = "append") -> None:
     """The events of all incidents (``high_score_events``) as rows with ``incident_id``, partitioned by day."""
     day = F.date_format("window", "yyyy-MM-dd")
-    hits.withColumn("dt", day).hint("rebalance", "dt").write.partitionBy("dt").mode(mode).parquet(path)
+    hits.withColumns({"dt": day, WRITTEN: F.current_timestamp()}).hint("rebalance", "dt").write.partitionBy("dt").mode(mode).parquet(path)
 
 
 def read_incident_events(spark: SparkSession, path: str, incident: DataFrame | None = None) -> DataFrame:
-    """Stored events; those of one incident when its row is given, reading only that day."""
+    """Stored events of each incident's last write; those of one incident when its row is given, reading only that day."""
     stored = spark.read.parquet(path)
-    if incident is None:
-        return stored.drop("dt")
-    one = incident.select("id", "timestamp").first()
-    return stored.where((F.col("dt") == one["timestamp"][:10]) & (F.col("incident_id") == one["id"])).drop("dt")
+    if incident is not None:
+        one = incident.select("id", "timestamp").first()
+        stored = stored.where((F.col("dt") == one["timestamp"][:10]) & (F.col("incident_id") == one["id"]))
+    last = stored.groupBy("incident_id").agg(F.max(WRITTEN).alias(WRITTEN))
+    return stored.join(last, ["incident_id", WRITTEN], "left_semi").drop("dt", WRITTEN)
 
 
 def read_incidents(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Incidents of a parquet store, reading only the days between the ISO times, both inclusive."""
-    stored = spark.read.schema(T.StructType([*INCIDENT_SCHEMA.fields, T.StructField("dt", T.StringType())])).parquet(path)
+    """Incidents of a parquet store, each as last written, reading only the days between the ISO times, both inclusive."""
+    own = [T.StructField(WRITTEN, T.TimestampType()), T.StructField("dt", T.StringType())]
+    stored = spark.read.schema(T.StructType([*INCIDENT_SCHEMA.fields, *own])).parquet(path)
     if start is not None:
         stored = stored.where((F.col("dt") >= start[:10]) & (F.col("timestamp") >= start))
     if end is not None:
         stored = stored.where((F.col("dt") <= end[:10]) & (F.col("timestamp") <= end))
-    return stored.drop("dt")
+    return latest_records(stored, "id", WRITTEN, tie="timestamp").drop("dt", WRITTEN)
+
 
+def find_incident(spark: SparkSession, path: str, incident: str, day: str | None = None) -> DataFrame:
+    """One stored incident; the id filter reaches the parquet scan, and ``day`` opens that day's files only. Raises when there is none."""
+    bounds = (day, f"{day}T23:59:59") if day else (None, None)
+    return get_incident(read_incidents(spark, path, *bounds), incident)
 
-def find_incident(spark: SparkSession, path: str, incident: str) -> DataFrame:
-    """One stored incident; the id filter reaches the parquet scan. Raises when there is none."""
-    return get_incident(read_incidents(spark, path), incident)
 
+def scan_incident_files(spark: SparkSession, path: str, files: str = "*.json", whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(incidents, unreadable records) of a folder of JSON; files of other names are skipped.
 
-def scan_incident_files(spark: SparkSession, path: str, files: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """(incidents, unreadable lines) of a folder of JSON lines; files of other names are skipped."""
+    A file holds one record per line, or with ``whole_files`` one record in any layout.
+    """
     broken = "__broken"
     schema = "id string, title string, severity string, timestamp string, description string, "
     schema += f"max_score double, event_count bigint, model_info map<string,string>, {broken} string"
@@ -62,6 +75,7 @@ def scan_incident_files(spark: SparkSession, path: str, files: str = "*.json") -
         .option("columnNameOfCorruptRecord", broken)
         .option("pathGlobFilter", files)
         .option("recursiveFileLookup", "true")
+        .option("multiLine", str(whole_files).lower())
         .json(path)
     )
     usable = F.col(broken).isNull() & F.col("id").isNotNull()
@@ -84,8 +98,13 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def current_metrics(history: DataFrame) -> DataFrame:
-    """The last record."""
-    return history.agg(F.max_by(F.struct(*history.columns), "seq").alias("r")).select("r.*")
+    """The last record; the time decides between records of one number."""
+    return history.agg(F.max_by(F.struct(*history.columns), F.struct("seq", "timestamp")).alias("r")).select("r.*")
+
+
+def append_drift(drifts: DataFrame, path: str, timestamp: Column | str) -> None:
+    """Add a row of ``Detector.drift`` to a stored drift history; read the folder and take ``drift.newest`` of it."""
+    record(drifts, timestamp).write.mode("append").parquet(path)
 
 
 MODEL_PARTS = ("nodes", "features", "info")
