@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.feature_checks import ALL_PARTS, BY
@@ -93,8 +94,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     records = _drift(spark, sf).select(F.col("scope").alias("timestamp"), "drift_metric")
-    kept = settle(drift.newest(records, 100))
-    current = drift.latest(kept).select("timestamp").scalar()
+    kept = settle(drift.newest(records, 100, tie="drift_metric"))
+    current = drift.latest(kept, tie="drift_metric").select("timestamp").scalar()
     return rounded(kept.withColumn("is_current", F.col("timestamp") == current))
 
 
@@ -240,11 +241,16 @@ def _(spark, sf):
 
 @query(
     "confusion_matrix",
-    f"WITH y AS (SELECT l_returnflag AS t, {PREDICTED} AS p FROM lineitem), l AS (SELECT t AS v FROM y UNION SELECT p FROM y) "
+    f"WITH y AS (SELECT l_returnflag AS t, {PREDICTED} AS p FROM lineitem WHERE l_quantity > 20), l AS (SELECT unnest(['A', 'N', 'R']) AS v) "
     'SELECT a.v AS "true", b.v AS pred, (SELECT count(*) FROM y WHERE t = a.v AND p = b.v) AS n FROM l a, l b',
 )
 def _(spark, sf):
-    return evaluation.confusion_matrix(_pairs(spark, sf))
+    return evaluation.confusion_matrix(_pairs(spark, sf, "l_quantity > 20"), ["A", "N", "R"])
+
+
+@query("confusion_cells", f'SELECT l_returnflag AS "true", {PREDICTED} AS pred, count(*) AS n FROM lineitem WHERE l_quantity > 20 GROUP BY ALL')
+def _(spark, sf):
+    return evaluation.confusion_matrix(_pairs(spark, sf, "l_quantity > 20"))
 
 
 @query(
@@ -305,11 +311,11 @@ def _(spark, sf):
 
 @query(
     "evaluation_record",
-    f"WITH {_class_sql()} SELECT {_WEIGHTED}, CAST(NULL AS DOUBLE) AS roc_auc, (SELECT CAST(count(*) AS INTEGER) FROM l) AS matrix_rows, "
+    f"WITH {_class_sql()} SELECT {_WEIGHTED}, CAST(NULL AS DOUBLE) AS roc_auc, (SELECT CAST(count(*) AS INTEGER) FROM (SELECT DISTINCT t, p FROM y)) AS matrix_rows, "
     "(SELECT CAST(count(*) + 3 AS INTEGER) FROM l) AS report_rows FROM m",
 )
 def _(spark, sf):
-    record = evaluation.evaluate(table(spark, sf, "lineitem"), F.col("l_returnflag"), F.expr(PREDICTED))
+    record = evaluation.evaluate(table(spark, sf, "lineitem"), F.col("l_returnflag"), F.expr(PREDICTED), "2024-01-31T00:00:00")
     return rounded(
         record.select(
             "precision", "recall", "f1", "roc_auc",
@@ -320,12 +326,12 @@ def _(spark, sf):
 
 # ---- forest: the algorithm is random by seed, so SQL cannot state its results ----
 
-DIMENSIONS = [f"x{i}" for i in range(16)]
-
 
 def _vectors(spark, sf):
-    cells = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(DIMENSIONS)]
-    return table(spark, sf, "embeddings").select("vec_id", *cells)
+    """Every entry of the vectors as a column."""
+    vectors = table(spark, sf, "embeddings")
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    return vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(size)])
 
 
 def _hourly(spark, sf):
@@ -391,3 +397,133 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = _vectors(spark, sf)
     return Detector.fit(vectors, ["vec_id"]).summary(vectors, {"local_weight": 0.5})
+
+
+@query(
+    "model_summary_facts",
+    "SELECT 'IsolationForest' AS model_type, '1.0.0' AS model_version, CAST(max(len(embedding)) AS INTEGER) AS feature_count, true AS is_trained, "
+    "count(*) AS training_samples, CAST(0.25 AS DOUBLE) AS local_weight, CAST(0.75 AS DOUBLE) AS second_weight, 'weighted' AS method FROM embeddings",
+)
+def _(spark, sf):
+    vectors = _vectors(spark, sf)
+    row = Detector.fit(vectors, ["vec_id"], trees=10).summary(vectors, {"local_weight": 0.25})
+    return row.select("model_type", "model_version", "feature_count", "is_trained", "training_samples", "ensemble.*")
+
+
+# A forest of two trees over the first, eleventh and last entry: (tree, node, feature, threshold, left, right, path).
+HAND_NODES = [
+    (0, 0, 0, 0.0, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 2.0), (0, 2, 63, 0.05, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 3.5), (0, 4, -1, 0.0, -1, -1, 4.25),
+    (1, 0, 10, -0.02, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.5), (1, 2, -1, 0.0, -1, -1, 5.0),
+]
+_BY_HAND = (
+    "SELECT vec_id, 0 - pow(2, 0 - ((CASE WHEN x0 < 0 THEN 2.0 WHEN CAST(embedding[64] AS DOUBLE) < 0.05 THEN 3.5 ELSE 4.25 END) "
+    "+ (CASE WHEN CAST(embedding[11] AS DOUBLE) < -0.02 THEN 1.5 ELSE 5.0 END)) / 2.0 / (2 * (ln(255) + 0.5772156649) - 2 * 255 / 256.0)) AS score FROM v"
+)
+
+
+def by_hand(spark, sf):
+    vectors = _vectors(spark, sf)
+    names = tuple(c for c in vectors.columns if c != "vec_id")
+    nodes = pd.DataFrame(HAND_NODES, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+    plain = scaling.Scaler(names, (0.0,) * len(names), (1.0,) * len(names))
+    return vectors, Detector(plain, forest.Forest(names, nodes, 256), -0.75)
+
+
+BY_HAND_SQL = (
+    f"WITH v AS (SELECT vec_id, embedding, CAST(embedding[1] AS DOUBLE) AS x0 FROM embeddings), s AS ({_BY_HAND}) "
+    "SELECT vec_id, round(score, 6) AS score, CAST(score < -0.75 AS INTEGER) AS prediction FROM s"
+)
+
+
+@query("forest_score_by_hand", BY_HAND_SQL)
+def _(spark, sf):
+    vectors, model = by_hand(spark, sf)
+    return rounded(model.predict(vectors))
+
+
+@query(
+    "serving_score_by_hand",
+    "WITH g AS (SELECT vec_id, embedding, CASE WHEN vec_id % 3 <> 0 THEN CAST(embedding[1] AS DOUBLE) END AS x FROM embeddings), "
+    f"v AS (SELECT vec_id, embedding, coalesce(x, (SELECT avg(x) FROM g)) AS x0 FROM g), s AS ({_BY_HAND}) "
+    "SELECT vec_id, round(score, 6) AS score, CASE WHEN score < -0.75 THEN -1 ELSE 1 END AS prediction FROM s",
+)
+def _(spark, sf):
+    vectors, model = by_hand(spark, sf)
+    gaps = vectors.withColumn("x0", F.when(F.col("vec_id") % 3 != 0, F.col("x0")))
+    return rounded(model.predict(gaps, raw=True, fill="mean"))
+
+
+# ---- numbers and labels that are missing ----
+
+NAN = float("nan")
+
+
+@query(
+    "nan_filters",
+    f"WITH {_RESULTS} SELECT event_id, score > 0.5 AS anomaly, score > 0.7 AS threat, score > 0.6 AS pattern FROM rs WHERE prediction = 1 AND score > 0.5 AND event_id % 11 <> 0",
+)
+def _(spark, sf):
+    results = _results(spark, sf).withColumn("score", F.when(F.col("event_id") % 11 == 0, NAN).otherwise(F.col("score")))
+    kept = [postfilter.anomalies(results), postfilter.threats(results), postfilter.patterns(results)]
+    ids = [k.select("event_id", F.lit(True).alias(n)) for k, n in zip(kept, ("anomaly", "threat", "pattern"), strict=True)]
+    return ids[0].join(ids[1], "event_id", "left").join(ids[2], "event_id", "left").fillna(False)
+
+
+@query(
+    "nan_ensemble",
+    f"WITH {EV} SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0 ELSE CAST(0.5 * score + 0.5 * second_score > 0.5 AS INTEGER) END AS prediction FROM ev WHERE event_id % 3 <> 0",
+)
+def _(spark, sf):
+    local, second = _two_scorers(spark, sf)
+    gaps = local.withColumn("score", F.when(F.col("event_id") % 11 == 0, NAN).otherwise(F.col("score")))
+    return Ensemble().combine(gaps, second).select("event_id", "prediction")
+
+
+@query(
+    "roc_auc_unlabelled",
+    "WITH " + _auc_sql(_LABELLED + " WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0", "1").format("p + q AS n"),
+)
+def _(spark, sf):
+    df = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    true = F.when(F.col("doc_id") % 7 != 0, F.col("quality"))
+    score = F.when(F.col("doc_id") % 5 == 0, NAN).otherwise((F.col("n_chars") % 97).cast("double"))
+    counted = df.where("doc_id % 7 <> 0 and doc_id % 5 <> 0").agg(F.count("*")).scalar()
+    return rounded(evaluation.roc_auc(df, true, score).select(counted.alias("n"), "roc_auc"))
+
+
+# ---- records that are stored and read back ----
+
+
+@query(
+    "evaluation_stored",
+    f"""WITH {_class_sql()}, q AS (SELECT CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS t, l_quantity AS s FROM lineitem),
+k AS (SELECT t, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM q),
+a AS (SELECT sum(r) FILTER (t = 1) AS ranks, count(*) FILTER (t = 1) AS p, count(*) FILTER (t <> 1) AS n FROM k),
+w AS (SELECT {_WEIGHTED} FROM m), c2 AS (SELECT (t = 'A')::INT AS t, (p = 'A')::INT AS p FROM y)
+SELECT CAST(3 AS BIGINT) AS seq, '2024-01-31T00:00:00' AS timestamp, CAST(t AS VARCHAR) AS "true", CAST(p AS VARCHAR) AS pred, count(*) AS n,
+       (SELECT round((ranks - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n), 6) FROM a) AS roc_auc,
+       (SELECT count(*) FROM c2 WHERE t = 1) AS support_of_1, '{{"epochs": 5, "model_type": "IsolationForest"}}' AS model_info
+FROM c2 GROUP BY t, p""",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    true, predicted = (F.col("l_returnflag") == "A").cast("int"), (F.expr(PREDICTED) == "A").cast("int")
+    info = {"model_type": "IsolationForest", "epochs": 5}
+    record = evaluation.evaluate(lines, true, predicted, "2024-01-31T00:00:00", F.col("l_quantity"), info, 3)
+    stored = stores.read_metrics(spark, stores.write_metrics(record, new_path(spark, "metrics")))
+    cells = F.from_json("confusion_matrix", "array<struct<`true`: string, pred: string, n: bigint>>")
+    report = F.from_json("classification_report", "map<string, struct<support: bigint>>")
+    return rounded(
+        stored.select("seq", "timestamp", "roc_auc", "model_info", F.element_at(report, "1")["support"].alias("support_of_1"), F.inline(cells))
+    )
+
+
+@query(
+    "drift_stored",
+    f"WITH {SC},\n{_DRIFT} SELECT scope AS timestamp, round(mean_drift, 6) AS mean_drift FROM dr WHERE scope < TIMESTAMP '2024-01-03' ORDER BY scope DESC LIMIT 10",
+)
+def _(spark, sf):
+    path = new_path(spark, "drift")
+    early = _drift(spark, sf).where("scope < timestamp_ntz'2024-01-03'")
+    stores.append_drift(early, path, F.col("scope"))
+    return rounded(drift.newest(spark.read.parquet(path), 10, tie="drift_metric").select("timestamp", "mean_drift"))

@@ -352,6 +352,24 @@ un AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY lang, doc_id)) AS u FROM
 SELECT lang, CAST(i AS INTEGER) AS i, term, round(sum(u) / any_value(nd), 6) AS weight FROM un GROUP BY lang, i, term"""
 
 
+# The default English stop words that are plain words.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is are
+was were be been being have has had having do does did doing a an the and but if or because as until while of
+at by for with about against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don should now would could cannot ought
+""".split()
+_STOPPED = DOCUMENTS.replace("SELECT lang, doc_id, unnest(w) AS term FROM tok", "SELECT * FROM (SELECT lang, doc_id, unnest(w) AS term FROM tok) WHERE term NOT IN ("
+                             + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")")
+
+
+@query("tfidf_stop_words", _STOPPED)
+def _(spark, sf):
+    return rounded(tfidf.mean_tfidf(table(spark, sf, "documents"), ["lang"], F.col("text")))
+
+
 @query("tfidf_documents", DOCUMENTS)
 def _(spark, sf):
     texts = table(spark, sf, "documents")
@@ -418,12 +436,36 @@ def _(spark, sf):
     return _rounded_features(features.merge_features(long, BY))
 
 
+@query(
+    "nan_execution_time",
+    f"WITH {SC} SELECT scope, round(avg(execution_time) FILTER (event_id % 11 <> 0), 6) AS mean, "
+    "round(stddev_samp(execution_time) FILTER (event_id % 11 <> 0), 6) AS deviation FROM sc GROUP BY scope",
+)
+def _(spark, sf):
+    spoilt = F.when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("execution_time"))
+    long = features.extract(scoped(spark, sf).withColumn("execution_time", spoilt), BY, ["cmdline"])
+    one = [long.where(F.col("feature") == f"{f}_execution_time").select("scope", F.col("value").alias(n)) for f, n in (("avg", "mean"), ("std", "deviation"))]
+    return rounded(one[0].join(one[1], "scope"))
+
+
+@query(
+    "gaps_stretched",
+    f"WITH {EV}, g AS (SELECT username, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY username ORDER BY timestamp, event_id)) / 1e6 * 1000 AS gap FROM ev) "
+    "SELECT username, count(gap) AS n, round(stddev_samp(gap), 2) AS deviation FROM g GROUP BY username",
+)
+def _(spark, sf):
+    origin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    stretched = events(spark, sf).withColumn("timestamp", origin + (F.col("timestamp") - origin) * 1000)
+    gaps = ordered.gap_stats(stretched, ["username"], "timestamp", ["timestamp", "event_id"])
+    return gaps.select("username", "n", F.round("std", 2).alias("deviation"))
+
+
 @query(
     "feature_names",
-    f"WITH {SC} SELECT DISTINCT feature FROM (" + "\nUNION ALL\n".join(ALL_PARTS["basic"]) + ")",
+    "SELECT DISTINCT feature FROM (" + merged_sql() + ")",
 )
 def _(spark, sf):
-    return features.feature_names(features.extract(scoped(spark, sf), BY, features.BASIC, FAILED_LOGIN))
+    return features.feature_names(features.extract(scoped(spark, sf, 86400), BY, features.FAMILIES, FAILED_LOGIN))
 
 
 def windows_sql() -> str:

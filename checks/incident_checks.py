@@ -8,8 +8,9 @@ from checks.registry import query
 from checks.sample import EV, events, table
 from eventlens import IncidentRules
 from eventlens.functions.severity import rule_severity, severity_of
+from eventlens.functions.time import parse_time
 from eventlens.operators import incidents, registry, routing
-from eventlens.schema import EVENT_SCHEMA
+from eventlens.schema import EVENT_SCHEMA, JSON_TIME
 from eventlens.session import new_path
 from eventlens.sources import events as sources, stores
 
@@ -55,14 +56,21 @@ def _(spark, sf):
     return sources.read_events(spark, path, "json")
 
 
-@query("event_records_json")
+REQUESTED = "2024-02-01 00:00:00"
+
+
+@query(
+    "event_records_json",
+    f"WITH {EV} SELECT concat('{{\"event_id\":', event_id, ',\"command\":', CASE WHEN command IS NULL THEN 'null' ELSE concat('\"', command, '\"') END, ',\"timestamp\":\"', "
+    f"strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f'), '\"}}') AS event, TIMESTAMP '{REQUESTED}' AS timestamp, 'hybrid_detector' AS source FROM ev",
+)
 def _(spark, sf):
-    return sources.event_records(events(spark, sf), EVENT_SCHEMA.names)
+    return sources.event_records(events(spark, sf), ["event_id", "command", "timestamp"], REQUESTED)
 
 
 @query("event_records_roundtrip", f"WITH {EV} SELECT {', '.join(EVENT_SCHEMA.names)} FROM ev")
 def _(spark, sf):
-    records = sources.event_records(events(spark, sf), EVENT_SCHEMA.names)
+    records = sources.event_records(events(spark, sf), EVENT_SCHEMA.names, REQUESTED)
     return records.select(F.from_json("event", EVENT_SCHEMA).alias("e")).select("e.*")
 
 
@@ -76,6 +84,46 @@ def _(spark, sf):
     return sources.payload_rows(sent, F.col("payload"), "event_id bigint, execution_time double, command string")
 
 
+@query(
+    "payload_rejects",
+    f"WITH {EV} SELECT event_id, event_id % 5 IN (1, 2, 3) AS rejected FROM ev",
+)
+def _(spark, sf):
+    i = F.col("event_id")
+    good = F.concat(F.lit('[{"event_id": '), i, F.lit("}]"))
+    uneven = F.concat(F.lit('{"event_id": ['), i, F.lit("], \"command\": []}"))
+    cut = F.concat(F.lit('{"event_id": ['), i)
+    whole = F.concat(F.lit('{"event_id": ['), i, F.lit("]}"))
+    payload = F.when(i % 5 == 0, good).when(i % 5 == 1, uneven).when(i % 5 == 2, cut).when(i % 5 == 4, whole)
+    sent = events(spark, sf).select(i.alias("sent"), payload.alias("payload"))
+    schema = "event_id bigint, command string"
+    rows = sources.payload_rows(sent, F.col("payload"), schema, strict=False).select("event_id", F.lit(False).alias("rejected"))
+    return rows.unionByName(sources.payload_rejects(sent, F.col("payload"), schema).select(F.col("sent").alias("event_id"), F.lit(True).alias("rejected")))
+
+
+@query(
+    "time_parse",
+    f"WITH {EV} SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN timestamp END AS parsed FROM ev",
+)
+def _(spark, sf):
+    text = F.col("timestamp").cast("string")
+    spoilt = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("at "), text)).otherwise(text)
+    return events(spark, sf).select("event_id", parse_time(spoilt, strict=False).alias("parsed"))
+
+
+@query(
+    "events_rejected",
+    f"WITH {EV} SELECT event_id, event_id % 4 = 1 AS rejected FROM ev",
+)
+def _(spark, sf):
+    path = new_path(spark, "events")
+    spoilt = events(spark, sf).withColumn("event_type", F.when(F.col("event_id") % 4 != 1, F.col("event_type")))
+    sources.write_events(spoilt.select(*EVENT_SCHEMA.names), path, "json")
+    good = sources.read_events(spark, path, "json", strict=False)
+    bad = sources.rejected_events(spark, path)
+    return good.select("event_id", F.lit(False).alias("rejected")).unionByName(bad.select("event_id", F.lit(True).alias("rejected")))
+
+
 # ---- incidents ----
 
 
@@ -144,8 +192,38 @@ def _(spark, sf):
 def _(spark, sf):
     path = new_path(spark, "incidents")
     stores.write_incidents(_incidents(spark, sf), path)
-    wanted = stores.read_incidents(spark, path).orderBy(F.desc("event_count"), "timestamp").first()["id"]
-    return stores.find_incident(spark, path, wanted).select("id", "title", "severity")
+    wanted = stores.read_incidents(spark, path).orderBy(F.desc("event_count"), "timestamp").first()
+    return stores.find_incident(spark, path, wanted["id"], wanted["timestamp"][:10]).select("id", "title", "severity")
+
+
+@query("incident_store_twice", f"WITH {INCIDENTS} SELECT * FROM inc")
+def _(spark, sf):
+    path = new_path(spark, "incidents")
+    # The second write corrects the titles of the first one.
+    stores.write_incidents(_incidents(spark, sf).withColumn("title", F.lit("to be replaced")), path)
+    stores.write_incidents(_incidents(spark, sf), path)
+    return stores.read_incidents(spark, path).select(*COLUMNS)
+
+
+@query(
+    "incident_events_twice",
+    f"WITH {INCIDENTS} SELECT id AS incident_id, event_id, score FROM hit JOIN inc ON strftime(w, '%Y-%m-%dT%H:%M:%S') = inc.timestamp",
+)
+def _(spark, sf):
+    path = new_path(spark, "incident-events")
+    hits = incidents.high_score_events(events(spark, sf), RULES, MODEL)
+    stores.write_incident_events(hits, path)
+    stores.write_incident_events(hits, path)
+    return stores.read_incident_events(spark, path).select("incident_id", "event_id", "score")
+
+
+_NAN = INCIDENTS.replace("WHERE score > 0.8", "WHERE score > 0.8 AND event_id % 11 <> 0")
+
+
+@query("nan_incidents", f"WITH {_NAN} SELECT * FROM inc")
+def _(spark, sf):
+    spoilt = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("score"))
+    return incidents.detect_incidents(events(spark, sf).withColumn("score", spoilt), RULES, MODEL).select(*COLUMNS)
 
 
 @query(
@@ -216,22 +294,64 @@ def _(spark, sf):
     return pages.select("incident_id", "page", F.array_join("events.event_id", ",").alias("event_ids"))
 
 
+# Events per page: several pages for the larger incidents.
+PAGE = 2
+
+
 def _messages(spark, sf):
     df = events(spark, sf)
-    pages = incidents.event_pages(incidents.high_score_events(df, RULES, MODEL))
+    pages = incidents.event_pages(incidents.high_score_events(df, RULES, MODEL), PAGE)
     routed = routing.route(_incidents(spark, sf), ["email", "slack", "webhook"])
     return routing.with_payload(routing.with_event_pages(routed, pages))
 
 
-def _payload(channel):
-    def run(spark, sf):
-        return _messages(spark, sf).where(F.col("channel") == channel).select("id", "subject", "body")
+# Every event of every message, as read back from the body, with the texts before it.
+_SENT = f"""{INCIDENTS},
+pg AS (SELECT inc.*, event_id, hit.timestamp AS sent_at, command, (row_number() OVER (PARTITION BY w ORDER BY hit.timestamp, event_id) - 1) // {PAGE} AS page,
+              CAST(ceil(event_count / {PAGE}) AS BIGINT) AS pages FROM hit JOIN inc ON strftime(w, '%Y-%m-%dT%H:%M:%S') = inc.timestamp),
+nl AS (SELECT id, page, count(*) FILTER (command IS NULL) AS nulls FROM pg GROUP BY ALL)"""
+_SENT_COLUMNS = "id, concat('Security Incident Alert: ', title) AS subject, page, pages, event_id, sent_at AS timestamp, command, CAST(nulls AS INTEGER) AS nulls"
+_EVENTS = "page bigint, pages bigint, events array<struct<event_id: bigint, timestamp: timestamp_ntz, command: string>>"
+
+
+def _read_back(messages, head, text):
+    read = messages.select("id", "subject", head.alias("head"), text.alias("text"))
+    nulls = F.regexp_count("text", F.lit('"command" ?: ?null')).alias("nulls")
+    found = read.select("id", "subject", "head", nulls, F.from_json("text", _EVENTS, JSON_TIME).alias("d"))
+    return found.select("id", "subject", "head", "nulls", "d.page", "d.pages", F.inline("d.events"))
+
+
+@query(
+    "payload_email",
+    f"""WITH {_SENT} SELECT {_SENT_COLUMNS}, concat_ws(chr(10), '<html><body><h2>Security Incident Alert</h2>',
+concat('<p><strong>Title:</strong> ', title, '</p>'), concat('<p><strong>Severity:</strong> ', severity, '</p>'),
+concat('<p><strong>Timestamp:</strong> ', timestamp, '</p>'), '<p><strong>Description:</strong></p>', concat('<p>', description, '</p>'),
+'<p><strong>Details:</strong></p>', '') AS head FROM pg JOIN nl USING (id, page) WHERE severity = 'high'""",
+)
+def _(spark, sf):
+    sent = _messages(spark, sf).where(F.col("channel") == "email")
+    text = F.replace(F.regexp_extract("body", "(?s)<pre>(.*)</pre>", 1), F.lit("&quot;"), F.lit('"'))
+    return _read_back(sent, F.substring_index("body", "<pre>", 1), text)
+
 
-    return run
+@query(
+    "payload_slack",
+    f"""WITH {_SENT} SELECT {_SENT_COLUMNS}, concat_ws('|', concat('Security Incident Alert: ', title), concat('*Severity:*', chr(10), severity),
+concat('*Timestamp:*', chr(10), timestamp), concat('*Description:*', chr(10), description)) AS head FROM pg JOIN nl USING (id, page)""",
+)
+def _(spark, sf):
+    sent = _messages(spark, sf).where(F.col("channel") == "slack")
+    blocks = F.from_json("body", "array<struct<text: struct<text: string>, fields: array<struct<text: string>>>>").alias("b")
+    read = sent.select("id", "subject", blocks)
+    head = F.concat_ws("|", F.expr("b[0].text.text"), F.expr("b[1].fields[0].text"), F.expr("b[1].fields[1].text"), F.expr("b[2].text.text"))
+    return _read_back(read, head, F.regexp_extract(F.expr("b[3].text.text"), "(?s)```(.*)```", 1))
 
 
-for _channel in ("email", "slack", "webhook"):
-    query(f"payload_{_channel}")(_payload(_channel))
+@query("payload_webhook", f"WITH {_SENT} SELECT {_SENT_COLUMNS}, concat_ws('|', title, severity, timestamp, description) AS head FROM pg JOIN nl USING (id, page)")
+def _(spark, sf):
+    sent = _messages(spark, sf).where(F.col("channel") == "webhook")
+    head = F.concat_ws("|", *[F.get_json_object("body", f"$.{c}") for c in ("title", "severity", "timestamp", "description")])
+    return _read_back(sent, head, F.get_json_object("body", "$.details"))
 
 
 @query(
@@ -248,7 +368,7 @@ def _(spark, sf):
 @query(
     "delivery_log",
     f"WITH {INCIDENTS}, r AS (SELECT id, event_count, unnest(CASE severity WHEN 'high' THEN ['email', 'slack', 'webhook'] ELSE ['slack', 'webhook'] END) AS channel FROM inc) "
-    "SELECT id AS incident_id, channel, CASE WHEN event_count > 1 AND channel = 'webhook' THEN 'failed' ELSE 'sent' END AS status, "
+    "SELECT id AS incident_id, channel, CAST(NULL AS BIGINT) AS page, CASE WHEN event_count > 1 AND channel = 'webhook' THEN 'failed' ELSE 'sent' END AS status, "
     "CASE WHEN event_count > 1 AND channel = 'webhook' THEN 'nothing to send' END AS error FROM r",
 )
 def _(spark, sf):
@@ -383,7 +503,7 @@ round(avg(score), 6) AS f1, count(*) FILTER (prediction = 1) AS a, count(*) FILT
 @query(
     "metrics_csv_roundtrip",
     f"WITH {_HISTORY} SELECT row_number() OVER (ORDER BY d) - 1 AS seq, strftime(d, '%Y-%m-%dT%H:%M:%S') AS timestamp, precision, recall, f1, "
-    "CASE WHEN day(d) % 2 = 0 THEN f1 END AS roc_auc, concat('[[', a, ',0],[0,', b, ']]') AS confusion_matrix, d = max(d) OVER () AS is_current FROM hi",
+    "CASE WHEN day(d) % 2 = 0 THEN f1 END AS roc_auc, concat('[[', a, ',0],[0,', b, ']]') AS confusion_matrix, CAST(NULL AS VARCHAR) AS model_info, d = max(d) OVER () AS is_current FROM hi",
 )
 def _(spark, sf):
     day = F.date_trunc("day", "timestamp").cast("timestamp_ntz")
@@ -408,3 +528,25 @@ def _(spark, sf):
     stored = stores.read_metrics(spark, stores.write_metrics(history, new_path(spark, "metrics")))
     current = stores.current_metrics(stored).select("seq").scalar()
     return stored.drop("classification_report").withColumn("is_current", F.col("seq") == current)
+
+
+# Information of several types: its text is what Python's JSON writer gives for it.
+_TYPED = (
+    "concat('{\"items\": [', o_orderkey, ', null], \"model\": {\"open\": ', CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END, "
+    "', \"rate\": 1.5e-05}, \"name\": \"', o_orderpriority, '\", \"price\": ', CAST(o_totalprice AS VARCHAR), '}')"
+)
+
+
+@query("content_id_typed", f"SELECT o_orderkey, substr(sha256({_TYPED}), 1, 12) AS version_id FROM orders")
+def _(spark, sf):
+    none = F.lit(None).cast("bigint")
+    info = F.struct(
+        F.col("o_totalprice").cast("double").alias("price"),
+        F.col("o_orderpriority").alias("name"),
+        F.struct(F.lit(1.5e-05).alias("rate"), (F.col("o_orderstatus") == "O").alias("open")).alias("model"),
+        F.array(F.col("o_orderkey").cast("bigint"), none).alias("items"),
+    )
+    models = table(spark, sf, "orders").select(
+        "o_orderkey", F.lit(0).alias("timestamp"), info.alias("model_info"), F.lit(None).cast("map<string,double>").alias("metrics"), F.col("o_orderkey").alias("model_path")
+    )
+    return registry.version_records(models).select(F.col("model_path").alias("o_orderkey"), "version_id")

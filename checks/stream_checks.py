@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.detection_checks import DIMENSIONS, _same, _vectors
+from checks.detection_checks import BY_HAND_SQL, by_hand
 from checks.feature_checks import counts
 from checks.incident_checks import INCIDENTS, MODEL, RULES
 from checks.registry import query, rounded
 from checks.sample import EV, FAILED_LOGIN, SC, project, table
-from eventlens import Detector
 from eventlens.session import new_path
 from eventlens.sources.streams import stream_table
 from eventlens.streaming import queries, sinks
@@ -80,14 +79,13 @@ def _(spark, sf):
     return _naive(sinks.collect_table(spark, stream, "stream-dedup"), "timestamp")
 
 
-@query("stream_scores", "SELECT vec_id, true AS same FROM embeddings")
+@query("stream_scores", BY_HAND_SQL)
 def _(spark, sf):
-    vectors = _vectors(spark, sf)
-    model = Detector.fit(vectors, ["vec_id"])
+    _, model = by_hand(spark, sf)
     raw = stream_table(spark, sf, table(spark, sf, "embeddings").schema, "embeddings.parquet")
-    cells = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(DIMENSIONS)]
+    cells = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(model.features)]
     scored = queries.scored_stream(raw.select("vec_id", *cells), model)
-    return _same(sinks.collect_table(spark, scored, "stream-scores"), model.predict(vectors), "vec_id")
+    return rounded(sinks.collect_table(spark, scored, "stream-scores"))
 
 
 @query(

@@ -66,17 +66,22 @@ def test_scores_equal_a_walk_in_plain_python(points, model):
     assert model.predict(points).where("id = 17").first()["score"] == pytest.approx(want)
 
 
-def test_disjoint_samples_of_a_large_table(spark):
-    df = spark.range(60000).select("id", (F.col("id") % 7).cast("double").alias("x"))
-    got = forest.sample_rows(df, ["id"], ["x"], 60000, trees=10, sample=64).collect()
-    assert len(got) == 640 and len({r["pick"] for r in got}) == 640
-    assert {sum(r["tree"] == t for r in got) for t in range(10)} == {64}
+@pytest.mark.parametrize("rows", [40, 639, 640, 1279, 1281, 60000])
+def test_each_tree_draws_by_itself_at_every_size(spark, rows):
+    df = spark.range(rows).select("id", F.col("id").cast("double").alias("x"))
+    got = forest.sample_rows(df, ["id"], ["x"], rows, trees=10, sample=64).collect()
+    for tree in range(10):
+        own = [r["x"][0] for r in got if r["tree"] == tree]
+        assert len(own) == len(set(own)) == min(64, rows)
+    # Draws of different trees meet as often as independent ones do.
+    expected = rows * (1 - (1 - min(64, rows) / rows) ** 10)
+    assert len({r["x"][0] for r in got}) == pytest.approx(expected, rel=0.1)
 
 
 def test_repeated_keys_are_refused(spark):
     df = spark.range(60000).select(F.lit(1).alias("id"), F.col("id").cast("double").alias("x"))
     with pytest.raises(ValueError, match="not unique"):
-        forest.sample_rows(df, ["id"], ["x"], 60000, trees=10, sample=64)
+        forest.fit_forest(df, ["id"], ["x"], trees=10, sample=64)
 
 
 def test_errors(spark, points, model):
@@ -211,7 +216,7 @@ def test_evaluation_against_plain_python(spark):
     rng = random.Random(4)
     rows = [(rng.choice("abc"), rng.choice("abcd")) for _ in range(200)]
     df = spark.createDataFrame(rows, "t string, p string")
-    record = evaluation.evaluate(df, F.col("t"), F.col("p")).first()
+    record = evaluation.evaluate(df, F.col("t"), F.col("p"), "2024-01-01T00:00:00", model_info={"b": 1, "a": None}, seq=4).first()
     want = {}
     for c in "abcd":
         hit = sum(t == p == c for t, p in rows)
@@ -224,8 +229,11 @@ def test_evaluation_against_plain_python(spark):
         assert (r["precision"], r["recall"], r["f1"], r["support"]) == pytest.approx(want[c])
     weighted = [sum(w[i] * w[3] for w in want.values()) / 200 for i in range(3)]
     assert [record["precision"], record["recall"], record["f1"]] == pytest.approx(weighted)
-    matrix = [[sum(t == a and p == b for t, p in rows) for b in "abcd"] for a in "abcd"]
-    assert record["confusion_matrix"] == matrix
+    cells = {(t, p): rows.count((t, p)) for t, p in rows}
+    assert [tuple(c) for c in record["confusion_matrix"]] == sorted((*pair, n) for pair, n in cells.items())
+    assert (record["seq"], record["timestamp"], record["model_info"]) == (4, "2024-01-01T00:00:00", '{"a": null, "b": 1}')
+    grid = evaluation.confusion_matrix(evaluation.label_pairs(df, F.col("t"), F.col("p")), "abcd").collect()
+    assert {(r["true"], r["pred"]): r["n"] for r in grid} == {(a, b): cells.get((a, b), 0) for a in "abcd" for b in "abcd"}
     assert record["classification_report"]["accuracy"]["f1"] == pytest.approx(sum(t == p for t, p in rows) / 200)
     assert record["classification_report"]["macro avg"]["recall"] == pytest.approx(sum(w[1] for w in want.values()) / 4)
 
@@ -242,17 +250,46 @@ def test_metric_drift(spark):
 
 def test_newest_per_group_and_last(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "m string, timestamp int")
-    assert sorted(tuple(r) for r in drift.newest(df, 2, ["m"]).collect()) == [("a", 3), ("a", 4), ("b", 9)]
-    assert [r["timestamp"] for r in drift.newest(df, 2).collect()] == [9, 4]
-    assert tuple(drift.latest(df).first()) == ("b", 9)
+    assert sorted(tuple(r) for r in drift.newest(df, 2, ["m"], tie="m").collect()) == [("a", 3), ("a", 4), ("b", 9)]
+    assert [r["timestamp"] for r in drift.newest(df, 2, tie="m").collect()] == [9, 4]
+    assert tuple(drift.latest(df, tie="m").first()) == ("b", 9)
 
 
 def test_many_newest_of_a_hot_group(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("m"), F.col("id").alias("timestamp"))
-    got = drift.newest(df.repartition(5), 1500, ["m"]).groupBy("m").agg(F.count("*"), F.min("timestamp")).collect()
+    got = drift.newest(df.repartition(5), 1500, ["m"], tie="m").groupBy("m").agg(F.count("*"), F.min("timestamp")).collect()
     assert sorted(map(tuple, got)) == [("a", 1500, 1500), ("b", 1500, 3751)]
 
 
+@pytest.mark.parametrize("keep", [999, 1001])
+def test_newest_of_a_whole_table(spark, keep):
+    df = spark.range(6000).select(F.lit("a").alias("m"), (F.col("id") % 3000).alias("timestamp"), F.col("id").alias("k"))
+    got = [(r["timestamp"], r["k"]) for r in drift.newest(df.repartition(5), keep, tie="k").collect()]
+    assert got == sorted(((i % 3000, i) for i in range(6000)), reverse=True)[:keep]
+
+
+def test_missing_numbers_hold_no_comparison(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1, nan), (2, 1, 0.9), (3, 1, None)], "event_id int, prediction int, score double")
+    for kept in (postfilter.anomalies(df), postfilter.threats(df), postfilter.patterns(df)):
+        assert [r["event_id"] for r in kept.collect()] == [2]
+    second = df.withColumn("score", F.lit(0.9))
+    got = {r["event_id"]: r["prediction"] for r in Ensemble(orientation="raw").combine(df, second).collect()}
+    assert got == {1: 0, 2: 1, 3: None}
+    with pytest.raises(ValueError, match="orientation"):
+        Ensemble(orientation="Raw")
+    base = spark.createDataFrame([(nan, nan)], "mean_score double, std_score double")
+    assert drift.score_drift(base, F.lit(0.5), F.lit(0.1)).first()["drift_detected"] is False
+
+
+def test_area_ignores_rows_without_label_or_score(spark):
+    rows = [(1, 0.9), (0, 0.1), (None, 0.95), (0, float("nan")), (1, None)]
+    df = spark.createDataFrame(rows, "t int, s double")
+    assert evaluation.roc_auc(df, F.col("t"), F.col("s")).first()["roc_auc"] == 1.0
+    with pytest.raises(Exception, match="two classes"):
+        evaluation.roc_auc(spark.createDataFrame([(2, 0.9)], "t int, s double"), F.col("t"), F.col("s")).collect()
+
+
 def test_average_path():
     assert forest.average_path(1) == 0 and forest.average_path(2) == 1
     assert forest.average_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)

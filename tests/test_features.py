@@ -7,7 +7,7 @@ from helpers import START, entropy, features_of, frame, sample_events
 from pyspark.sql import functions as F
 
 from eventlens.functions.text import file_extension, path_depth, special_char_ratio
-from eventlens.functions.time import floor_time, parse_time, time_parts, window_start
+from eventlens.functions.time import floor_time, parse_time, time_parts
 from eventlens.operators import features, tfidf
 
 SMOOTH = 1e-10
@@ -92,7 +92,7 @@ def test_paths_and_special_characters(spark):
 def test_time_functions(spark):
     df = spark.createDataFrame([(START,)], "t timestamp_ntz")
     parts = time_parts(F.col("t"))
-    row = df.select(parts["hour"], parts["day_of_week"], floor_time(F.col("t"), 7).alias("f"), window_start(F.col("t"), 300)).first()
+    row = df.select(parts["hour"], parts["day_of_week"], floor_time(F.col("t"), 7).alias("f"), floor_time(F.col("t"), 300)).first()
     epoch = int((START - START.__class__(1970, 1, 1)).total_seconds())
     assert row[0] == 0 and row[1] == 0 and row[3] == START
     assert (START - row["f"]).total_seconds() == epoch % 7

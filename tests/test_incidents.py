@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventlens import IncidentRules
 from eventlens.config import enabled_channels
+from eventlens.functions import render
 from eventlens.functions.ids import content_id, experiment_content_id
 from eventlens.operators import incidents, registry, routing
 from eventlens.session import new_path
@@ -142,7 +143,12 @@ def test_messages_carry_all_events(spark, sample):
     assert blocks[1]["fields"][0] == {"type": "mrkdwn", "text": "*Severity:*\nhigh"}
     assert "text" not in blocks[1] and blocks[0]["text"]["type"] == "plain_text"
     html = next(r["body"] for r in rows if r["channel"] == "email")
-    assert "<strong>Severity:</strong> high" in html and '"event_count" : 3' in html
+    assert "<strong>Severity:</strong> high" in html and "&quot;event_count&quot; : 3" in html
+    pages_of = {(b["id"], b["details"]["page"], b["details"]["pages"]) for b in sent}
+    assert len(pages_of) == len(sent) == 3 and {p for _, p, n in pages_of if n == 2} == {0, 1}
+    log = routing.deliver(routing.with_payload(routing.with_event_pages(routed, pages))).collect()
+    assert {(r["incident_id"], r["page"]) for r in log} == {(i, p) for i, p, _ in pages_of} and {r["status"] for r in log} == {"sent"}
+    assert '"username":null' in next(r["body"] for r in rows if r["channel"] == "webhook")
 
 
 def test_message_defaults(spark):
@@ -157,7 +163,7 @@ def test_message_defaults(spark):
 def test_delivery_log(spark):
     messages = spark.createDataFrame([("1", "email", "x"), ("2", "slack", "boom"), ("3", "slack", "x")], "id string, channel string, body string")
 
-    def send(incident_id, channel, body):
+    def send(incident_id, channel, page, body):
         if body == "boom":
             raise RuntimeError("no route")
 
@@ -190,7 +196,7 @@ def test_content_ids_equal_json_and_sha256(spark):
 
 def test_registry(spark):
     log = spark.createDataFrame([("a", 1, "m1"), ("a", 3, "m1"), ("b", 2, "m1"), ("c", 5, "m2"), ("a", 2, "m1")], "id string, timestamp int, model string")
-    latest = registry.latest_records(log, "id")
+    latest = registry.latest_records(log, "id", tie="model")
     assert [tuple(r)[:2] for r in registry.list_records(latest, "id").collect()] == [("c", 5), ("a", 3), ("b", 2)]
     assert [r["id"] for r in registry.list_records(latest, "id", F.col("id") != "a").collect()] == ["c", "b"]
     assert registry.lookup(latest, "id", "b").first()["timestamp"] == 2
@@ -222,7 +228,8 @@ def test_event_files(spark, tmp_path):
     (tmp_path / "bad" / "x.json").write_text('{"timestamp": "soon", "event_type": "a"}\n')
     with pytest.raises(Exception, match="MALFORMED"):
         sources.read_events(spark, str(tmp_path / "bad"), "json").collect()
-    assert sources.read_events(spark, str(tmp_path / "bad"), "json", strict=False).first()["timestamp"] is None
+    assert sources.read_events(spark, str(tmp_path / "bad"), "json", strict=False).first() is None
+    assert sources.rejected_events(spark, str(tmp_path / "bad")).first()["line"].startswith('{"timestamp": "soon"')
     spark.createDataFrame([("x",)], "invalid string").write.parquet(str(tmp_path / "invalid"))
     with pytest.raises(ValueError, match="timestamp, event_type"):
         sources.read_events(spark, str(tmp_path / "invalid"))
@@ -239,6 +246,45 @@ def test_payloads(spark):
     assert sorted((r["a"], r["b"]) for r in sources.payload_rows(df, F.col("p"), "a int, b string").collect()) == [(1, "x"), (2, None), (3, "y"), (4, None)]
 
 
+def test_unusable_payloads(spark):
+    texts = ['[{"a": 1', '{"a": [3, 4], "b": ["y"]}', None, '{"a": [5]}', "[]"]
+    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    assert [tuple(r) for r in sources.payload_rows(df, F.col("p"), "a int, b string", strict=False).collect()] == [(5, None)]
+    assert [r["p"] for r in sources.payload_rejects(df, F.col("p"), "a int, b string").collect()] == texts[:3]
+    for text in texts[:3]:
+        with pytest.raises(Exception, match="unusable payload"):
+            sources.payload_rows(df.where(F.col("p").eqNullSafe(F.lit(text))), F.col("p"), "a int, b string").collect()
+
+
+def test_events_without_time_or_type(spark, tmp_path):
+    lines = ['{"invalid": "data"}', '{"timestamp": "2024-01-01T00:00:00.5", "event_type": "login", "event_id": 3}', '{"timestamp": "soon"', "{}"]
+    (tmp_path / "events.json").write_text("\n".join(lines))
+    good = sources.read_events(spark, str(tmp_path), "json", strict=False).collect()
+    assert [(r["event_id"], r["event_type"], r["timestamp"]) for r in good] == [(3, "login", datetime(2024, 1, 1, 0, 0, 0, 500000))]
+    assert sources.rejected_events(spark, str(tmp_path)).count() == 3
+    for bad in (lines[0], lines[2]):
+        (tmp_path / "one").mkdir(exist_ok=True)
+        (tmp_path / "one" / "events.json").write_text(bad)
+        with pytest.raises(Exception):
+            sources.read_events(spark, str(tmp_path / "one"), "json").collect()
+
+
+def test_typed_content_ids(spark):
+    rows = [(1, True, [1, 2], {"x": 0.1, "y": 1e-05}, 1e16), (-7, None, [], {}, 123456789.25), (None, False, None, {"z": 1e22, "a": 0.0001}, 5e-300),
+            (0, True, [3], {"q": 1.0, "r": -2.5e-7}, 1e15)]
+    kind = "struct<n: bigint, b: boolean, l: array<int>, m: map<string,double>, d: double>"
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, s {kind}")
+    for r in df.select("i", content_id(F.col("s"), df.schema["s"].dataType).alias("v")).collect():
+        text = json.dumps(dict(zip("nblmd", rows[r["i"]], strict=True)), sort_keys=True)
+        assert r["v"] == hashlib.sha256(text.encode()).hexdigest()[:12], text
+
+
+def test_html_shows_texts_as_they_are(spark):
+    df = spark.createDataFrame([("<script>'a' & \"b\"</script>",)], "t string")
+    body = df.select(render.email_body(F.col("t"), F.col("t"), F.col("t"), F.col("t"), F.struct("t"))).first()[0]
+    assert "<script>" not in body and body.count("&lt;script&gt;&#x27;a&#x27; &amp; ") == 5
+
+
 def test_records_of_events(spark):
-    row = sources.event_records(frame(spark, [{"command": "ls"}]), ["event_id", "command", "username"]).first()
+    row = sources.event_records(frame(spark, [{"command": "ls"}]), ["event_id", "command", "username"], "2024-01-01 00:00:00").first()
     assert json.loads(row["event"]) == {"event_id": 0, "command": "ls", "username": None} and row["source"] == "hybrid_detector"

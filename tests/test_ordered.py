@@ -7,6 +7,7 @@ import pytest
 from helpers import START, entropy, frame
 from pyspark.sql import functions as F
 
+from eventlens.operators.features import with_scope
 from eventlens.operators import evaluation, incidents, ordered
 
 ORDER = ["timestamp", "event_id"]
@@ -129,3 +130,25 @@ def test_event_pages_hold_every_event_in_order(spark, chunks):
     assert ids == list(range(n))
     assert {p["incident_id"] for p in pages} == {incidents.detect_incidents(df).first()["id"]}
     assert hits.first()["window"] == START
+
+
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_deviation_of_long_gaps_with_small_spread(spark, chunks):
+    text = ["2024-01-01 00:00:00", "2024-01-12 13:46:40", "2024-01-24 03:33:20.001", "2024-02-04 17:20:00.001"]
+    df = spark.createDataFrame(list(enumerate(text)), "event_id bigint, t string").select("event_id", F.col("t").cast("timestamp_ntz").alias("timestamp"))
+    row = ordered.gap_stats(df, [], "timestamp", ORDER, chunks).first()
+    assert row["mean"] == pytest.approx(1_000_000.000333333, rel=1e-12)
+    assert row["std"] == pytest.approx(0.000577350269, rel=1e-6)
+
+
+def test_gaps_and_windows_in_any_session_zone(spark):
+    df = spark.sql("SELECT * FROM VALUES (0L, timestamp_ntz'2024-03-10 01:30:00'), (1L, timestamp_ntz'2024-03-10 03:30:00') AS t(event_id, timestamp)")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert ordered.gap_stats(df, [], "timestamp", ORDER).first()["mean"] == 7200
+            scopes = [str(r["scope"]) for r in with_scope(df, 3600).orderBy("event_id").collect()]
+            assert scopes == ["2024-03-10 01:00:00", "2024-03-10 03:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
