@@ -314,3 +314,15 @@ def feature_matrix(
     return wide.select(
         *by, *[F.coalesce(F.nanvl(F.col(f"`{f}`"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features]
     )
+
+
+def merged_matrix(long: DataFrame, by: Sequence[str], features: Sequence[str], families: Sequence[str] = FAMILIES) -> DataFrame:
+    """``feature_matrix`` of ``merge_features`` from one aggregation: the names are known, so each is a conditional aggregate."""
+    rank = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family"))
+
+    def cell(name: str) -> Column:
+        own = F.col("feature") == name
+        return F.max_by(F.when(own, F.col("value")), F.when(own, rank)).alias(name)
+
+    wide = long.where(F.col("feature").isin(list(features))).groupBy(*by).agg(*[cell(f) for f in features])
+    return wide.select(*by, *[F.coalesce(F.nanvl(F.col(f"`{f}`"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features])

@@ -58,7 +58,7 @@ def basic_matrix(
 ) -> DataFrame:
     """The basic families, or those of them that are given, as one wide row per scope."""
     long = features.extract(events, by, families, failed_login)
-    return features.feature_matrix(features.merge_features(long, by, families), by, names)
+    return features.merged_matrix(long, by, names, families)
 
 
 def family_windows(

@@ -76,11 +76,12 @@ def collect_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
 
 
 def stage_by_window(events: DataFrame, path: str, seconds: int, columns: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch to a table partitioned by batch, with the start of each row's window."""
+    """Append each micro-batch to a table partitioned by batch and day, with the start of each row's window."""
 
     def write(batch: DataFrame, number: int) -> None:
         scoped = batch.withColumn("scope", F.window("timestamp", f"{seconds} seconds").start)
-        scoped.select("scope", *columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = scoped.select("scope", *columns, F.to_date("scope").alias("day"))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
 
     return run_batches(events, write, checkpoint)
 
@@ -103,7 +104,10 @@ def closed_transitions(
     end = F.col("scope") + F.expr(f"INTERVAL {seconds} SECONDS")
     closed = staged.where(end <= newest - F.expr(f"INTERVAL {delay_seconds} SECONDS"))
     if after is not None:
-        closed = closed.where(F.col("scope") >= F.lit(after).cast(staged.schema["scope"].dataType))
+        start = F.lit(after).cast(staged.schema["scope"].dataType)
+        closed = closed.where(F.col("scope") >= start)
+        if "day" in staged.columns:  # opens the files of these days only
+            closed = closed.where(F.col("day") >= F.to_date(start))
     return ordered.transition_counts(closed, ["scope"], list(order), values)
 
 
