@@ -21,6 +21,46 @@ def _stream(spark, sf):
     return project(stream_table(spark, sf, table(spark, sf, "events").schema, "events.parquet"))
 
 
+# Starts of the files of a stream that comes in parts.
+PARTS = ("2024-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2024-03-01")
+
+
+def _parts(spark, sf):
+    """The events in files of rising times, one per micro-batch."""
+    path = new_path(spark, "event-parts")
+    raw = table(spark, sf, "events")
+    for start, end in zip(PARTS, PARTS[1:], strict=False):
+        raw.where(f"ts >= timestamp_ntz'{start}' and ts < timestamp_ntz'{end}'").coalesce(1).write.mode("append").parquet(path)
+    return project(stream_table(spark, path, raw.schema, files_per_batch=1))
+
+
+FIELDS = ("event_type", "username", "process_name", "source_ip", "destination_ip", "alert_level", "command", "file_path", "protocol", "syscall")
+
+
+@query(
+    "stream_fields",
+    f"WITH {SC} "
+    + "\nUNION ALL\n".join(
+        f"SELECT scope, '{f}' AS field, CAST(sum(n) AS BIGINT) AS rows, count(v) AS \"distinct\", max(n) AS max_frequency, round(avg(n), 6) AS mean_frequency, "
+        f"round(0 - sum(p * log2(p)), 6) + 0.0 AS entropy FROM {counts(f)} WHERE v IS NOT NULL AND scope + INTERVAL '1 hour' <= {CLOSED} GROUP BY scope"
+        for f in FIELDS
+    ),
+)
+def _(spark, sf):
+    return _naive(sinks.collect_table(spark, queries.windowed_fields(_parts(spark, sf), FIELDS), "stream-fields"), "scope")
+
+
+@query(
+    "stream_values",
+    f"WITH {SC}, u AS (SELECT scope, unnest([{', '.join(repr(f) for f in FIELDS[:1])}, 'alert_level', 'protocol']) AS field, "
+    "unnest([event_type, CAST(alert_level AS VARCHAR), protocol]) AS value FROM sc) "
+    f"SELECT scope, field, value, count(*) AS n FROM u WHERE scope + INTERVAL '1 hour' <= {CLOSED} GROUP BY ALL",
+)
+def _(spark, sf):
+    fields = ("event_type", "alert_level", "protocol")
+    return _naive(sinks.collect_table(spark, queries.windowed_values(_parts(spark, sf), fields), "stream-values"), "scope")
+
+
 def _naive(df, *columns):
     return rounded(df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns}))
 

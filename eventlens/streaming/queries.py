@@ -6,7 +6,7 @@ to it. Windows are emitted once the watermark has passed them (append mode).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -69,6 +69,37 @@ def windowed_entropy(events: DataFrame, field: str, seconds: int = 3600, delay:
     )
 
 
+def windowed_fields(events: DataFrame, fields: Sequence[str], seconds: int = 3600, delay: str = DELAY) -> DataFrame:
+    """(scope, field, rows, distinct, max_frequency, mean_frequency, entropy) of every field per window.
+
+    One unpivot and two chained aggregations for all fields: counts per value, then their statistics.
+    """
+    return (
+        _value_counts(events, fields, seconds, delay)
+        .groupBy(F.window(F.window_time("w"), f"{seconds} seconds").alias("w2"), "field")
+        .agg(
+            F.sum("n").alias("rows"),
+            F.count("*").alias("distinct"),
+            F.max("n").alias("max_frequency"),
+            F.avg("n").alias("mean_frequency"),
+            entropy_basic(F.col("n"), F.lit(1)).alias("entropy"),
+        )
+        .select(F.col("w2.start").alias("scope"), "field", "rows", "distinct", "max_frequency", "mean_frequency", "entropy")
+    )
+
+
+def windowed_values(events: DataFrame, fields: Sequence[str], seconds: int = 3600, delay: str = DELAY) -> DataFrame:
+    """(scope, field, value, n): how often each value of the fields occurs per window."""
+    return _value_counts(events, fields, seconds, delay).select(F.col("w.start").alias("scope"), "field", "value", "n")
+
+
+def _value_counts(events: DataFrame, fields: Sequence[str], seconds: int, delay: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    named = watermarked(events, delay).select("timestamp", F.inline(pairs))
+    timed = F.when(F.col("timestamp").isNotNull(), F.col("value"))
+    return named.where(timed.isNotNull()).groupBy(_window(seconds).alias("w"), "field", "value").agg(F.count("*").alias("n"))
+
+
 def stream_incidents(
     scored: DataFrame, rules: IncidentRules = IncidentRules(), model_info: Mapping[str, str] | None = None, delay: str = DELAY
 ) -> DataFrame:
