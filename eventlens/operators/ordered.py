@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventlens.functions.time import micros
+from eventlens.operators.joins import join_null_safe
 from eventlens.session import settle
 
 CHUNK = "__chunk"
@@ -173,16 +174,25 @@ def rolling_entropy(
     row changes that sum when it enters, by its value's count in the rows before it, and again when
     it leaves, by the count in the rows after it: two running sums, no list per row.
 
-    The first rows of a chunk look back into earlier chunks, so the outermost rows of all chunks of
-    a group are windowed once more, together: fewer than ``2 * rows`` per chunk.
+    The first rows of a chunk look back into earlier chunks, so every chunk gets a copy of the last
+    ``rows - 1`` rows of its group before it, from as many chunks as they lie in. A hot group's chunks stay
+    apart.
     """
     back = rows - 1
     v = F.coalesce(F.col(value).cast("string"), F.lit("None")).alias("v")
-    spread = range_chunks(df.select(*by, *order, value, v), by, order, chunks)
-    inside = W.partitionBy(CHUNK, *by).orderBy(*order)
-    ranked = spread.withColumns(
-        {"rank": F.row_number().over(inside), "size": F.count("*").over(W.partitionBy(CHUNK, *by))}
+    inside = W.partitionBy(CHUNK, *by)
+    # Written once: the rows and the copies below must see the same chunks.
+    cut = range_chunks(df.select(*by, *order, value, v), by, order, chunks)
+    placed = settle(cut.withColumns({"place": F.row_number().over(inside.orderBy(*order)), "size": F.count("*").over(inside)}))
+    copies = _followers(placed, by, back)
+    tails = placed.where(F.col("place") > F.col("size") - back)
+    halo = (
+        join_null_safe(tails, copies, [*by, CHUNK])
+        .where(F.col("size") - F.col("place") + F.col("between") < back)
+        .select(*by, *order, value, "v", F.col("target").alias(CHUNK), F.lit(False).alias("own"))
     )
+    joined = placed.select(*by, *order, value, "v", CHUNK, F.lit(True).alias("own")).unionByName(halo)
+    ranked = joined.withColumn("rank", F.row_number().over(inside.orderBy(*order)))
     same = W.partitionBy(CHUNK, *by, "v").orderBy("rank")
     counted = ranked.withColumns(
         {
@@ -190,58 +200,38 @@ def rolling_entropy(
             "leaves": _step(F.count("*").over(same.rangeBetween(0, back))),
         }
     )
-    placed = W.partitionBy(CHUNK, *by).orderBy("rank")
-    gone = F.coalesce(F.sum("leaves").over(placed.rowsBetween(W.unboundedPreceding, -rows)), F.lit(0.0))
-    total = F.sum("enters").over(placed.rowsBetween(W.unboundedPreceding, 0)) - gone
+    running = inside.orderBy("rank")
+    gone = F.coalesce(F.sum("leaves").over(running.rowsBetween(W.unboundedPreceding, -rows)), F.lit(0.0))
+    total = F.sum("enters").over(running.rowsBetween(W.unboundedPreceding, 0)) - gone
     held = F.least(F.col("rank"), F.lit(rows)).cast("double")
-    own = counted.withColumn("own", F.greatest(F.log2(held) - total / held, F.lit(0.0)))
-
-    early = F.col("rank") <= back
-    edge = early | (F.col("rank") > F.col("size") - back)
-    key = F.when(~edge, F.xxhash64(CHUNK, *order))
-    across = W.partitionBy(*by, "key").orderBy(*order).rowsBetween(-back, 0)
-    joined = (
-        own.select(*by, *order, value, "v", "rank", "own", key.alias("key"))
-        .withColumn("joined", F.collect_list("v").over(across))
-    )
-    # A longer list means that rows of an earlier chunk came in.
-    longer = early & (F.size("joined") > F.col("rank"))
-    entropy = F.when(longer, _list_entropy(F.col("joined"))).otherwise(F.col("own"))
     return (
-        joined.withColumn("rolling_entropy", entropy)
-        .where(F.col("rolling_entropy") >= min_entropy)
+        counted.withColumn("rolling_entropy", F.greatest(F.log2(held) - total / held, F.lit(0.0)))
+        .where(F.col("own") & (F.col("rolling_entropy") >= min_entropy))
         .select(*by, *order, value, "rolling_entropy")
     )
 
 
+def _followers(placed: DataFrame, by: Sequence[str], back: int) -> DataFrame:
+    """(by, CHUNK, target, between): the group's later chunks with under ``back`` of its rows in between."""
+    sizes = placed.groupBy(*by, CHUNK).agg(F.count("*").alias("size"))
+    next_ones = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(1, max(back, 1))
+    listed = sizes.select(*by, CHUNK, F.collect_list(F.struct(F.col(CHUNK).alias("target"), "size")).over(next_ones).alias("later"))
+    steps = F.transform(
+        "later",
+        lambda x, i: F.struct(
+            x["target"].alias("target"),
+            F.aggregate(F.slice("later", F.lit(1), i), F.lit(0).cast("bigint"), lambda total, y: total + y["size"]).alias("between"),
+        ),
+    )
+    return listed.select(*by, CHUNK, F.inline(steps)).where(F.col("between") < back)
+
+
 def _step(count: Column) -> Column:
     """What a count of c adds to sum(c * log2 c) over a count of c - 1."""
     c = count.cast("double")
     return c * F.log2(c) - F.when(c > 1, (c - 1) * F.log2(c - 1)).otherwise(0.0)
 
 
-def _list_entropy(values: Column) -> Column:
-    """Entropy of a short list: log2(N) - sum(n * log2 n) / N over the runs of the sorted list."""
-    total = F.size(values).cast("double")
-
-    def bits(run: Column) -> Column:
-        return run * F.log2(run)
-
-    def step(state: Column, x: Column) -> Column:
-        same = state["at"] == x
-        return F.struct(
-            x.alias("at"),
-            F.when(same, state["run"] + 1).otherwise(F.lit(1.0)).alias("run"),
-            F.when(same, state["bits"]).otherwise(state["bits"] + bits(state["run"])).alias("bits"),
-        )
-
-    ordered = F.sort_array(values)
-    start = F.struct(F.element_at(ordered, 1).alias("at"), F.lit(1.0).alias("run"), F.lit(0.0).alias("bits"))
-    rest = F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0)))
-    runs = F.aggregate(rest, start, step, lambda state: state["bits"] + bits(state["run"]))
-    return F.greatest(F.log2(total) - runs / total, F.lit(0.0))
-
-
 def exact_quantile(df: DataFrame, value: str, q: float, chunks: int | None = None) -> DataFrame:
     """One row (n, quantile): the exact quantile of ``value`` with linear interpolation.
 
