@@ -238,7 +238,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     weigh = spark.sparkContext.broadcast(document_frequencies(texts))
     signed = settle(_signed(texts, weigh))
-    copies = signed.select("doc_id", "words").groupBy("words").agg(F.min("doc_id").alias("copy_of"))
+    # A table of its own: joined straight after the aggregate, a hot digest's rows could not be split.
+    copies = settle(signed.groupBy("words").agg(F.min("doc_id").alias("copy_of")))
     named = settle(signed.select("doc_id", "words").join(copies, "words").select("doc_id", "copy_of"))
     nodes = (
         signed.where(F.size("bands") > 0)

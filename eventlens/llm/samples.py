@@ -25,10 +25,18 @@ def labelled_chunks(texts: DataFrame, labels: DataFrame, per_label: int) -> dict
 
     ``texts`` has doc_id and text, ``labels`` doc_id and label. At most ``PER_TEXT * per_label`` chunks of
     ``CHUNK`` bytes per label come to the driver, however large the tables are; chosen ids are broadcast.
+    There are as many labels as the caller lets through.
     """
     order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    marked = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    # A bound on the hash lets a few times as many ids through as are wanted, so a frequent label's rows never meet.
+    bound = F.lit(2**63 - 1)
+    for row in marked.groupBy("label").count().collect():
+        share = (4 * per_label + 100) / row["count"]
+        if share < 1:
+            bound = F.when(F.col("label") == F.lit(row.label), F.lit(int(-(2**63) + share * 2**64))).otherwise(bound)
     chosen = (
-        labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+        marked.where(F.xxhash64("doc_id") <= bound)
         .distinct()
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_label)
