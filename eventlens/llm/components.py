@@ -15,14 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     so a node with many edges is split like any large join key. The graph of a round is a written table.
     """
     now = settle(_ordered(edges.select("a", "b")))
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = state
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -31,6 +24,16 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         now = settle(_ordered(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger node has one edge, to a node that has none to a smaller one."""
+    ends = F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"))))
+    nodes = edges.select(ends).groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return nodes.where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("least") == 0))).isEmpty()
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
