@@ -40,6 +40,8 @@ EPOCHS = 12
 # Strength of the regulariser of the machines.
 LAMBDA = 1e-4
 UNKNOWN = "und"
+# Bytes of text per step of a task.
+STEP_BYTES = 4 << 20
 
 
 class Model(NamedTuple):
@@ -179,7 +181,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, flat, offsets in slices(batches):
+        for rows, flat, offsets in slices(batches, size=STEP_BYTES):
             names, score = decide(model, margins(model, flat, offsets))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("letters"), pa.array(names, pa.string()), pa.array(score)],

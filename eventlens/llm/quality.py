@@ -37,6 +37,8 @@ STEPS = 1200
 SHORT = 4
 BATCH = 64
 RATE = 0.004
+# Bytes of text per step of a task: blocks and their answers take some twenty times as much.
+STEP = 4 << 20
 # Score from which a text counts as good.
 CUTOFF = 0.3
 
@@ -169,7 +171,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, flat, offsets in slices(batches):
+        for rows, flat, offsets in slices(batches, size=STEP):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores(net, flat, offsets))], names=["doc_id", "score"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -183,7 +185,7 @@ def keep_good(docs: DataFrame, net: Network) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, flat, offsets in slices(batches):
+        for rows, flat, offsets in slices(batches, size=STEP):
             yield rows.filter(pa.array(scores(net, flat, offsets) >= CUTOFF))
 
     return docs.mapInArrow(run, docs.schema)
