@@ -11,9 +11,11 @@
 * A band's samples are a key. Every document of a key is compared with the key's hub, the document that meets
   most others over all its keys; a key may be as hot as it likes, each of its documents gives one pair. Links
   of at least ``THRESHOLD`` on the whole texts make groups by connected components.
-* Where this leaves documents of a key in different groups, all its documents are compared inside the key, as
-  products of weights and shared shingles; what leaves the task is a spanning forest of the links found. A key
-  of more than ``GROUP`` shingles is first cut by the next band's samples.
+* Where this leaves documents of a key in different groups, those outside its largest group are compared with
+  all others of the key, as products of weights and shared shingles. A key is cut into chunks of about ``GROUP``
+  shingles, and every pair of chunks is compared by itself, so no pair of documents
+  that shares a key is left out at any size; what leaves the task is a spanning forest of the links found.
+  A key whose documents stay apart costs the square of its chunks.
 
 Cases: null counts as empty. Texts without words are equal if their bytes are, else unlike any other. A text
 of one to four words is one shingle. Rows with the same id are one document. A null id takes part, but if a
@@ -29,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens.llm.components import components
 from eventlens.llm.texts import lowered, prepare, slices, spread
@@ -42,8 +44,8 @@ ROWS = 3
 # The sketch: two rows of counters, summed in blocks.
 WIDTH_BITS = 19
 BLOCK = 1 << 14
-# Shingles of a key that are compared in one task; a larger key is cut by the next band's key.
-GROUP = 4_000_000
+# Shingles of a chunk of a key; two chunks are compared at once.
+GROUP = 1_000_000
 # Bytes of text per step: its arrays stay in a core's cache.
 STEP = 1 << 20
 
@@ -246,8 +248,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         .join(copies.select(F.col("copy_of").alias("doc_id"), "words"), ["doc_id", "words"], "left_semi")
         .dropDuplicates(["doc_id"])
     )
-    keys = nodes.select("doc_id", "size", "bands", F.posexplode("bands").alias("band", "key"))
-    keys = settle(keys.select("doc_id", "size", "band", "key", F.expr("bands[(band + 1) % size(bands)]").alias("next")))
+    keys = settle(nodes.select("doc_id", "size", F.posexplode("bands").alias("band", "key")))
     members = settle(_members(keys))
     pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     # Merge joins where texts move: the plan is the same at every size of the table.
@@ -263,12 +264,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def _members(keys: DataFrame) -> DataFrame:
-    """Rows of the keys that several documents share, with the key's hub and its number of shingles."""
-    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("total")).where("number > 1")
+    """Rows of the keys that several documents share, with the key's hub."""
+    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("number")).where("number > 1")
     met = keys.join(shared, ["band", "key"])
     busy = met.groupBy("doc_id").agg(F.sum("number").alias("meets"))
     hubs = met.join(busy, "doc_id").groupBy("band", "key").agg(F.max_by("doc_id", F.struct("meets", -F.col("doc_id"))).alias("hub"))
-    return met.join(hubs, ["band", "key"]).select("doc_id", "band", "key", "next", "total", "hub")
+    return met.join(hubs, ["band", "key"]).select("doc_id", "size", "band", "key", "hub")
 
 
 def _signed(texts: DataFrame, weigh) -> DataFrame:
@@ -319,25 +320,55 @@ def _weighted(flat: np.ndarray, offsets: np.ndarray, weigh: Weights) -> list[tup
     return [(ids[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _within_keys(members: DataFrame, texts: DataFrame, groups: DataFrame, weigh, threshold: float) -> DataFrame:
-    """Links (a, b) between documents of a key that are in different groups so far: a spanning forest for each key."""
+def _meetings(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Documents of open keys with ``met``, the pairs of chunks (i, j) they are in: as one of x if x = i, as one of y if y = j.
+
+    Documents outside the key's largest group, in ``across`` chunks, meet all of the key's documents, in ``down`` chunks.
+    """
     placed = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("component", "doc_id"))
-    open_ = placed.groupBy("band", "key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high")
-    rows = placed.join(open_.select("band", "key"), ["band", "key"], "left_semi").withColumn(
-        "part", F.when(F.col("total") > GROUP, F.col("next")).otherwise(F.lit(0))
+    sizes = placed.groupBy("band", "key", "own").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("size"))
+    main = F.max(F.struct("number", "size", "own")).alias("main")
+    open_ = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("groups"), F.sum("number").alias("number"), F.sum("size").alias("total"), main)
+    open_ = open_.where("groups > 1").select(
+        "band",
+        "key",
+        F.col("main.own").alias("main"),
+        _chunks(F.col("total") - F.col("main.size")).alias("across"),
+        _chunks(F.col("total")).alias("down"),
+    )
+    draw = F.xxhash64("doc_id", "band", "key")
+    rows = placed.join(open_, ["band", "key"]).select(
+        "band", "key", "doc_id", "own", "across", "down", F.when(F.col("own") != F.col("main"), F.pmod(draw, "across")).alias("x"), F.pmod(draw, "down").alias("y")
     )
+    met = F.concat(
+        F.expr("if(x is null, array(), transform(sequence(0L, down - 1), k -> struct(x as i, k as j)))"),
+        F.expr("transform(sequence(0L, across - 1), k -> struct(k as i, y as j))"),
+    )
+    return rows.select("band", "key", "doc_id", "own", "x", "y", F.array_distinct(met).alias("met"))
+
+
+def _within_keys(members: DataFrame, texts: DataFrame, groups: DataFrame, weigh, threshold: float) -> DataFrame:
+    """Links (a, b) between documents of a key that are in different groups so far: a spanning forest for each pair of chunks."""
 
     def compare(rows: pa.Table) -> pa.Table:
         names, own = rows.column("doc_id").to_numpy(), rows.column("own").to_numpy()
+        one = np.flatnonzero(rows.column("one").to_numpy())
+        two = np.flatnonzero(rows.column("two").to_numpy())
         out: list[tuple[int, int]] = []
-        if len(np.unique(own)) > 1:
+        if len(one) and len(np.unique(own)) > 1:
             found = [x for batch in rows.combine_chunks().to_batches() for _, flat, offsets in slices(iter([batch]), size=STEP) for x in _shingled(flat, offsets)]
-            out = _forest(own, _similar(found, weigh.value, threshold))
+            out = _forest(own, _similar(found, weigh.value, threshold, one, two, own))
         ends = names[np.array(out, np.int64).reshape(-1, 2)]
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    pairs = rows.join(texts.hint("merge"), "doc_id").select("band", "key", "part", "doc_id", "own", "text")
-    return pairs.groupBy("band", "key", "part").applyInArrow(compare, "a long, b long").distinct()
+    pairs = _meetings(members, groups).join(texts.hint("merge"), "doc_id").select("band", "key", "doc_id", "own", "x", "y", "text", F.inline("met"))
+    pairs = pairs.select("band", "key", "i", "j", "doc_id", "own", F.expr("x <=> i").alias("one"), F.expr("y <=> j").alias("two"), "text")
+    return pairs.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _chunks(size: Column) -> Column:
+    """How many chunks hold so many shingles."""
+    return F.ceil(size / GROUP).cast("long")
 
 
 def _shingled(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -345,8 +376,11 @@ def _shingled(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, n
     return [(ids[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _similar(found: list[tuple[np.ndarray, np.ndarray]], weigh: Weights, threshold: float) -> np.ndarray:
-    """Row numbers (i, j), i < j, of the sets that are similar enough. The k-th of equal shingles is a feature of its own."""
+def _similar(found: list[tuple[np.ndarray, np.ndarray]], weigh: Weights, threshold: float, one: np.ndarray, two: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Row numbers (i, j), i of ``one`` and j of ``two``, of the sets of different groups that are similar enough.
+
+    The k-th of equal shingles is a feature of its own.
+    """
     number = len(found)
     ids, times = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     row = np.repeat(np.repeat(np.arange(number), [len(f[0]) for f in found]), times)
@@ -354,20 +388,21 @@ def _similar(found: list[tuple[np.ndarray, np.ndarray]], weigh: Weights, thresho
     _, first, feature, counts = np.unique(np.repeat(ids, times) ^ (turn << U(44)), return_index=True, return_inverse=True, return_counts=True)
     weight = weigh(np.repeat(ids, times)[first], np.ones(len(first)))
     total = np.bincount(row, weight[feature], minlength=number)
-    common = np.zeros((number, number))
+    common = np.zeros((len(one), len(two)))
     shared = np.flatnonzero(counts > 1)
     place = np.full(len(counts), -1)
     step = max(64, 4_000_000 // number)
     for at in range(0, len(shared), step):
-        own = shared[at : at + step]
+        part = shared[at : at + step]
         place[:] = -1
-        place[own] = np.arange(len(own))
+        place[part] = np.arange(len(part))
         columns = place[feature]
-        has = np.zeros((number, len(own)))
+        has = np.zeros((number, len(part)))
         has[row[columns >= 0], columns[columns >= 0]] = 1
-        common += (has * weight[own]) @ has.T
-    close = common >= threshold * (total[:, None] + total[None, :] - common) * (1 - 1e-12)
-    return np.argwhere(np.triu(close, 1))
+        common += (has[one] * weight[part]) @ has[two].T
+    close = common >= threshold * (total[one][:, None] + total[two][None, :] - common) * (1 - 1e-12)
+    i, j = np.nonzero(close & (own[one][:, None] != own[two][None, :]))
+    return np.column_stack((one[i], two[j]))
 
 
 def _forest(own: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:

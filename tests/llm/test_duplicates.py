@@ -220,3 +220,28 @@ def test_merged_transforms_order_all_suffixes():
     for a, b, c in zip(merged, merged[1:], common[1:]):
         shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert c == shared
+
+
+def within_keys(spark, rows, groups=()):
+    """Links that _within_keys finds where all documents share one key."""
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [max(1, len(t.split()) - 4) for _, t in rows]
+    kinds = "doc_id long, size long, band int, key long, hub long, next long, total long"
+    members = spark.createDataFrame([(i, n, 0, 1, rows[0][0], i, sum(sizes)) for (i, _), n in zip(rows, sizes)], kinds)
+    placed = spark.createDataFrame(list(groups), "node long, component long")
+    weigh = spark.sparkContext.broadcast(near_dedup.document_frequencies(texts))
+    return {frozenset((r.a, r.b)) for r in near_dedup._within_keys(members, texts, placed, weigh, 0.8).collect()}
+
+
+def twins(count, size=40, seed=11):
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(count):
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(size)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base, f"new{k}"]))]
+    return rows
+
+
+def test_a_key_of_many_shingles_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP", 150)
+    assert within_keys(spark, twins(20)) == {frozenset((2 * k, 2 * k + 1)) for k in range(20)}
