@@ -13,7 +13,7 @@
   of at least ``THRESHOLD`` on the whole texts make groups by connected components.
 * Where this leaves documents of a key in different groups, those outside its largest group are compared with
   all others of the key, as products of weights and shared shingles. A key is cut into chunks of about ``GROUP``
-  shingles, and every pair of chunks is compared by itself, so no pair of documents
+  shingles or ``DOCUMENTS`` documents, and every pair of chunks is compared by itself, so no pair of documents
   that shares a key is left out at any size; what leaves the task is a spanning forest of the links found.
   A key whose documents stay apart costs the square of its chunks.
 
@@ -44,8 +44,9 @@ ROWS = 3
 # The sketch: two rows of counters, summed in blocks.
 WIDTH_BITS = 19
 BLOCK = 1 << 14
-# Shingles of a chunk of a key; two chunks are compared at once.
+# Shingles and documents of a chunk of a key; two chunks are compared at once.
 GROUP = 1_000_000
+DOCUMENTS = 2_000
 # Bytes of text per step: its arrays stay in a core's cache.
 STEP = 1 << 20
 
@@ -333,8 +334,8 @@ def _meetings(members: DataFrame, groups: DataFrame) -> DataFrame:
         "band",
         "key",
         F.col("main.own").alias("main"),
-        _chunks(F.col("total") - F.col("main.size")).alias("across"),
-        _chunks(F.col("total")).alias("down"),
+        _chunks(F.col("number") - F.col("main.number"), F.col("total") - F.col("main.size")).alias("across"),
+        _chunks(F.col("number"), F.col("total")).alias("down"),
     )
     draw = F.xxhash64("doc_id", "band", "key")
     rows = placed.join(open_, ["band", "key"]).select(
@@ -366,9 +367,9 @@ def _within_keys(members: DataFrame, texts: DataFrame, groups: DataFrame, weigh,
     return pairs.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _chunks(size: Column) -> Column:
-    """How many chunks hold so many shingles."""
-    return F.ceil(size / GROUP).cast("long")
+def _chunks(number: Column, size: Column) -> Column:
+    """How many chunks hold so many documents of so many shingles."""
+    return F.greatest(F.ceil(number / DOCUMENTS), F.ceil(size / GROUP)).cast("long")
 
 
 def _shingled(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

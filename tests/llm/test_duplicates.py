@@ -245,3 +245,16 @@ def twins(count, size=40, seed=11):
 def test_a_key_of_many_shingles_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP", 150)
     assert within_keys(spark, twins(20)) == {frozenset((2 * k, 2 * k + 1)) for k in range(20)}
+
+
+def test_no_task_gets_more_documents_than_two_chunks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "DOCUMENTS", 10)
+    members = spark.createDataFrame([(i, 20, 0, 1, 0) for i in range(200)], "doc_id long, size long, band int, key long, hub long")
+    joined = spark.createDataFrame([(i, 0) for i in range(150)], "node long, component long")
+    tasks = defaultdict(list)
+    for r in near_dedup._meetings(members, joined).selectExpr("*", "inline(met)").collect():
+        tasks[r.i, r.j].append(r)
+    assert max(map(len, tasks.values())) <= 50
+    met = {frozenset((a.doc_id, b.doc_id)) for (i, j), rows in tasks.items() for a in rows if a.x == i for b in rows if b.y == j if a.own != b.own}
+    assert met == {frozenset((a, b)) for a in range(200) for b in range(150, 200) if a != b}
+    assert not any(a.x == i for (i, j), rows in tasks.items() for a in rows if a.own == 0)
