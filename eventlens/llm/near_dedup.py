@@ -2,9 +2,9 @@
 
 * Words are runs of letters, digits and bytes above ASCII, A-Z lowered; shingles are five words (all words of
   a shorter text). A shingle weighs its count times ``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``. Document
-  frequencies over all documents come from a count-min sketch of fixed size: every task counts its own, the
-  blocks are summed by key, and the sum is broadcast. It is too high by at most about e / WIDTH of all
-  shingles, at any size of the table.
+  frequencies are counted over all rows: blocks of documents send their different shingles with counts to
+  ranges of shingles, and get back those that several documents have. A block or a range is about ``BLOCK``
+  bytes of text at any size of the table.
 * Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per document; two documents share a
   sample with the probability of their similarity. Documents of equal words share everything and are one
   node from here on, so copies are never expanded.
@@ -41,12 +41,12 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 12
 ROWS = 3
-# The sketch: two rows of counters, summed in blocks.
-WIDTH_BITS = 19
-BLOCK = 1 << 14
+# Bytes of text of a block of documents, and behind a range of shingles.
+BLOCK = 8 << 20
 # Shingles and documents of a chunk of a key; two chunks are compared at once.
 GROUP = 1_000_000
 DOCUMENTS = 2_000
+SIGNED = [("doc_id", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64()), ("df", pa.binary()), ("print", pa.int64())]
 # Bytes of text per step: its arrays stay in a core's cache.
 STEP = 1 << 20
 
@@ -127,23 +127,8 @@ def _digests(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def counters(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A shingle's counter in each row of the sketch."""
-    hashed = mixed(ids + U(0x51ED270B7))
-    mask = U((1 << WIDTH_BITS) - 1)
-    return (hashed & mask).astype(np.int64), ((hashed >> U(32)) & mask).astype(np.int64) + (1 << WIDTH_BITS)
-
-
-class Weights:
-    """A shingle's weight from the sketch of document frequencies."""
-
-    def __init__(self, sketch: np.ndarray, documents: int):
-        self.sketch, self.documents = sketch, documents
-
-    def __call__(self, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
-        one, two = counters(ids)
-        df = np.minimum(np.minimum(self.sketch[one], self.sketch[two]), self.documents).astype(np.float64)
-        return times * (1 + np.log((1 + self.documents) / (1 + df)) / np.log(1 + max(1, self.documents)))
+def weights(times: np.ndarray, df: np.ndarray, documents: int) -> np.ndarray:
+    return times * (1 + np.log((1 + documents) / (1.0 + df)) / np.log(1 + max(1, documents)))
 
 
 @lru_cache(maxsize=1)
@@ -203,35 +188,45 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / total) if total else 0.0
 
 
-def document_frequencies(texts: DataFrame) -> Weights:
-    """The weights of shingles over all texts. A sketch of fixed size comes to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, rows_read = np.zeros(2 << WIDTH_BITS, np.int32), 0
-        for rows, flat, offsets in slices(batches, size=STEP):
-            ids = shingles(flat, offsets)[0]
-            for places in counters(ids):
-                np.add.at(sketch, places, 1)
-            rows_read += rows.num_rows
-        if rows_read:
-            parts = sketch.astype("<i8").reshape(-1, BLOCK)
-            blocks = [zlib.compress(p.tobytes(), 1) for p in parts] + [zlib.compress(np.array([rows_read], "<i8").tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary())], names=["block", "counts"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in rows.column("counts").to_pylist())
-        return pa.table({"block": rows.column("block")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    schema = "block int, counts binary"
-    partial = texts.mapInArrow(count, schema)
-    # Blocks of many tasks are summed in two steps, so that no task adds up those of all.
-    half = partial.groupBy("block", F.spark_partition_id() % 16).applyInArrow(add, schema)
-    summed = {r.block: np.frombuffer(zlib.decompress(r.counts), "<i8") for r in half.groupBy("block").applyInArrow(add, schema).collect()}
-    if not summed:
-        return Weights(np.zeros(2 << WIDTH_BITS, np.int32), 0)
-    blocks = (2 << WIDTH_BITS) // BLOCK
-    sketch = np.concatenate([summed[i] for i in range(blocks)])
-    return Weights(np.minimum(sketch, 2**31 - 1).astype(np.int32), int(summed[blocks][0]))
+def _blocks(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """``texts`` with block, the number of blocks, and that of the rows."""
+    total = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("size")).first()
+    blocks = (total["size"] or 0) // BLOCK + 1
+    return texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), blocks, total["rows"]
+
+
+def _frequencies(blocked: DataFrame, ranges: int) -> DataFrame:
+    """block, ids, df: a block's shingles that several documents have, and in how many they are."""
+
+    def gather(rows: pa.Table) -> pa.Table:
+        found = [shingles(flat, offsets)[0] for batch in rows.combine_chunks().to_batches() for _, flat, offsets in slices(iter([batch]), size=STEP)]
+        ids, counts = np.unique(np.concatenate(found), return_counts=True)
+        limits = np.searchsorted(ids, np.array([(k << 44) // ranges for k in range(ranges + 1)], np.uint64))
+        own = np.flatnonzero(np.diff(limits))
+        part = [(ids[limits[k] : limits[k + 1]].tobytes(), counts[limits[k] : limits[k + 1]].astype("<i8").tobytes()) for k in own]
+        block = rows.column("block")[0].as_py()
+        return pa.table(
+            {"block": pa.array([block] * len(own), pa.int64()), "part": pa.array(own), "ids": pa.array([x for x, _ in part], pa.binary()), "df": pa.array([x for _, x in part], pa.binary())}
+        )
+
+    def count(rows: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(x, np.uint64) for x in rows.column("ids").to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        ids = np.concatenate(ids)
+        own, place = np.unique(ids, return_inverse=True)
+        times = np.concatenate([np.frombuffer(x, "<i8") for x in rows.column("df").to_pylist()])
+        df = np.zeros(len(own), np.int64)
+        np.add.at(df, place, times)
+        df = df[place]
+        sent = [(ids[a:b][df[a:b] > 1].tobytes(), df[a:b][df[a:b] > 1].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"block": rows.column("block"), "ids": pa.array([x for x, _ in sent], pa.binary()), "df": pa.array([x for _, x in sent], pa.binary())})
+
+    parts = blocked.select("block", "text").groupBy("block").applyInArrow(gather, "block long, part long, ids binary, df binary")
+    return parts.groupBy("part").applyInArrow(count, "block long, ids binary, df binary")
+
+
+def _unpacked(frequencies: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *[np.frombuffer(zlib.decompress(x), "<i8") for x in frequencies]])
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -239,12 +234,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    weigh = spark.sparkContext.broadcast(document_frequencies(texts))
-    signed = settle(_signed(texts, weigh))
+    blocked, blocks, documents = _blocks(texts)
+    signed = settle(_signed(blocked, _frequencies(blocked, blocks), documents))
     # A table of its own: joined straight after the aggregate, a hot digest's rows could not be split.
     copies = settle(signed.groupBy("words").agg(F.min("doc_id").alias("copy_of")))
     named = settle(signed.select("doc_id", "words").join(copies, "words").select("doc_id", "copy_of"))
-    nodes = (
+    nodes = settle(
         signed.where(F.size("bands") > 0)
         .join(copies.select(F.col("copy_of").alias("doc_id"), "words"), ["doc_id", "words"], "left_semi")
         .dropDuplicates(["doc_id"])
@@ -253,10 +248,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     members = settle(_members(keys))
     pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     # Merge joins where texts move: the plan is the same at every size of the table.
-    own = settle(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = settle(_checked(pairs, own, weigh, threshold))
+    asked = nodes.select("doc_id", "print", "df").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    printed = texts.withColumn("print", F.xxhash64("text"))
+    own = settle(printed.join(asked.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "df"))
+    links = settle(_checked(pairs, own, documents, threshold))
     groups = settle(components(links))
-    further = settle(_within_keys(members, own, groups, weigh, threshold))
+    further = settle(_within_keys(members, own, groups, documents, threshold))
     if further.limit(1).count():
         groups = settle(components(links.unionByName(further)))
     return named.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left").select(
@@ -273,15 +270,22 @@ def _members(keys: DataFrame) -> DataFrame:
     return met.join(hubs, ["band", "key"]).select("doc_id", "size", "band", "key", "hub")
 
 
-def _signed(texts: DataFrame, weigh) -> DataFrame:
-    """doc_id, words (a digest of the words, or of the bytes where there are none), bands, size (its number of shingles)."""
+def _signed(blocked: DataFrame, frequencies: DataFrame, documents: int) -> DataFrame:
+    """doc_id, words (a digest of the words, or of the bytes where there are none), bands, size (its number of shingles), df (of each, packed), print."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(texts: pa.Table, known: pa.Table) -> pa.Table:
         import hashlib
 
-        for rows, flat, offsets in slices(batches, size=STEP):
+        several = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in known.column("ids").to_pylist()]])
+        counted = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x, "<i8") for x in known.column("df").to_pylist()]])
+        order = np.argsort(several)
+        several, counted = np.append(several[order], ~U(0)), np.append(counted[order], 1)
+        out = []
+        for rows, flat, offsets in slices(iter(texts.combine_chunks().to_batches()), size=STEP):
             ids, times, bounds, digests = shingles(flat, offsets)
-            found = samples(ids, weigh.value(ids, times), bounds)
+            at = np.searchsorted(several, ids)
+            df = np.where(several[at] == ids, counted[at], 1)
+            found = samples(ids, weights(times, df, documents), bounds)
             keys, filled = band_keys(found), np.diff(bounds) > 0
             data = flat.tobytes()
             words = [
@@ -289,35 +293,41 @@ def _signed(texts: DataFrame, weigh) -> DataFrame:
             ]
             limits = np.concatenate(([0], np.cumsum(filled * BANDS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.ascontiguousarray(keys[filled]).reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(words, pa.binary()), bands, pa.array(np.diff(bounds))],
-                names=["doc_id", "words", "bands", "size"],
+            packed = [zlib.compress(df[a:b].astype("<i8").tobytes(), 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            out.append(
+                pa.Table.from_arrays(
+                    [rows.column("doc_id"), pa.array(words, pa.binary()), bands, pa.array(np.diff(bounds)), pa.array(packed, pa.binary()), rows.column("print")],
+                    names=["doc_id", "words", "bands", "size", "df", "print"],
+                )
             )
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in SIGNED})
 
-    return texts.mapInArrow(sign, "doc_id long, words binary, bands array<long>, size long")
+    sides = blocked.withColumn("print", F.xxhash64("text")).groupBy("block").cogroup(frequencies.groupBy("block"))
+    return sides.applyInArrow(sign, "doc_id long, words binary, bands array<long>, size long, df binary, print long")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, weigh, threshold: float) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, flat, offsets in slices(iter([batch]), "one", STEP):
-                first = _weighted(flat, offsets, weigh.value)
+                first = _weighted(flat, offsets, rows.column("df_one"), documents)
                 second = []
-                for _, other, ends in slices(iter([rows]), "two", STEP):
-                    second += _weighted(other, ends, weigh.value)
+                for part, other, ends in slices(iter([rows]), "two", STEP):
+                    second += _weighted(other, ends, part.column("df_two"), documents)
                 good = np.array([similarity(x, y) for x, y in zip(first, second, strict=True)]) >= threshold
                 yield rows.select(["a", "b"]).filter(pa.array(good))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two"))
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"), F.col("df").alias("df_one"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two"), F.col("df").alias("df_two"))
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    return both.select("a", "b", "one", "two", "df_one", "df_two").mapInArrow(check, "a long, b long")
 
 
-def _weighted(flat: np.ndarray, offsets: np.ndarray, weigh: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+def _weighted(flat: np.ndarray, offsets: np.ndarray, frequencies: pa.Array, documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
     ids, times, bounds, _ = shingles(flat, offsets)
-    weight = weigh(ids, times)
+    weight = weights(times, _unpacked(frequencies.to_pylist()), documents)
     return [(ids[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -348,7 +358,7 @@ def _meetings(members: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("band", "key", "doc_id", "own", "x", "y", F.array_distinct(met).alias("met"))
 
 
-def _within_keys(members: DataFrame, texts: DataFrame, groups: DataFrame, weigh, threshold: float) -> DataFrame:
+def _within_keys(members: DataFrame, texts: DataFrame, groups: DataFrame, documents: int, threshold: float) -> DataFrame:
     """Links (a, b) between documents of a key that are in different groups so far: a spanning forest for each pair of chunks."""
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -357,13 +367,13 @@ def _within_keys(members: DataFrame, texts: DataFrame, groups: DataFrame, weigh,
         two = np.flatnonzero(rows.column("two").to_numpy())
         out: list[tuple[int, int]] = []
         if len(one) and len(np.unique(own)) > 1:
-            found = [x for batch in rows.combine_chunks().to_batches() for _, flat, offsets in slices(iter([batch]), size=STEP) for x in _shingled(flat, offsets)]
-            out = _forest(own, _similar(found, weigh.value, threshold, one, two, own))
+            found = [x for batch in rows.combine_chunks().to_batches() for part, flat, offsets in slices(iter([batch]), size=STEP) for x in _shingled(flat, offsets, part.column("df"))]
+            out = _forest(own, _similar(found, documents, threshold, one, two, own))
         ends = names[np.array(out, np.int64).reshape(-1, 2)]
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    pairs = _meetings(members, groups).join(texts.hint("merge"), "doc_id").select("band", "key", "doc_id", "own", "x", "y", "text", F.inline("met"))
-    pairs = pairs.select("band", "key", "i", "j", "doc_id", "own", F.expr("x <=> i").alias("one"), F.expr("y <=> j").alias("two"), "text")
+    pairs = _meetings(members, groups).join(texts.hint("merge"), "doc_id").select("band", "key", "doc_id", "own", "x", "y", "text", "df", F.inline("met"))
+    pairs = pairs.select("band", "key", "i", "j", "doc_id", "own", F.expr("x <=> i").alias("one"), F.expr("y <=> j").alias("two"), "text", "df")
     return pairs.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -372,22 +382,25 @@ def _chunks(number: Column, size: Column) -> Column:
     return F.greatest(F.ceil(number / DOCUMENTS), F.ceil(size / GROUP)).cast("long")
 
 
-def _shingled(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _shingled(flat: np.ndarray, offsets: np.ndarray, frequencies: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     ids, times, bounds, _ = shingles(flat, offsets)
-    return [(ids[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    df = _unpacked(frequencies.to_pylist())
+    return [(ids[a:b], times[a:b], df[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _similar(found: list[tuple[np.ndarray, np.ndarray]], weigh: Weights, threshold: float, one: np.ndarray, two: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _similar(
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], documents: int, threshold: float, one: np.ndarray, two: np.ndarray, own: np.ndarray
+) -> np.ndarray:
     """Row numbers (i, j), i of ``one`` and j of ``two``, of the sets of different groups that are similar enough.
 
     The k-th of equal shingles is a feature of its own.
     """
     number = len(found)
-    ids, times = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    ids, times, df = (np.concatenate([f[k] for f in found]) for k in range(3))
     row = np.repeat(np.repeat(np.arange(number), [len(f[0]) for f in found]), times)
     turn = spread(times, np.zeros(len(times), np.int64)).astype(np.uint64)
     _, first, feature, counts = np.unique(np.repeat(ids, times) ^ (turn << U(44)), return_index=True, return_inverse=True, return_counts=True)
-    weight = weigh(np.repeat(ids, times)[first], np.ones(len(first)))
+    weight = weights(np.ones(len(first)), np.repeat(df, times)[first], documents)
     total = np.bincount(row, weight[feature], minlength=number)
     common = np.zeros((len(one), len(two)))
     shared = np.flatnonzero(counts > 1)

@@ -229,8 +229,13 @@ def within_keys(spark, rows, groups=()):
     kinds = "doc_id long, size long, band int, key long, hub long, next long, total long"
     members = spark.createDataFrame([(i, n, 0, 1, rows[0][0], i, sum(sizes)) for (i, _), n in zip(rows, sizes)], kinds)
     placed = spark.createDataFrame(list(groups), "node long, component long")
-    weigh = spark.sparkContext.broadcast(near_dedup.document_frequencies(texts))
-    return {frozenset((r.a, r.b)) for r in near_dedup._within_keys(members, texts, placed, weigh, 0.8).collect()}
+    texts = texts.join(signed(texts).select("doc_id", "df"), "doc_id")
+    return {frozenset((r.a, r.b)) for r in near_dedup._within_keys(members, texts, placed, len(rows), 0.8).collect()}
+
+
+def signed(texts):
+    blocked, blocks, documents = near_dedup._blocks(texts)
+    return near_dedup._signed(blocked, near_dedup._frequencies(blocked, blocks), documents)
 
 
 def twins(count, size=40, seed=11):
@@ -258,3 +263,14 @@ def test_no_task_gets_more_documents_than_two_chunks(spark, monkeypatch):
     met = {frozenset((a.doc_id, b.doc_id)) for (i, j), rows in tasks.items() for a in rows if a.x == i for b in rows if b.y == j if a.own != b.own}
     assert met == {frozenset((a, b)) for a in range(200) for b in range(150, 200) if a != b}
     assert not any(a.x == i for (i, j), rows in tasks.items() for a in rows if a.own == 0)
+
+
+def test_document_frequencies_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 500)
+    rows = twins(30) + [(100, None), (101, "a b")]
+    found = signed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    sets = {i: Counter(tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)) or Counter([tuple(words(t))] if words(t) else []) for i, t in rows}
+    df = Counter(x for own in sets.values() for x in own)
+    for r in found:
+        assert sorted(near_dedup._unpacked([r.df]).tolist()) == sorted(df[x] for x in sets[r.doc_id])
