@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import exact_dedup, language, near_dedup, neighbours, packing, piece_transducer, quality, sharding, suffix_dedup, token_counts
+from eventlens.llm import exact_dedup, language, merkle, near_dedup, neighbours, packing, periodic_runs, piece_transducer, quality, sharding, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,3 +113,94 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# Trees are climbed level by level: n is the number of nodes of the level, i a node's place in it.
+MERKLE_SQL = r"""
+    WITH RECURSIVE table_ AS (
+      SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+    ), framed AS (
+      SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+             text, replace(text, chr(10), '') AS cut,
+             xor(list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii((doc_id::VARCHAR)[k])::BIGINT),
+               lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+      FROM documents, table_
+    ), hashed AS (
+      SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) END AS tampered
+      FROM framed
+    ), leaves AS (
+      SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER (PARTITION BY source) AS n,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+      FROM hashed
+    ), tree(s, level, i, n, digest) AS (
+      SELECT s, 0, i, n, leaf FROM leaves
+      UNION ALL
+      SELECT s, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY s, level, i // 3, n
+    ), subroots AS (
+      SELECT s, digest, count(*) OVER () AS n FROM tree WHERE n = 1
+    ), top(level, i, n, digest) AS (
+      SELECT 0, s, n, digest FROM subroots
+      UNION ALL
+      SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3, n
+    ), climb(row, s, level, i, n, proof, folded) AS (
+      SELECT row, s, 0, i, n, '', coalesce(tampered, leaf) FROM leaves
+      UNION ALL
+      SELECT c.row, c.s, c.level + 1, c.i // 3, (c.n + 2) // 3, c.proof || coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i <> c.i), ''),
+             sha256(string_agg(CASE WHEN t.i = c.i THEN c.folded ELSE t.digest END, '' ORDER BY t.i))
+      FROM climb c JOIN tree t ON t.s = c.s AND t.level = c.level AND t.i // 3 = c.i // 3
+      WHERE c.n > 1 GROUP BY c.row, c.s, c.level, c.i, c.n, c.proof, c.folded
+    ), climb_top(row, level, i, n, proof, folded) AS (
+      SELECT c.row, 0, c.s, b.n, c.proof, c.folded FROM climb c JOIN subroots b ON b.s = c.s WHERE c.n = 1
+      UNION ALL
+      SELECT c.row, c.level + 1, c.i // 3, (c.n + 2) // 3, c.proof || coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i <> c.i), ''),
+             sha256(string_agg(CASE WHEN t.i = c.i THEN c.folded ELSE t.digest END, '' ORDER BY t.i))
+      FROM climb_top c JOIN top t ON t.level = c.level AND t.i // 3 = c.i // 3
+      WHERE c.n > 1 GROUP BY c.row, c.level, c.i, c.n, c.proof, c.folded
+    )
+    SELECT l.doc_id, l.leaf, b.digest AS subroot, r.digest AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root,
+           c.folded = r.digest AS verified
+    FROM leaves l JOIN subroots b ON b.s = l.s JOIN climb_top c ON c.row = l.row AND c.n = 1 JOIN top r ON r.n = 1
+    """
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and for every row whether its leaf, recomputed after tampering, still leads to the root."""
+    cut = merkle.leaf([F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in merkle.COLUMNS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, cut)
+    found = merkle.manifest(table(spark, sf_dir, "documents"), carry={"tampered": tampered})
+    folded = found.withColumn("folded", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id",
+        *[merkle.as_hex(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(merkle.proof(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        merkle.as_hex(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def planted_places(doc_id: object, n_words: int) -> np.ndarray | None:
+    """For a tenth of the documents, the words from a place on turn into repeats of the first ones there."""
+    checksum = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if checksum % 10 or not n_words:
+        return None
+    group = checksum // 10
+    first = group % n_words
+    period = 1 + (n_words - first) // (3 + group % 8)
+    places = np.arange(n_words)
+    places[first:] = first + (places[first:] - first) % period
+    return places
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(table(spark, sf_dir, "documents"), reorder=planted_places)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
