@@ -226,8 +226,8 @@ m AS (SELECT label, support, hits, coalesce(hits / nullif(predicted, 0), 0) AS p
              coalesce(2 * hits / nullif(support + predicted, 0), 0) AS f1 FROM c)"""
 
 
-def _pairs(spark, sf, where: str = "true"):
-    lines = table(spark, sf, "lineitem").where(where)
+def _pairs(spark, sf):
+    lines = table(spark, sf, "lineitem")
     return evaluation.label_pairs(lines, F.col("l_returnflag"), F.expr(PREDICTED))
 
 
@@ -241,16 +241,16 @@ def _(spark, sf):
 
 @query(
     "confusion_matrix",
-    f"WITH y AS (SELECT l_returnflag AS t, {PREDICTED} AS p FROM lineitem WHERE l_quantity > 20), l AS (SELECT unnest(['A', 'N', 'R']) AS v) "
+    f"WITH y AS (SELECT l_returnflag AS t, {PREDICTED} AS p FROM lineitem), l AS (SELECT unnest(['A', 'N', 'R', 'never']) AS v) "
     'SELECT a.v AS "true", b.v AS pred, (SELECT count(*) FROM y WHERE t = a.v AND p = b.v) AS n FROM l a, l b',
 )
 def _(spark, sf):
-    return evaluation.confusion_matrix(_pairs(spark, sf, "l_quantity > 20"), ["A", "N", "R"])
+    return evaluation.confusion_matrix(_pairs(spark, sf), ["A", "N", "R", "never"])
 
 
-@query("confusion_cells", f'SELECT l_returnflag AS "true", {PREDICTED} AS pred, count(*) AS n FROM lineitem WHERE l_quantity > 20 GROUP BY ALL')
+@query("confusion_cells", f'SELECT l_returnflag AS "true", {PREDICTED} AS pred, count(*) AS n FROM lineitem GROUP BY ALL')
 def _(spark, sf):
-    return evaluation.confusion_matrix(_pairs(spark, sf, "l_quantity > 20"))
+    return evaluation.confusion_matrix(_pairs(spark, sf))
 
 
 @query(
@@ -491,6 +491,33 @@ def _(spark, sf):
     return rounded(evaluation.roc_auc(df, true, score).select(counted.alias("n"), "roc_auc"))
 
 
+@query(
+    "nan_drift",
+    f"WITH {SC}, s AS (SELECT scope, avg(score) FILTER (event_id % 11 <> 0) AS mean_score, stddev_pop(score) FILTER (event_id % 11 <> 0) AS std_score, "
+    "min(score) FILTER (event_id % 11 <> 0) AS min_score, max(score) FILTER (event_id % 11 <> 0) AS max_score, count(*) FILTER (event_id % 11 = 0) AS missing FROM sc GROUP BY scope) "
+    "SELECT scope, missing, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score, min_score, max_score, "
+    "round(greatest(abs(mean_score - 0.5) / 0.25, abs(std_score - 0.25) / 0.25), 6) AS drift_metric, "
+    "greatest(abs(mean_score - 0.5) / 0.25, abs(std_score - 0.25) / 0.25) > 0.1 AS drift_detected FROM s",
+)
+def _(spark, sf):
+    spoilt = scoped(spark, sf).withColumn("score", F.when(F.col("event_id") % 11 == 0, NAN).otherwise(F.col("score")))
+    drifts = drift.score_drift(drift.score_summary(spoilt, ["scope"]), F.lit(0.5), F.lit(0.25))
+    return rounded(drifts.join(drift.missing_scores(spoilt, ["scope"]), "scope").drop("rows", "mean_drift", "std_drift"))
+
+
+@query(
+    "nan_standardize",
+    f"WITH {EV}, k AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN execution_time END AS v FROM ev) "
+    "SELECT event_id, round((v - avg(v) OVER ()) / nullif(stddev_pop(v) OVER (), 0), 6) AS lazy, "
+    "round((v - avg(v) OVER ()) / nullif(stddev_pop(v) OVER (), 0), 6) AS fitted FROM k",
+)
+def _(spark, sf):
+    spoilt = events(spark, sf).select("event_id", F.when(F.col("event_id") % 11 == 0, NAN).otherwise(F.col("execution_time")).alias("v"))
+    lazy = scaling.standardize(spoilt, ["v"]).select("event_id", F.nanvl("v", F.lit(None).cast("double")).alias("lazy"))
+    fitted = scaling.Scaler.fit(spoilt, ["v"]).transform(spoilt).select("event_id", F.nanvl("v", F.lit(None).cast("double")).alias("fitted"))
+    return rounded(lazy.join(fitted, "event_id"))
+
+
 # ---- records that are stored and read back ----
 
 

@@ -432,8 +432,7 @@ def merged_sql() -> str:
 
 @query("features_all", merged_sql())
 def _(spark, sf):
-    long = features.extract(scoped(spark, sf, 86400), BY, features.FAMILIES, FAILED_LOGIN)
-    return _rounded_features(features.merge_features(long, BY))
+    return _rounded_features(features.extract(scoped(spark, sf, 86400), BY, features.FAMILIES, FAILED_LOGIN, merged=True))
 
 
 @query(
@@ -468,9 +467,9 @@ def _(spark, sf):
     return features.feature_names(features.extract(scoped(spark, sf, 86400), BY, features.FAMILIES, FAILED_LOGIN))
 
 
-def windows_sql() -> str:
+def windows_sql(user: int = 3600, network: int = 300, syscall: int = 60, cmdline: int = 3600) -> str:
     parts = []
-    for family, seconds, items in (("user", 3600, USER), ("network", 300, NETWORK), ("syscall", 60, SYSCALL), ("cmdline", 3600, CMDLINE)):
+    for family, seconds, items in (("user", user, USER), ("network", network, NETWORK), ("syscall", syscall, SYSCALL), ("cmdline", cmdline, CMDLINE)):
         body = "\nUNION ALL\n".join(items)
         scope = f"SELECT time_bucket(INTERVAL '{seconds} seconds', timestamp) AS scope, * FROM ev"
         parts.append(f"SELECT '{family}' AS family, * FROM (WITH sc AS ({scope}) {body})")
@@ -480,3 +479,12 @@ def windows_sql() -> str:
 @query("family_windows", windows_sql())
 def _(spark, sf):
     return rounded(family_windows(events(spark, sf), failed_login=FAILED_LOGIN))
+
+
+# Commands belong to two families: counted by 20 minutes, and added up to windows of 40 and of 60.
+ODD_WINDOWS = {"user": 2400, "network": 600, "syscall": 90, "cmdline": 3600}
+
+
+@query("family_windows_rolled_up", windows_sql(**ODD_WINDOWS))
+def _(spark, sf):
+    return rounded(family_windows(events(spark, sf), ODD_WINDOWS, FAILED_LOGIN))

@@ -217,6 +217,35 @@ def _(spark, sf):
     return stores.read_incident_events(spark, path).select("incident_id", "event_id", "score")
 
 
+@query(
+    "incident_events_in_parts",
+    f"WITH {INCIDENTS} SELECT id AS incident_id, event_id, CASE WHEN event_id % 3 = 0 THEN score ELSE score + 1 END AS score "
+    "FROM hit JOIN inc ON strftime(w, '%Y-%m-%dT%H:%M:%S') = inc.timestamp",
+)
+def _(spark, sf):
+    """Events of one incident that come in two overlapping writes: all are there, each as last written, also after the writes are made one."""
+    path = new_path(spark, "incident-events")
+    hits = incidents.high_score_events(events(spark, sf), RULES, MODEL)
+    stores.write_incident_events(hits.where("event_id % 2 = 0 or event_id % 3 = 0"), path)
+    stores.write_incident_events(hits.where("event_id % 3 <> 0").withColumn("score", F.col("score") + 1), path)
+    stores.compact_incident_events(spark, path)
+    return stores.read_incident_events(spark, path).select("incident_id", "event_id", "score")
+
+
+@query(
+    "incident_without_time",
+    f"WITH {EV}, e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN timestamp END AS timestamp, score FROM ev WHERE score > 0.8) "
+    "SELECT event_id, score FROM e WHERE timestamp IS NULL",
+)
+def _(spark, sf):
+    """Hits without a time are one incident; its stored events can be read like any other's."""
+    timeless = events(spark, sf).withColumn("timestamp", F.when(F.col("event_id") % 2 == 0, F.col("timestamp")))
+    path = new_path(spark, "incident-events")
+    stores.write_incident_events(incidents.high_score_events(timeless, RULES, MODEL), path)
+    own = incidents.detect_incidents(timeless, RULES, MODEL).where("timestamp is null")
+    return stores.read_incident_events(spark, path, own).select("event_id", "score")
+
+
 _NAN = INCIDENTS.replace("WHERE score > 0.8", "WHERE score > 0.8 AND event_id % 11 <> 0")
 
 

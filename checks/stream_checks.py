@@ -21,17 +21,20 @@ def _stream(spark, sf):
     return project(stream_table(spark, sf, table(spark, sf, "events").schema, "events.parquet"))
 
 
-# Starts of the files of a stream that comes in parts.
-PARTS = ("2024-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2024-03-01")
+# A stream that comes in parts: so many parts, each of so many files.
+PARTS, FILES = 4, 2
 
 
-def _parts(spark, sf):
-    """The events in files of rising times, one per micro-batch."""
+def _parts(spark, sf, change=lambda df: df):
+    """All events in parts of rising times, cut at quantiles of the table, one part per micro-batch. ``change`` edits the raw table."""
     path = new_path(spark, "event-parts")
-    raw = table(spark, sf, "events")
-    for start, end in zip(PARTS, PARTS[1:], strict=False):
-        raw.where(f"ts >= timestamp_ntz'{start}' and ts < timestamp_ntz'{end}'").coalesce(1).write.mode("append").parquet(path)
-    return project(stream_table(spark, path, raw.schema, files_per_batch=1))
+    raw = change(table(spark, sf, "events"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = raw.select(at.cast("double").alias("at")).approxQuantile("at", [i / PARTS for i in range(1, PARTS)], 0.01)
+    part = sum((F.coalesce(at >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for i in range(PARTS):
+        raw.where(part == i).repartition(FILES).write.mode("append").parquet(path)
+    return project(stream_table(spark, path, raw.schema, files_per_batch=FILES))
 
 
 FIELDS = ("event_type", "username", "process_name", "source_ip", "destination_ip", "alert_level", "command", "file_path", "protocol", "syscall")
@@ -50,6 +53,46 @@ def _(spark, sf):
     return _naive(sinks.collect_table(spark, queries.windowed_fields(_parts(spark, sf), FIELDS), "stream-fields"), "scope")
 
 
+def _smoothed(field):
+    return (
+        f"SELECT scope, '{field}' AS field, CAST(sum(n) AS BIGINT) AS rows, count(v) AS \"distinct\", max(n) AS max_frequency, round(avg(n), 6) AS mean_frequency, "
+        f"round(0 - sum(p * log2(p)), 6) + 0.0 AS entropy, round(0 - sum(p * log2(p + 1e-10)), 6) + 0.0 AS entropy_smoothed "
+        f"FROM {counts(field)} WHERE v IS NOT NULL AND scope + INTERVAL '1 hour' <= {CLOSED} GROUP BY scope"
+    )
+
+
+@query("stream_entropy_smoothed", f"WITH {SC} " + "\nUNION ALL\n".join(map(_smoothed, FIELDS)))
+def _(spark, sf):
+    found = _naive(sinks.collect_table(spark, queries.windowed_entropies(_parts(spark, sf), FIELDS), "stream-entropies"), "scope")
+    return found.withColumns({c: F.col(c) + 0.0 for c in ("entropy", "entropy_smoothed")})
+
+
+def _transitions(kind, column):
+    following = f"lead(coalesce(CAST({column} AS VARCHAR), 'None')) OVER (PARTITION BY scope ORDER BY timestamp, event_id)"
+    return f"SELECT scope, '{kind}' AS kind, coalesce(CAST({column} AS VARCHAR), 'None') AS a, {following} AS b FROM sc"
+
+
+@query(
+    "stream_transitions_state",
+    f"WITH {SC}, pr AS ({_transitions('event', 'event_type')} UNION ALL {_transitions('command', 'command')}) "
+    f"SELECT scope, kind, concat(a, '->', b) AS transition, count(*) AS n FROM pr WHERE b IS NOT NULL AND scope + INTERVAL '1 hour' <= {CLOSED} GROUP BY ALL",
+)
+def _(spark, sf):
+    kinds = {"event": "event_type", "command": "command"}
+    return _naive(sinks.collect_table(spark, queries.windowed_transitions(_parts(spark, sf), kinds), "stream-steps"), "scope")
+
+
+@query(
+    "nan_stream",
+    f"WITH {SC} SELECT scope, count(*) AS events, round(avg(execution_time) FILTER (event_id % 11 <> 0), 6) AS avg_execution_time FROM sc "
+    f"GROUP BY scope HAVING scope + INTERVAL '1 hour' <= {CLOSED}",
+)
+def _(spark, sf):
+    spoilt = F.when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("value"))
+    stream = queries.windowed_features(_parts(spark, sf, lambda raw: raw.withColumn("value", spoilt)), failed_login=FAILED_LOGIN)
+    return _naive(sinks.collect_table(spark, stream, "nan-stream"), "scope").select("scope", "events", "avg_execution_time")
+
+
 @query(
     "stream_values",
     f"WITH {SC}, u AS (SELECT scope, unnest([{', '.join(repr(f) for f in FIELDS[:1])}, 'alert_level', 'protocol']) AS field, "
@@ -139,3 +182,24 @@ def _(spark, sf):
     sinks.finish(sinks.run_batches(_stream(spark, sf), handle, f"{path}/state"))
     history = spark.read.parquet(f"{path}/history")
     return rounded(history.select("batch_id", "drift_metric", "drift_detected"))
+
+
+_KNOWN = "FILTER (event_id % 7 <> 0)"
+
+
+@query(
+    "stream_drift_total",
+    f"WITH {EV} SELECT CAST({PARTS - 1} AS BIGINT) AS batch_id, count(*) {_KNOWN} AS rows, count(*) FILTER (event_id % 7 = 0) AS missing, "
+    f"round(avg(score) {_KNOWN}, 6) AS mean_score, round(stddev_pop(score) {_KNOWN}, 6) AS std_score, min(score) {_KNOWN} AS min_score, max(score) {_KNOWN} AS max_score, "
+    f"round(greatest(abs(avg(score) {_KNOWN} - 0.4) / 0.25, abs(stddev_pop(score) {_KNOWN} - 0.25) / 0.25), 6) AS drift_metric, "
+    f"greatest(abs(avg(score) {_KNOWN} - 0.4) / 0.25, abs(stddev_pop(score) {_KNOWN} - 0.25) / 0.25) > 0.1 AS drift_detected FROM ev",
+)
+def _(spark, sf):
+    """Scores that come in parts, some of them NaN: the summary after the last part is that of the whole table."""
+    path = new_path(spark, "drift-state")
+    spoilt = F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("score"))
+    stream = _parts(spark, sf).withColumn("score", spoilt)
+    sinks.finish(sinks.run_batches(stream, sinks.accumulate_drift(f"{path}/history"), f"{path}/state"))
+    history = sinks.drift_history(spark, f"{path}/history", 0.4, 0.25).where("part = 'total'")
+    last = history.agg(F.max_by(F.struct("*"), "batch_id").alias("r")).select("r.*")
+    return rounded(last.drop("part", "mean_drift", "std_drift"))

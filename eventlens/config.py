@@ -98,5 +98,21 @@ def family_seconds(config: Mapping | None) -> dict[str, int]:
 
 
 def tfidf_options(config: Mapping | None) -> dict:
-    """Keyword arguments of the TF-IDF features."""
-    return {"max_features": (config or {}).get("advanced_features", {}).get("tfidf_max_features", 100)}
+    """Keyword arguments of the TF-IDF features: number of terms, stop words and lengths of word runs, where the settings name them.
+
+    ``advanced_features.tfidf_max_features`` goes before ``feature_extraction.text_features.max_features``.
+    """
+    config = config or {}
+    text = (config.get("feature_extraction") or {}).get("text_features") or {}
+    most = (config.get("advanced_features") or {}).get("tfidf_max_features", text.get("max_features", 100))
+    options: dict = {"max_features": most}
+    if "stop_words" in text and text["stop_words"] != "english":
+        if isinstance(text["stop_words"], str):
+            raise ValueError(f"stop words are english, a list or none, not {text['stop_words']}")
+        options["stop_words"] = list(text["stop_words"] or [])
+    if "ngram_range" in text:
+        low, high = text["ngram_range"]
+        if not 1 <= low <= high:
+            raise ValueError(f"no range of word runs: {text['ngram_range']}")
+        options["ngrams"] = (low, high)
+    return options

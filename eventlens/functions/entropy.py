@@ -17,6 +17,21 @@ def entropy_basic(n: Column, values: Column) -> Column:
     return F.coalesce(F.log2(total) - F.try_divide(F.sum(values * n * F.log2(n)), total), F.lit(0.0))
 
 
+def sizes_total(sizes: Column) -> Column:
+    """Rows behind an array of (n, m): m values that occur n times each."""
+    return F.aggregate(sizes, F.lit(0).cast("bigint"), lambda total, x: total + x["n"] * x["m"])
+
+
+def entropy_of_sizes(sizes: Column, total: Column, smoothing: float = 0.0) -> Column:
+    """Bits from an array of (n, m) and its total, with ``smoothing`` added inside the logarithm; 0 without rows."""
+
+    def add(bits: Column, x: Column) -> Column:
+        p = x["n"] / total
+        return bits - x["m"] * p * F.log2(p + F.lit(smoothing))
+
+    return F.aggregate(sizes, F.lit(0.0), add)
+
+
 def entropy_smoothed(n: Column, values: Column, total: Column) -> Column:
     """Bits with 1e-10 added inside the logarithm; ``total`` is N on every row."""
     p = n / total

@@ -43,21 +43,27 @@ def json_string(text: Column) -> Column:
 
 
 def _json_double(value: Column) -> Column:
-    """A double as its shortest digits: plain from 1e-4 to below 1e16, else with an exponent of two digits at least."""
+    """A double as its shortest digits: plain from 1e-4 to below 1e16, else with an exponent of two digits at least.
+
+    Where Spark writes an exponent, the plain form is put together from its digits; no decimal type holds them all.
+    """
     text = value.cast("string")
-    plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    mantissa = F.substring_index(text, "E", 1)
     exponent = F.substring_index(text, "E", -1).cast("int")
-    sign = F.when(exponent < 0, "-").otherwise("+")
-    digits = F.abs(exponent).cast("string")
-    padded = F.when(F.char_length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
-    power = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"), sign, padded)
-    size = F.abs(value)
+    minus = F.when(value < 0, "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, "[-.]", ""), "0+$", "")
+    below_one = F.concat(minus, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
+    rest = F.substring(digits, exponent + 2, F.char_length(digits))
+    plain = F.concat(minus, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    size = F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(exponent).cast("string"))), F.lit("0"))
+    power = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), size)
     return (
         F.when(F.isnan(value), "NaN")
-        .when(size == float("inf"), F.when(value > 0, "Infinity").otherwise("-Infinity"))
+        .when(F.abs(value) == float("inf"), F.when(value > 0, "Infinity").otherwise("-Infinity"))
         .when(~text.contains("E"), text)
-        .when((size >= 1e-4) & (size < 1e16), plain)
+        .when((exponent >= -4) & (exponent < 0), below_one)
+        .when((exponent >= 0) & (exponent < 16), plain)
         .otherwise(power)
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventlens.functions.numbers import above
+from eventlens.functions.numbers import above, known
 from eventlens.operators.ranked import first_ranked
 
 DRIFT_THRESHOLD = 0.1
@@ -15,15 +15,21 @@ METRICS = ("precision", "recall", "f1", "roc_auc")
 
 
 def score_summary(df: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
-    """(by, mean_score, std_score, min_score, max_score); the deviation is the population one."""
+    """(by, mean_score, std_score, min_score, max_score); the deviation is the population one. Null and NaN scores are missing."""
+    value = known(F.col(score))
     return df.groupBy(*by).agg(
-        F.avg(score).alias("mean_score"),
-        F.stddev_pop(score).alias("std_score"),
-        F.min(score).alias("min_score"),
-        F.max(score).alias("max_score"),
+        F.avg(value).alias("mean_score"),
+        F.stddev_pop(value).alias("std_score"),
+        F.min(value).alias("min_score"),
+        F.max(value).alias("max_score"),
     )
 
 
+def missing_scores(df: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
+    """(by, rows, missing): how many scores ``score_summary`` leaves out."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(known(F.col(score)).isNull()).alias("missing"))
+
+
 def score_drift(
     current: DataFrame, baseline_mean: Column, baseline_std: Column, threshold: float = DRIFT_THRESHOLD
 ) -> DataFrame:

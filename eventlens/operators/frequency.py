@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from eventlens.functions.entropy import entropy_basic, entropy_smoothed
+from eventlens.functions.entropy import SMOOTHING, entropy_basic, entropy_of_sizes, entropy_smoothed, sizes_total
 
 
 def frequencies(df: DataFrame, by: Sequence[str], fields: Mapping[str, Column]) -> DataFrame:
@@ -70,6 +70,135 @@ def field_stats(
     )
 
 
+def tagged_counts(
+    df: DataFrame,
+    by: Sequence[str],
+    fields: Mapping[str, Column],
+    singles: Sequence[str],
+    pairs: Sequence[tuple[str, str]] = (),
+    scopes: Mapping[str, Mapping[int, Column]] | None = None,
+) -> DataFrame:
+    """(by, tag, a, b, n): values of single fields and of pairs, counted in one pass.
+
+    Every row becomes one tagged row per field and pair, and one aggregation with map-side combine counts
+    them all. A field's tag is its name, a pair's is ``a+b``; null is a value of its own in a single field and in a
+    pair's second part, while rows with a null first part don't count. ``scopes`` gives windows of their own to tags: by
+    width the start of the row's window, which becomes the column ``scope`` next to ``width``.
+    """
+    entries = [(name, name, None) for name in singles] + [(f"{a}+{b}", a, b) for a, b in pairs]
+    none, none_name = F.lit(None).cast("string"), "f:"
+    starts = {f"s:{w}": c for own in (scopes or {}).values() for w, c in own.items()}
+    # Prefixed names, because a field may also be one of the scope columns.
+    cast = df.select(
+        *by, *[c.alias(n) for n, c in starts.items()], *[c.cast("string").alias(f"f:{n}") for n, c in fields.items()], none.alias(none_name)
+    )
+    rows = []
+    for tag, a, b in entries:
+        values = f"`f:{a}`, `{f'f:{b}' if b else none_name}`"
+        if scopes is None:
+            rows.append(f"({values}) AS `{tag}`")
+        else:
+            rows += [f"(`s:{w}`, {values}) AS `{w}|{tag}`" for w in scopes[tag]]
+    names = "a, b" if scopes is None else "scope, a, b"
+    long = df.sparkSession.sql(f"SELECT * FROM {{cast}} UNPIVOT INCLUDE NULLS (({names}) FOR tag IN ({', '.join(rows)}))", cast=cast)
+    if scopes is not None:
+        by = [*by, "width", "scope"]
+        long = long.withColumn("width", F.substring_index("tag", "|", 1).cast("int")).withColumn("tag", F.substring_index("tag", "|", -1))
+    if pairs:
+        long = long.where(F.col("a").isNotNull() | ~F.col("tag").isin([f"{a}+{b}" for a, b in pairs]))
+    return long.groupBy(*by, "tag", "a", "b").agg(F.count("*").alias("n"))
+
+
+def rolled_up(counts: DataFrame, widths: Mapping[str, Mapping[int, Column]]) -> DataFrame:
+    """``tagged_counts`` of windows (width, scope), with the counts of each tag's windows added up to wider ones.
+
+    ``widths`` gives for every tag the widths that are wanted and the start of the wider window a counted one
+    (column ``scope``) lies in. Counts are merged; no event is read again.
+    """
+    wanted = [
+        F.when(F.col("tag") == tag, F.array(*[F.struct(F.lit(w).alias("width"), start.alias("scope")) for w, start in own.items()]))
+        for tag, own in widths.items()
+    ]
+    moved = counts.select("tag", "a", "b", "n", F.inline(F.coalesce(*wanted)))
+    return moved.groupBy("width", "scope", "tag", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def count_sizes(
+    counts: DataFrame, by: Sequence[str], keep_values: Sequence[str] = (), key_pairs: Sequence[str] = (), joint_pairs: Sequence[str] = ()
+) -> DataFrame:
+    """(by, tag, view, label, size, m, rows): ``tagged_counts`` grouped by how large the counts are.
+
+    View ``field``: m values occur ``size`` times; fields in ``keep_values`` also get a row per value, its label.
+    View ``joint``: the same of pairs that have both parts. View ``keys``: per first part, the label, its rows
+    that have a second part and the number m of different ones.
+    """
+    n, tag, a, both = F.col("n"), F.col("tag"), F.col("a"), F.col("b").isNotNull()
+    none, zero, one = F.lit(None).cast("string"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    no_size = F.lit(None).cast("bigint")
+
+    def view(name: str, label: Column, size: Column, m: Column, rows: Column) -> Column:
+        return F.struct(F.lit(name).alias("view"), label.alias("label"), size.alias("size"), m.alias("m"), rows.alias("rows"))
+
+    pairs = [*key_pairs, *joint_pairs]
+    known = a.isNotNull()
+    single = ~tag.isin(pairs) if pairs else F.lit(True)
+    views = [F.when(single, view("field", none, F.when(known, n), F.when(known, one).otherwise(zero), zero))]
+    if keep_values:
+        views.append(F.when(tag.isin(list(keep_values)) & known, view("field", a, n, one, zero)))
+    if key_pairs:
+        views.append(F.when(tag.isin(list(key_pairs)), view("keys", a, no_size, F.when(both, one).otherwise(zero), F.when(both, n).otherwise(zero))))
+    if joint_pairs:
+        views.append(F.when(tag.isin(list(joint_pairs)) & both, view("joint", none, n, one, zero)))
+    long = counts.select(*by, "tag", F.inline(F.array(*views))).where(F.col("view").isNotNull())
+    return long.groupBy(*by, "tag", "view", "label", "size").agg(F.sum("m").alias("m"), F.sum("rows").alias("rows"))
+
+
+def listed_sizes(condition: Column) -> Column:
+    """Aggregate over ``count_sizes``: the array of (n, m) of the rows for which the condition holds; at most sqrt(2N) long."""
+    return F.array_sort(F.collect_list(F.when(condition & (F.col("m") > 0), F.struct(F.col("size").alias("n"), "m"))))
+
+
+def size_measures(sizes: Column, total: Column) -> dict[str, Column]:
+    """Statistics of a field or of pairs from ``listed_sizes`` and their total."""
+    distinct = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda d, x: d + x["m"])
+    return {
+        "distinct": distinct,
+        "rows": total,
+        "max_n": F.get(sizes, F.size(sizes) - 1)["n"],
+        "mean_n": F.try_divide(total, distinct),
+        "entropy": entropy_of_sizes(sizes, total),
+        "entropy_smoothed": entropy_of_sizes(sizes, total, SMOOTHING),
+    }
+
+
+def tagged_stats(
+    counts: DataFrame, by: Sequence[str], keep_values: Sequence[str] = (), key_pairs: Sequence[str] = (), joint_pairs: Sequence[str] = ()
+) -> DataFrame:
+    """(by, tag, view, label, distinct, rows, max_n, mean_n, entropy, entropy_smoothed, rows_avg, ..., distinct_min) from ``tagged_counts``.
+
+    ``label`` is null but on rows of single values, see ``count_sizes``. Columns ``rows_*`` and ``distinct_*`` are
+    averages, largest and smallest of the keys of a pair.
+    """
+    keys = F.col("view") == "keys"
+    spread = [f(c).alias(f"{c}_{name}") for c in ("rows", "m") for name, f in (("sum", F.sum), ("max", F.max), ("min", F.min))]
+    grouped = (
+        count_sizes(counts, by, keep_values, key_pairs, joint_pairs)
+        .groupBy(*by, "tag", "view", F.when(~keys, F.col("label")).alias("label"))
+        .agg(listed_sizes(~keys).alias("sizes"), F.count(F.lit(1)).alias("keys"), *spread)
+    )
+    # The total is a column of its own, or every element of the list would add it up again.
+    totals = grouped.withColumn("rows", sizes_total(F.col("sizes")))
+    measures = size_measures(F.col("sizes"), F.col("rows"))
+    return totals.select(
+        *by, "tag", "view", "label", *[c.alias(name) for name, c in measures.items()],
+        *[
+            c
+            for name, own in (("rows", "rows"), ("distinct", "m"))
+            for c in (F.try_divide(f"{own}_sum", "keys").alias(f"{name}_avg"), F.col(f"{own}_max").alias(f"{name}_max"), F.col(f"{own}_min").alias(f"{name}_min"))
+        ],
+    )
+
+
 def pair_stats(
     pairs: DataFrame, by: Sequence[str], key_pairs: Sequence[str], joint_pairs: Sequence[str]
 ) -> DataFrame:

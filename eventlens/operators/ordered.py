@@ -1,9 +1,9 @@
 """Ordered operators that stay parallel when one group holds most of the rows.
 
 Rows are range-partitioned by (group, order), so a hot group is cut into many chunks. A window
-inside each (chunk, group) finds neighbours, and only one row per (chunk, group) goes on to join
-the chunks up. Every plan is one straight line from a single range partitioning, so the chunk
-numbers are the same for all steps.
+inside each (chunk, group), or a walk along the sorted chunk, finds neighbours, and only one row per
+(chunk, group) goes on to join the chunks up. Every plan is one straight line from a single range
+partitioning, so the chunk numbers are the same for all steps.
 
 ``order`` must identify a row (time, then a unique id): a tie would leave the neighbour open.
 """
@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventlens.functions.time import micros
+from eventlens.operators import steps
 from eventlens.operators.joins import join_null_safe
 from eventlens.session import settle
 
@@ -45,93 +46,68 @@ def sequence_counts(
     counts as the text ``None``. With ``ts``, one more row of kind ``gap`` holds the number, sum and
     maximum and minimum of the microseconds between neighbours, and the sum of the squares of their
     distances in seconds from their mean.
+
+    Rows move once, into sorted range partitions, where tasks walk them (``steps``). What leaves a task are
+    counts, and an edge per group; a group's edges, as many as the partitions it lies in, are joined up in order.
     """
-    named = [F.coalesce(column.cast("string"), F.lit("None")).alias(kind) for kind, column in values.items()]
+    named = [F.coalesce(column.cast("string"), F.lit("None")).alias(f"v:{kind}") for kind, column in values.items()]
     us = micros(F.col(ts)) if ts else F.lit(None).cast("bigint")
-    cur = F.struct(*named, us.alias("us"))
-    rows = range_chunks(df.select(*by, *order, cur.alias("cur")), by, order, chunks)
-    chunk = W.partitionBy(CHUNK, *by).orderBy(*order)
-    rows = rows.withColumn("nxt", F.lead("cur").over(chunk)).withColumn(
-        "head", F.first("cur").over(chunk.rowsBetween(W.unboundedPreceding, W.currentRow))
-    )
-    # The last row of a chunk carries the chunk's first value: the chunk before it needs that.
-    last = F.col("nxt").isNull()
-    follower = F.coalesce(F.col("nxt"), F.col("head"))
-    none, no_time = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    steps = [
-        F.struct(
-            F.lit(kind).alias("kind"),
-            last.alias("tail"),
-            F.col("cur")[kind].alias("a"),
-            follower[kind].alias("b"),
-            no_time.alias("us"),
-            no_time.alias("gap"),
-        )
-        for kind in values
-    ]
+    keys = [*by, *order]
+    cut = df.select(*dict.fromkeys(keys), *named, us.alias("v:us"))
+    spread = cut.repartitionByRange(chunks, *keys) if chunks else cut.repartitionByRange(*keys)
+    ordered = spread.sortWithinPartitions(*keys).select(*by, *[f"`v:{kind}`" for kind in values], "`v:us`")
+    schema = steps.step_schema([df.schema[name] for name in by])
+    walked = ordered.mapInArrow(steps.walker(list(by), list(values)), schema)
+    grouped = walked.groupBy(*by, "kind", "a", "b").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    zero, none, no_text = F.lit(0).cast("bigint"), F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def row(kind: Column, transition: Column, n: Column, s: Column, q: Column, hi: Column, lo: Column) -> Column:
+        cells = {"kind": kind, "transition": transition, "n": n, "s": s, "q": q, "hi": hi, "lo": lo}
+        return F.struct(*[c.alias(name) for name, c in cells.items()])
+
+    edges = F.col("edges")
+    own = row(F.col("kind"), F.concat("a", F.lit("->"), "b"), F.col("n"), zero, F.lit(0.0), none, none)
+    pairs = F.when(F.size(edges) > 1, F.sequence(F.lit(1), F.size(edges) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def across(i: int, kind: str) -> Column:
+        """The steps of a kind from each edge to the next."""
+        step = lambda j: F.concat(F.get(edges, j - 1)["last"][i], F.lit("->"), F.get(edges, j)["first"][i])
+        return F.transform(pairs, lambda j: row(F.lit(kind), step(j), F.lit(1).cast("bigint"), zero, F.lit(0.0), none, none))
+
+    parts = [across(i, kind) for i, kind in enumerate(values)]
     if ts:
-        gap = F.col("nxt.us") - F.col("cur.us")
-        steps.append(
-            F.struct(
-                F.lit("gap").alias("kind"),
-                F.lit(False).alias("tail"),
-                none.alias("a"),
-                none.alias("b"),
-                F.col("cur.us").alias("us"),
-                gap.alias("gap"),
-            )
-        )
-    per_chunk = (
-        rows.select(*by, CHUNK, F.inline(F.array(*steps)))
-        .groupBy(*by, CHUNK, "kind", "tail", "a", "b")
-        .agg(
-            F.count("*").alias("rows"),
-            F.count("gap").alias("gaps"),
-            # Whole microseconds add up exactly.
-            F.sum("gap").alias("s"),
-            # Deviations from the chunk's own mean: squares of long gaps would lose the digits of short ones.
-            (F.var_pop("gap") * F.count("gap")).alias("q"),
-            F.max("gap").alias("hi"),
-            F.min("gap").alias("lo"),
-            F.min("us").alias("first"),
-            F.max("us").alias("last"),
-        )
-    )
-    # Tails and gaps meet those of the next chunk; a transition meets itself in other chunks only.
-    spread = F.when(~F.col("tail"), F.xxhash64("a", "b"))
-    across = W.partitionBy(*by, "kind", "tail", "spread").orderBy(CHUNK)
-    is_gap = F.col("kind") == "gap"
-    bridge = F.when(is_gap, F.col("first") - F.lag("last").over(across))
-    joined = (
-        per_chunk.withColumn("spread", spread)
-        .withColumn("b", F.when(F.col("tail"), F.lead("b").over(across)).otherwise(F.col("b")))
-        .withColumn("bridge", bridge)
-    )
-    zero = F.lit(0).cast("bigint")
-    whole = W.partitionBy(*by, "kind", "tail", "spread")
-    all_gaps = F.sum(F.col("gaps") + F.when(F.col("bridge").isNull(), zero).otherwise(1)).over(whole)
-    mean = F.try_divide(F.sum(F.coalesce("s", zero) + F.coalesce("bridge", zero)).over(whole), all_gaps)
-    # A chunk's squares around its own mean, moved to the mean of all, and the square of the bridge.
-    around = (
-        F.coalesce("q", F.lit(0.0))
-        + F.coalesce(F.col("gaps") * F.pow(F.col("s") / F.nullif("gaps", F.lit(0)) - F.col("mean"), F.lit(2.0)), F.lit(0.0))
-        + F.coalesce(F.pow(F.col("bridge") - F.col("mean"), F.lit(2.0)), F.lit(0.0))
-    )
-    joined = joined.withColumn("mean", F.when(is_gap, mean)).withColumn("around", around / F.lit(1e12))
-    counted = F.when(is_gap, F.col("gaps") + F.when(F.col("bridge").isNull(), zero).otherwise(1)).otherwise(F.col("rows"))
-    return (
-        joined.where(is_gap | F.col("b").isNotNull())
-        .groupBy(*by, "kind", F.concat("a", F.lit("->"), "b").alias("transition"))
-        .agg(
-            F.sum(counted).alias("n"),
-            F.sum(F.coalesce("s", zero) + F.coalesce("bridge", zero)).alias("s"),
-            F.sum("around").alias("q"),
-            F.max(F.greatest("hi", "bridge")).alias("hi"),
-            F.min(F.least("lo", "bridge")).alias("lo"),
-        )
+        gaps = _joined_gaps(edges)
+        parts.append(F.array(row(F.lit("gap"), no_text, gaps["n"], gaps["s"], gaps["q"], gaps["hi"], gaps["lo"])))
+    is_edge = F.col("kind").isNull()
+    found = grouped.select(*by, F.inline(F.when(is_edge, F.concat(*parts)).otherwise(F.array(own))))
+    return found.groupBy(*by, "kind", "transition").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), (F.sum("q") / F.lit(1e12)).alias("q"), F.max("hi").alias("hi"), F.min("lo").alias("lo")
     )
 
 
+def _joined_gaps(edges: Column) -> Column:
+    """Number, sum, squares around the mean, largest and smallest of the gaps inside edges and from each edge to the next."""
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    cells = (("n", zero), ("s", zero), ("q", F.lit(0.0)), ("hi", none), ("lo", none), ("last_us", none))
+    start = F.struct(*[c.alias(name) for name, c in cells])
+
+    def with_gaps(a: Column, n: Column, s: Column, q: Column, hi: Column, lo: Column, last: Column) -> Column:
+        apart = F.try_divide(s, n) - F.try_divide(a["s"], a["n"])
+        cross = F.coalesce(apart * apart * F.try_divide(a["n"] * n, a["n"] + n), F.lit(0.0))
+        return F.struct(
+            (a["n"] + n).alias("n"), (a["s"] + s).alias("s"), (a["q"] + q + cross).alias("q"),
+            F.greatest(a["hi"], hi).alias("hi"), F.least(a["lo"], lo).alias("lo"), last.alias("last_us"),
+        )
+
+    def add(a: Column, edge: Column) -> Column:
+        bridge = edge["first_us"] - a["last_us"]
+        there = bridge.isNotNull().cast("bigint")
+        met = with_gaps(a, there, F.coalesce(bridge, zero), F.lit(0.0), bridge, bridge, edge["last_us"])
+        return with_gaps(met, edge["n"], edge["s"], edge["q"], edge["hi"], edge["lo"], edge["last_us"])
+
+    return F.aggregate(edges, start, add)
+
+
 def transition_counts(
     df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, Column], chunks: int | None = None
 ) -> DataFrame:

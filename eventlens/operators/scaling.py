@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from eventlens.functions.numbers import known
 from eventlens.operators.joins import join_null_safe
 
 
@@ -39,10 +40,10 @@ class Scaler:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str]) -> "Scaler":
-        """One aggregation; two numbers per feature come to the driver."""
+        """One aggregation over the known values; two numbers per feature come to the driver."""
         row = df.agg(
-            *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(features)],
-            *[F.stddev_pop(c).alias(f"std_{i}") for i, c in enumerate(features)],
+            *[F.avg(known(F.col(c))).alias(f"mean_{i}") for i, c in enumerate(features)],
+            *[F.stddev_pop(known(F.col(c))).alias(f"std_{i}") for i, c in enumerate(features)],
         ).first()
         k = len(features)
         return cls(tuple(features), tuple(row[:k]), tuple(row[k:]))
@@ -58,9 +59,10 @@ class Scaler:
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fit and transform in one lazy query: the statistics are a scalar subquery."""
+    """Fit and transform in one lazy query: the statistics, over the known values, are a scalar subquery. NaN stays NaN."""
     stats = df.agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"std_{c}") for c in columns]
+        *[F.avg(known(F.col(c))).alias(f"mean_{c}") for c in columns],
+        *[F.stddev_pop(known(F.col(c))).alias(f"std_{c}") for c in columns],
     )
     one = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     return df.withColumns(

@@ -60,6 +60,12 @@ def term_counts(texts: DataFrame, stop_words: Sequence[str], ngrams: tuple[int,
     return cut.select(*rest, counts.alias("counts")).select(*rest, F.inline_outer("counts"))
 
 
+def text_counts(df: DataFrame, by: Sequence[str], text: Column, times: Column | None = None) -> DataFrame:
+    """(by, text, n): how often each text occurs, a null one as the empty text; a row may stand for several."""
+    times = F.lit(1) if times is None else times
+    return df.select(*by, F.coalesce(text, F.lit("")).alias("text"), times.cast("bigint").alias("n")).groupBy(*by, "text").agg(F.sum("n").alias("n"))
+
+
 def mean_tfidf(
     df: DataFrame,
     by: Sequence[str],
@@ -67,6 +73,17 @@ def mean_tfidf(
     max_features: int = 100,
     stop_words: Sequence[str] | None = None,
     ngrams: tuple[int, int] = (1, 1),
+) -> DataFrame:
+    """``mean_tfidf_of`` the rows' texts."""
+    return mean_tfidf_of(text_counts(df, by, text), by, max_features, stop_words, ngrams)
+
+
+def mean_tfidf_of(
+    texts: DataFrame,
+    by: Sequence[str],
+    max_features: int = 100,
+    stop_words: Sequence[str] | None = None,
+    ngrams: tuple[int, int] = (1, 1),
 ) -> DataFrame:
     """(by, i, term, weight): the ``max_features`` most frequent terms, numbered alphabetically.
 
@@ -75,7 +92,6 @@ def mean_tfidf(
     """
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
-    texts = df.select(*by, F.coalesce(text, F.lit("")).alias("text")).groupBy(*by, "text").agg(F.count("*").alias("n"))
     # The text's hash stands for it from here on. The empty term's row counts the texts.
     hashed = texts.select(*by, F.unhex(F.sha2("text", 256)).alias("doc"), "n", "text")
     tf = term_counts(hashed, stop_words, ngrams).where(F.col("term").isNotNull())

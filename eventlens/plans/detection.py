@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.config import DEFAULT_SCOPE_SECONDS, FAMILY_SECONDS, IncidentRules, enabled_families, scope_seconds
+from eventlens.config import DEFAULT_SCOPE_SECONDS, FAMILY_SECONDS, IncidentRules, enabled_families, scope_seconds, tfidf_options
 from eventlens.operators import features, incidents
 from eventlens.operators.detector import Detector
 from eventlens.session import settle
@@ -55,16 +55,21 @@ def basic_matrix(
     names: Sequence[str] = MODEL_FEATURES,
     failed_login: str = "failed_login",
     families: Sequence[str] = features.BASIC,
+    **tfidf_options,
 ) -> DataFrame:
-    """The basic families, or those of them that are given, as one wide row per scope."""
-    long = features.extract(events, by, families, failed_login)
-    return features.merged_matrix(long, by, names, families)
+    """The basic families, or those that are given, as one wide row per scope."""
+    return features.wide_features(events, by, names, families, failed_login, **tfidf_options)
 
 
 def family_windows(
     events: DataFrame, seconds: Mapping[str, int] = FAMILY_SECONDS, failed_login: str = "failed_login"
 ) -> DataFrame:
-    """(family, scope, feature, value) with a window width of its own for each family; families of one width share a pass."""
+    """(family, scope, feature, value) with a window width of its own for each family.
+
+    Basic families share one scan of their fields, whatever their widths; with others, families of one width share a pass.
+    """
+    if set(seconds) <= set(features.BASIC):
+        return features.windowed_features(events, dict(seconds), failed_login)
     parts = [
         features.extract(features.with_scope(events, width), ["scope"], [f for f, own in seconds.items() if own == width], failed_login)
         for width in sorted(set(seconds.values()))
@@ -84,20 +89,20 @@ def detect(
     model: Detector | None = None,
     failed_login: str = "failed_login",
     config: Mapping | None = None,
+    families: Sequence[str] = features.BASIC,
 ) -> Detection:
     """Score every scope (and entity) and raise incidents from the events of high-scoring ones.
 
     Without a ``model`` one is trained on these scopes. Incident scores rise with anomaly: they are
-    the negative forest scores, in [0, 1]. A ``config`` sets the window, the feature families and the
-    rules instead; features of families that it switches off are 0.
+    the negative forest scores, in [0, 1]. A ``config`` sets the window, which of the ``families`` are on, how
+    terms are weighted, and the rules instead; features of families that it switches off are 0.
     """
-    families: Sequence[str] = features.BASIC
     if config is not None:
         seconds, rules = scope_seconds(config), IncidentRules.from_config(config)
-        families = enabled_families(config, features.BASIC)
+        families = enabled_families(config, families)
     scoped = features.with_scope(events, seconds)
     by = ["scope", *entity]
-    matrix = settle(basic_matrix(scoped, by, names, failed_login, families))
+    matrix = settle(basic_matrix(scoped, by, names, failed_login, families, **(tfidf_options(config) if "text" in families else {})))
     model = model or Detector.fit(matrix, by, names)
     scopes = model.predict(matrix).withColumn("score", F.lit(0.0) - F.col("score"))
     scored = incidents.attach_scores(scoped, scopes, by)

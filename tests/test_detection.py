@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import frame, sample_events
 from pyspark.sql import functions as F
@@ -66,6 +67,66 @@ def test_scores_equal_a_walk_in_plain_python(points, model):
     assert model.predict(points).where("id = 17").first()["score"] == pytest.approx(want)
 
 
+def walked(forest_, block):
+    """Paths of all rows in all trees, from node to node."""
+    out = []
+    for _, own in forest_.nodes.groupby("tree"):
+        nodes = {int(r.node): r for r in own.itertuples()}
+        paths = []
+        for row in block:
+            node = nodes[0]
+            while node.feature >= 0:
+                node = nodes[int(node.left if row[node.feature] < node.threshold else node.right)]
+            paths.append(node.path)
+        out.append(paths)
+    return np.array(out).T
+
+
+def test_leaf_masks_equal_the_walk_on_every_row(model):
+    trees = [own for _, own in model.forest.nodes.groupby("tree")]
+    rng = np.random.default_rng(4)
+    block = rng.normal(0, 2, (200, len(model.features)))
+    cuts = model.forest.nodes.query("feature >= 0")
+    for i, r in enumerate(cuts.sample(100, random_state=1).itertuples()):
+        block[i, int(r.feature)] = r.threshold  # rows on a cut
+    block[150:160, 1] = np.nan
+    block[160] = np.inf
+    block[161] = -np.inf
+    want = walked(model.forest, block)
+    for size in (1, 7, 100):
+        groups = [forest.LeafMasks.of(trees[i : i + size], len(model.features)) for i in range(0, len(trees), size)]
+        assert np.array_equal(np.hstack([g.path_lengths(block) for g in groups]), want)
+
+
+def test_trees_without_cuts():
+    leaf = pd.DataFrame([[0, 0, -1, 0.0, -1, -1, 3.5]], columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+    assert forest.LeafMasks.of([leaf, leaf], 2).path_lengths(np.zeros((3, 2))).tolist() == [[3.5, 3.5]] * 3
+
+
+def test_pick_counts_are_binomial():
+    from math import comb
+
+    for trees, share in ((10, 0.3), (100, 0.01), (100, 1e-9), (3, 1.0)):
+        want = np.cumsum([comb(trees, k) * share**k * (1 - share) ** (trees - k) for k in range(trees)])
+        assert np.allclose(forest.pick_counts(trees, share), want, rtol=1e-9, atol=1e-15)
+
+
+def test_few_repeated_keys_are_refused(spark):
+    """400 repeats among 1,000 keys, which a check for half the rows would let through."""
+    df = spark.range(1000).select((F.col("id") % 600).alias("id"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError, match="not unique"):
+        forest.fit_forest(df, ["id"], ["x"], trees=10, sample=64)
+
+
+def test_picks_are_uniform(spark):
+    """Every row is as likely in every tree, however many trees pick it."""
+    df = spark.range(2000).select("id", F.col("id").cast("double").alias("x"))
+    got = forest.sample_rows(df, ["id"], ["x"], 2000, trees=100, sample=100).groupBy("id").count().toPandas()["count"]
+    counts = np.concatenate([got, np.zeros(2000 - len(got))])
+    # 100 trees at a chance of 1 in 20: mean 5, variance 4.75.
+    assert counts.mean() == pytest.approx(5.0) and counts.var() == pytest.approx(4.75, rel=0.15)
+
+
 @pytest.mark.parametrize("rows", [40, 639, 640, 1279, 1281, 60000])
 def test_each_tree_draws_by_itself_at_every_size(spark, rows):
     df = spark.range(rows).select("id", F.col("id").cast("double").alias("x"))

@@ -1,7 +1,8 @@
+import pytest
 from helpers import START, frame
 from pyspark.sql import functions as F
 
-from eventlens.operators import incidents, ordered
+from eventlens.operators import drift, features, incidents, ordered
 from eventlens.schema import EVENT_SCHEMA
 from eventlens.session import new_path
 from eventlens.sources.streams import stream_table
@@ -48,6 +49,17 @@ def test_late_rows_of_more_batches_than_spark_reports(spark):
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
 
 
+def test_listener_counts_late_rows_without_anybody_asking(spark):
+    batches = [minutes(0, 5), minutes(1000)] + [minutes(1)] * 110
+    _, stream = parts(spark, batches)
+    with sinks.late_rows(spark) as late:
+        path = new_path(spark, "out")
+        query = sinks.run_to_table(queries.windowed_features(stream, 600), f"{path}/out", f"{path}/state")
+        query.awaitTermination()
+        # The first of them comes before the watermark has moved.
+        assert late.total(query) == 109
+
+
 def test_repeats_across_batches(spark):
     same = [{"event_id": 7, "timestamp": 0}]
     _, stream = parts(spark, [same, same, [{"event_id": 8, "timestamp": 1}]])
@@ -94,6 +106,50 @@ def test_drift_per_batch(spark):
     assert [(r["batch_id"], round(r["mean_drift"], 6)) for r in got] == [(0, 0.0), (1, 4.0)]
 
 
+def test_smoothed_entropy_equals_batch_on_closed_windows(spark):
+    rows = [[{"timestamp": 60 * (4 * b + i), "command": "abcab"[(b * i) % 5], "username": None if i == 1 else str(b)} for i in range(4)] for b in range(6)]
+    path, stream = parts(spark, [*rows, minutes(500)])
+    got = sinks.collect_table(spark, queries.windowed_entropies(stream, ["command", "username"], 600), "entropies").collect()
+    events = frame(spark, [r for batch in rows for r in batch])
+    batch = features.field_features(features.with_scope(events, 600), ["scope"], ["text"])
+    want = {(r["scope"], r["feature"]): r["value"] for r in batch.collect()}
+    assert len(got) == 2 * 3
+    for r in got:
+        assert r["entropy_smoothed"] == pytest.approx(want[r["scope"].replace(tzinfo=None), f"{r['field']}_entropy"], abs=1e-12)
+        assert r["rows"] >= r["distinct"] * 1 and r["mean_frequency"] == r["rows"] / r["distinct"]
+
+
+def test_transitions_in_state_equal_batch(spark):
+    """Slices, windows and batches all cut between neighbours; some values are missing, some times equal."""
+    rows = [{"timestamp": 13 * i - (i % 3 == 2) * 13, "event_type": "abc"[i * i % 3], "command": None if i % 4 == 0 else "xy"[i % 2]} for i in range(120)]
+    path, stream = parts(spark, [rows[i : i + 17] for i in range(0, 120, 17)] + [minutes(500)])
+    kinds = {"event": "event_type", "command": "command"}
+    batch = features.with_scope(spark.read.parquet(f"{path}/*").where("timestamp < '2024-01-01T08:00:00'"), 600)
+    want = ordered.transition_counts(batch, ["scope"], ["timestamp", "event_id"], {k: F.col(c) for k, c in kinds.items()})
+    want = sorted((str(r["scope"]), r["kind"], r["transition"], r["n"]) for r in want.collect())
+    for slice_seconds in (7, 60, 600):
+        got = sinks.collect_table(spark, queries.windowed_transitions(stream, kinds, 600, slice_seconds=slice_seconds), "steps")
+        assert sorted((str(r["scope"]), r["kind"], r["transition"], r["n"]) for r in got.collect()) == want
+
+
+def test_drift_over_batches_is_that_of_their_union(spark):
+    scores = [[0.5, float("nan"), 0.75], [float("nan")], [None, 0.1], [0.9, 0.9, 0.2, 0.4]]
+    flat = [s for part in scores for s in part]
+    _, stream = parts(spark, [[{"timestamp": 60 * b} for _ in part] for b, part in enumerate(scores)])
+    table = F.array(*[F.lit(s).cast("double") for s in flat])
+    path = new_path(spark, "drift")
+    scored = stream.withColumn("score", F.get(table, F.col("event_id").cast("int")))
+    sinks.finish(sinks.run_batches(scored, sinks.accumulate_drift(f"{path}/h"), f"{path}/state"))
+    got = sinks.drift_history(spark, f"{path}/h", 0.5, 0.1)
+    known = [s for s in flat if s is not None and s == s]
+    last = got.where("part = 'total' and batch_id = 3").first()
+    assert (last["rows"], last["missing"]) == (len(known), 3) and last["mean_score"] == pytest.approx(sum(known) / len(known))
+    whole = drift.score_summary(spark.createDataFrame([(s,) for s in flat], "score double")).first()
+    assert last["std_score"] == pytest.approx(whole["std_score"]) and last["min_score"] == 0.1 and last["max_score"] == 0.9
+    own = {r["batch_id"]: r["rows"] for r in got.where("part = 'batch'").collect()}
+    assert own == {0: 2, 1: 0, 2: 1, 3: 4}
+
+
 def test_stream_equals_batch_transitions(spark):
     rows = [{"timestamp": 7 * i, "event_type": "abc"[i % 3]} for i in range(50)]
     df = frame(spark, rows)
