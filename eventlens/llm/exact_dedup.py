@@ -64,5 +64,7 @@ def frequent(digests: DataFrame, support: float) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     groups = exact_groups(docs, id_column, text_column, support)
-    stay = groups.where("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay.hint("merge"), docs[f"`{id_column}`"].eqNullSafe(stay["__stays"]), "left_semi")
+    stay = groups.where("kept").select(F.col("doc_id").alias("__stays"), F.col("text_sha256").alias("__sha")).distinct()
+    # By text as well: an id may have several, of which one stays.
+    sha = F.sha2(F.encode(normalised(docs[f"`{text_column}`"]), "UTF-8"), 256)
+    return docs.join(stay.hint("merge"), docs[f"`{id_column}`"].eqNullSafe(stay["__stays"]) & (sha == stay["__sha"]), "left_semi")

@@ -18,9 +18,10 @@
   A key whose documents stay apart costs the square of its chunks.
 
 Cases: null counts as empty. Texts without words are equal if their bytes are, else unlike any other. A text
-of one to four words is one shingle. Rows with the same id are one document. A null id takes part, but if a
-whole group has no other, its class is null. The smallest id of a group is its class and stays. An empty
-table gives an empty result. Other columns may have any name.
+of one to four words is one shingle. Rows with the same id and text are one document; an id that comes with
+several texts, or none, has a document for each of them (``row_ids``). The smallest id of a group is its class
+and stays, the one with the smaller SHA-256 among equal ids; rows without an id come last, and if a whole
+group has none, its class is null. An empty table gives an empty result. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens.llm.components import components
-from eventlens.llm.texts import lowered, prepare, slices, spread
+from eventlens.llm.row_ids import keyed
+from eventlens.llm.texts import lowered, prepare, release, released, slices, spread
 from eventlens.session import settle
 
 WORDS = 5
@@ -46,7 +48,7 @@ BLOCK = 8 << 20
 # Shingles and documents of a chunk of a key; two chunks are compared at once.
 GROUP = 1_000_000
 DOCUMENTS = 2_000
-SIGNED = [("doc_id", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64()), ("df", pa.binary()), ("print", pa.int64())]
+SIGNED = [("doc_id", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64()), ("df", pa.binary())]
 # Bytes of text per step: its arrays stay in a core's cache.
 STEP = 1 << 20
 
@@ -188,6 +190,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / total) if total else 0.0
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Rising 44-bit numbers as bytes: the first, and the steps between them in 4 bytes each, or in 6 where one is too long for that."""
+    if not len(ids):
+        return b""
+    steps = np.diff(ids, prepend=ids[:1])
+    width = 4 if int(steps.max()) < 1 << 32 else 6
+    return int(ids[0]).to_bytes(7, "little") + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint64)
+    first, width = int.from_bytes(data[:7], "little"), data[7]
+    steps = np.zeros(((len(data) - 8) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=8).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + U(first)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte per count; 255 stands for a larger one, and these follow."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
+
+
+def unpacked_counts(data: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, count=size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=size)
+    return counts
+
+
 def _blocks(texts: DataFrame) -> tuple[DataFrame, int, int]:
     """``texts`` with block, the number of blocks, and that of the rows."""
     total = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("size")).first()
@@ -203,22 +235,24 @@ def _frequencies(blocked: DataFrame, ranges: int) -> DataFrame:
         ids, counts = np.unique(np.concatenate(found), return_counts=True)
         limits = np.searchsorted(ids, np.array([(k << 44) // ranges for k in range(ranges + 1)], np.uint64))
         own = np.flatnonzero(np.diff(limits))
-        part = [(ids[limits[k] : limits[k + 1]].tobytes(), counts[limits[k] : limits[k + 1]].astype("<i8").tobytes()) for k in own]
+        part = [(packed_ids(ids[limits[k] : limits[k + 1]]), packed_counts(counts[limits[k] : limits[k + 1]])) for k in own]
         block = rows.column("block")[0].as_py()
+        release()
         return pa.table(
             {"block": pa.array([block] * len(own), pa.int64()), "part": pa.array(own), "ids": pa.array([x for x, _ in part], pa.binary()), "df": pa.array([x for _, x in part], pa.binary())}
         )
 
     def count(rows: pa.Table) -> pa.Table:
-        ids = [np.frombuffer(x, np.uint64) for x in rows.column("ids").to_pylist()]
+        ids = [unpacked_ids(x) for x in rows.column("ids").to_pylist()]
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-        ids = np.concatenate(ids)
+        part_ids, ids = ids, np.concatenate(ids)
         own, place = np.unique(ids, return_inverse=True)
-        times = np.concatenate([np.frombuffer(x, "<i8") for x in rows.column("df").to_pylist()])
+        times = np.concatenate([unpacked_counts(x, len(i)) for x, i in zip(rows.column("df").to_pylist(), part_ids, strict=True)])
         df = np.zeros(len(own), np.int64)
         np.add.at(df, place, times)
         df = df[place]
-        sent = [(ids[a:b][df[a:b] > 1].tobytes(), df[a:b][df[a:b] > 1].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        several = df > 1
+        sent = [(packed_ids(ids[a:b][several[a:b]]), packed_counts(df[a:b][several[a:b]])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table({"block": rows.column("block"), "ids": pa.array([x for x, _ in sent], pa.binary()), "df": pa.array([x for _, x in sent], pa.binary())})
 
     parts = blocked.select("block", "text").groupBy("block").applyInArrow(gather, "block long, part long, ids binary, df binary")
@@ -231,9 +265,20 @@ def _unpacked(frequencies: list[bytes]) -> np.ndarray:
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, copy_of (smallest id with the same words), class_id, kept for every row."""
-    spark = docs.sparkSession
-    prepare(spark)
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    rows, names = keyed(plain, nulls_first=False)
+    found = _classes(rows, threshold).withColumn("kept", F.col("id") == F.col("class_id"))
+    if names is None:
+        return found.select(F.col("id").alias("doc_id"), "copy_of", "class_id", "kept")
+    for column, told in (("id", "doc_id"), ("copy_of", "copy_name"), ("class_id", "class_name")):
+        found = found.join(names.select(F.col("id").alias(column), F.col("doc_id").alias(told)), column)
+    return found.select("doc_id", F.col("copy_name").alias("copy_of"), F.col("class_name").alias("class_id"), "kept")
+
+
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """id, copy_of, class_id for every row; an id stands for one text."""
+    prepare(rows.sparkSession)
+    texts = rows.select(F.col("id").alias("doc_id"), "text")
     blocked, blocks, documents = _blocks(texts)
     signed = settle(_signed(blocked, _frequencies(blocked, blocks), documents))
     # A table of its own: joined straight after the aggregate, a hot digest's rows could not be split.
@@ -248,17 +293,16 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     members = settle(_members(keys))
     pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     # Merge joins where texts move: the plan is the same at every size of the table.
-    asked = nodes.select("doc_id", "print", "df").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    printed = texts.withColumn("print", F.xxhash64("text"))
-    own = settle(printed.join(asked.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "df"))
+    asked = nodes.select("doc_id", "df").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = settle(texts.join(asked.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "df"))
     links = settle(_checked(pairs, own, documents, threshold))
     groups = settle(components(links))
     further = settle(_within_keys(members, own, groups, documents, threshold))
     if further.limit(1).count():
         groups = settle(components(links.unionByName(further)))
     return named.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left").select(
-        "doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id")
-    ).select("*", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        F.col("doc_id").alias("id"), "copy_of", F.coalesce("component", "copy_of").alias("class_id")
+    )
 
 
 def _members(keys: DataFrame) -> DataFrame:
@@ -271,13 +315,14 @@ def _members(keys: DataFrame) -> DataFrame:
 
 
 def _signed(blocked: DataFrame, frequencies: DataFrame, documents: int) -> DataFrame:
-    """doc_id, words (a digest of the words, or of the bytes where there are none), bands, size (its number of shingles), df (of each, packed), print."""
+    """doc_id, words (a digest of the words, or of the bytes where there are none), bands, size (its number of shingles), df (of each, packed)."""
 
     def sign(texts: pa.Table, known: pa.Table) -> pa.Table:
         import hashlib
 
-        several = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in known.column("ids").to_pylist()]])
-        counted = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x, "<i8") for x in known.column("df").to_pylist()]])
+        told = [unpacked_ids(x) for x in known.column("ids").to_pylist()]
+        several = np.concatenate([np.empty(0, np.uint64), *told])
+        counted = np.concatenate([np.empty(0, np.int64), *[unpacked_counts(x, len(i)) for x, i in zip(known.column("df").to_pylist(), told, strict=True)]])
         order = np.argsort(several)
         several, counted = np.append(several[order], ~U(0)), np.append(counted[order], 1)
         out = []
@@ -296,14 +341,14 @@ def _signed(blocked: DataFrame, frequencies: DataFrame, documents: int) -> DataF
             packed = [zlib.compress(df[a:b].astype("<i8").tobytes(), 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             out.append(
                 pa.Table.from_arrays(
-                    [rows.column("doc_id"), pa.array(words, pa.binary()), bands, pa.array(np.diff(bounds)), pa.array(packed, pa.binary()), rows.column("print")],
-                    names=["doc_id", "words", "bands", "size", "df", "print"],
+                    [rows.column("doc_id"), pa.array(words, pa.binary()), bands, pa.array(np.diff(bounds)), pa.array(packed, pa.binary())],
+                    names=["doc_id", "words", "bands", "size", "df"],
                 )
             )
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in SIGNED})
 
-    sides = blocked.withColumn("print", F.xxhash64("text")).groupBy("block").cogroup(frequencies.groupBy("block"))
-    return sides.applyInArrow(sign, "doc_id long, words binary, bands array<long>, size long, df binary, print long")
+    sides = blocked.groupBy("block").cogroup(frequencies.groupBy("block"))
+    return sides.applyInArrow(sign, "doc_id long, words binary, bands array<long>, size long, df binary")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
@@ -322,7 +367,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, documents: int, threshold: floa
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"), F.col("df").alias("df_one"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two"), F.col("df").alias("df_two"))
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return both.select("a", "b", "one", "two", "df_one", "df_two").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "one", "two", "df_one", "df_two").mapInArrow(released(check), "a long, b long")
 
 
 def _weighted(flat: np.ndarray, offsets: np.ndarray, frequencies: pa.Array, documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -438,6 +483,8 @@ def _forest(own: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of one document of each group, with all their columns; those without an id go by one answer for all of them."""
-    stay = classes(docs, threshold=threshold).where("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["__stays"]), "left_semi")
+    """The rows of one document of each group, with all their columns."""
+    plain = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, _ = keyed(plain, nulls_first=False)
+    stay = _classes(rows.select("id", "text"), threshold).where("id = class_id").select("id").distinct()
+    return rows.join(stay.hint("merge"), "id", "left_semi").select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from eventlens.llm.samples import CHUNK, held_out, labelled_chunks
-from eventlens.llm.texts import prepare, slices
+from eventlens.llm.texts import prepare, released, slices
 
 BLOCK = CHUNK // 2
 WIDTH = 4
@@ -175,17 +175,19 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores(net, flat, offsets))], names=["doc_id", "score"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, score double").select(
+    return read.mapInArrow(released(run), "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, net: Network) -> DataFrame:
-    """The rows that score at least CUTOFF, with all their columns: one pass, no shuffle."""
+    """The rows that score at least CUTOFF, with all their columns: one pass, no shuffle. Only texts go to Python, and answers come back."""
     prepare(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, flat, offsets in slices(batches, size=STEP):
-            yield rows.filter(pa.array(scores(net, flat, offsets) >= CUTOFF))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        found = [scores(net, flat, offsets) >= CUTOFF for _, flat, offsets in slices(iter([batch]), size=STEP)]
+        return pa.array(np.concatenate([np.empty(0, bool), *found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col("text").cast("string")))

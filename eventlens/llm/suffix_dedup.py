@@ -21,9 +21,10 @@ cut to the parts where repeats end or differ, by fingerprints that lose nothing:
 
 Removed bytes are the union of the repeats, judged on the input alone.
 
-Cases: null counts as empty; texts under LENGTH bytes never lose a byte. Order is (doc_id, start); a null id
-comes first. Rows that repeat an id with its text are one document, each reported. An empty table gives an
-empty result. Other columns may have any name.
+Cases: null counts as empty; texts under LENGTH bytes never lose a byte. Order is (doc_id, start). Rows that
+repeat an id with its text are one document, each reported; an id that comes with several texts, or none, has a
+document for each of them, in the order of their SHA-256, and rows without an id come first (``row_ids``). An empty
+table gives an empty result. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from eventlens.llm.near_dedup import mixed, powers
-from eventlens.llm.texts import prepare, slices, spread
+from eventlens.llm.row_ids import keyed
+from eventlens.llm.texts import prepare, released, slices, spread
 from eventlens.session import settle
 
 LENGTH = 100
@@ -57,7 +59,6 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACE_BITS = 24
-NO_ID = -(1 << 63)
 
 
 class Fingerprints:
@@ -393,20 +394,16 @@ def _windows_by_content(strings: DataFrame) -> DataFrame:
 
 def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """id, first, stop: spans that cover all bytes to remove. ``texts`` has id (not null) and text."""
-    rows = texts.mapInArrow(_runs_of, "anchor long, whole long, id long, place long")
+    rows = texts.mapInArrow(released(_runs_of), "anchor long, whole long, id long, place long")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "id", "place")
-    settled = settle(ordered.mapInArrow(_settled_runs, RUNS))
+    settled = settle(ordered.mapInArrow(released(_settled_runs), RUNS))
     whole = settled.where("span").select("id", F.col("place").alias("first"), (F.col("place") + F.col("size")).alias("stop"))
     open_ = settled.where("not span").groupBy("id").agg(F.collect_list(F.struct("anchor", "place")).alias("open"))
-    strings = settle(texts.join(open_.hint("merge"), "id").select("id", "text", "open").mapInArrow(_strings, STRINGS))
+    strings = settle(texts.join(open_.hint("merge"), "id").select("id", "text", "open").mapInArrow(released(_strings), STRINGS))
     crowded = strings.groupBy("anchor", "core").count().where(F.col("count") > hot).select("anchor", "core")
     few = strings.join(crowded, ["anchor", "core"], "left_anti").repartition("anchor", "core").sortWithinPartitions("anchor", "core")
     many = strings.join(crowded, ["anchor", "core"], "left_semi")
-    return whole.unionByName(few.mapInArrow(_merged, "id long, first long, stop long")).unionByName(_windows_by_content(many))
-
-
-def _id(column: str) -> Column:
-    return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(NO_ID))
+    return whole.unionByName(few.mapInArrow(released(_merged), "id long, first long, stop long")).unionByName(_windows_by_content(many))
 
 
 def _kept(rows: pa.RecordBatch, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -438,7 +435,8 @@ def _with_spans(docs: DataFrame, texts: DataFrame, hot: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     prepare(docs.sparkSession)
-    texts = docs.select(_id(id_column).alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    rows_, _ = keyed(plain, nulls_first=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, flat, offsets in slices(batches):
@@ -448,12 +446,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             digests = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
             sizes = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), pa.array(sizes), pa.array(sizes - np.diff(left)), pa.array(spans), pa.array(digests, pa.string())],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [rows.column("doc_id"), pa.array(sizes), pa.array(sizes - np.diff(left)), pa.array(spans), pa.array(digests, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    done = _with_spans(texts, texts, hot).mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = _with_spans(rows_, rows_.select("id", "text"), hot)
+    return done.mapInArrow(released(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -462,8 +460,8 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     A character that loses some of its bytes goes whole. A null text stays null.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    wide = docs.select(F.struct("*").alias("row"), _id("doc_id").alias("id"), F.col("text"))
+    plain = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wide, _ = keyed(plain, nulls_first=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, flat, offsets in slices(batches):
@@ -474,8 +472,8 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             new = [data[a:b].decode("utf-8", "ignore") if v else None for a, b, v in zip(left, left[1:], valid, strict=False)]
             yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(new, pa.string())], names=["row", "text"])
 
-    joined = _with_spans(wide, texts, hot)
+    joined = _with_spans(wide.drop("doc_id"), wide.select("id", "text"), hot)
     schema = joined.select("row", "text").schema
-    done = joined.mapInArrow(finish, schema)
+    done = joined.mapInArrow(released(finish), schema)
     fresh = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return done.select(*[fresh[c].alias(c) if fresh.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,9 +17,35 @@ SLICE_BYTES = 16 << 20
 Cut = Callable[[np.ndarray], np.ndarray]
 
 
+# Bytes of an Arrow batch, but for a single row that is longer.
+BATCH_BYTES = 32 << 20
+
+
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of long texts has to fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, after which the worker gives back the memory that it no longer uses; Spark keeps workers for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # Only glibc has it; elsewhere freed memory goes back by itself or stays.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from eventlens.llm import components, near_dedup, suffix_dedup
+from eventlens.llm import components, exact_dedup, near_dedup, suffix_dedup
 from tests.llm.conftest import ODD
 
 
@@ -274,3 +274,44 @@ def test_document_frequencies_are_counted_exactly(spark, monkeypatch):
     df = Counter(x for own in sets.values() for x in own)
     for r in found:
         assert sorted(near_dedup._unpacked([r.df]).tolist()) == sorted(df[x] for x in sets[r.doc_id])
+
+
+def passages(seed):
+    """Texts without common parts: P, A and B, and T with one of many words changed."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    p, a, b = (" ".join(word() for _ in range(60)) for _ in range(3))
+    words = [word() for _ in range(80)]
+    changed = [*words[:40], "changed", *words[41:]]
+    return p, a, b, " ".join(words), " ".join(changed)
+
+
+def test_spans_belong_to_one_text_of_an_id(documents):
+    p, a, b, *_ = passages(1)
+    for one, two in ((5, 5), (None, None), (None, 7)):
+        rows = [(1, p), (one, a + p), (two, b), (two, b)]
+        found = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(documents(rows)).collect())
+        # Rows without an id come first, so there the first passage stays and the one of id 1 goes.
+        first = one is None
+        want = Counter([(1, len(p), len(p) if first else 0), (one, len(a + p), 0 if first else len(p)), (two, len(b), 0), (two, len(b), 0)])
+        assert found == want
+    kept = suffix_dedup.without_repeats(documents([(1, p), (5, a + p), (5, b), (None, p), (None, b)])).collect()
+    # Of the two rows without an id both come first, and so theirs stay.
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, p), (None, b), (1, ""), (5, a), (5, "")])
+
+
+def test_near_copies_without_ids_and_of_repeated_ids(documents):
+    *_, b, text, changed = passages(2)
+    found = near_dedup.classes(documents([(None, text), (4, changed), (9, b)])).collect()
+    assert Counter((r.doc_id, r.class_id, r.kept) for r in found) == Counter([(4, 4, True), (None, 4, False), (9, 9, True)])
+    rows = [(3, text), (4, changed), (4, b), (4, b), (None, b + " and more"), (None, None), (None, "")]
+    found = Counter((r.doc_id, r.class_id, r.kept) for r in near_dedup.classes(documents(rows)).collect())
+    # The other text of id 4 is a class of its own, with the near copy that has no id; the empty texts are one row's.
+    assert found == Counter([(3, 3, True), (4, 3, False), (4, 4, True), (4, 4, True), (None, 4, False), (None, None, True), (None, None, True)])
+    kept = near_dedup.drop_near_copies(documents(rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(3, text), (4, b), (4, b), (None, None), (None, "")])
+
+
+def test_exact_copies_of_an_id_with_two_texts(documents):
+    kept = exact_dedup.drop_exact_copies(documents([(5, "copy"), (9, "Copy"), (5, "own"), (None, "own"), (None, "x")])).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(9, "Copy"), (5, "own"), (None, "x")])
