@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.llm.texts import after_blank, distinct_pieces, lowered, plain_word, prepare, slices, spread, word_starts
+from eventlens.llm.texts import after_blank, distinct_pieces, lowered, plain_word, prepare, released, slices, spread, word_starts
 from eventlens.session import settle
 
 CAPACITY = 2048
@@ -159,6 +159,7 @@ def pack(
                     found.append((piece, start, len(part) // 4, zlib.crc32(part)))
             names.append(rows.column("doc_id").take(pa.array(source, pa.int64())))
             numbers.append(np.array(found, np.int64))
+        encoder(path).known.clear()
         if names:
             all_numbers = np.concatenate(numbers)
             bins, places, fills = best_fit(all_numbers[:, 2], capacity)
@@ -166,7 +167,7 @@ def pack(
             yield _rows(pa.concat_arrays(names), all_numbers, bins + base, places, fills[bins])
 
     read = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    packed = settle(read.mapInArrow(first, schema))
+    packed = settle(read.mapInArrow(released(first), schema))
     done = packed.where(F.col("fill") >= capacity - SLACK).select(*COLUMNS)
     loose = packed.where(F.col("fill") < capacity - SLACK)
     left, number = loose.where(F.col("offset") == 0).count(), 0
@@ -177,7 +178,7 @@ def pack(
         done = done.unionByName(packed.where(F.col("fill") >= capacity - SLACK).select(*COLUMNS))
         loose = packed.where(F.col("fill") < capacity - SLACK)
         before, left = left, loose.where(F.col("offset") == 0).count()
-        if groups == 1 or left > 0.99 * before:
+        if groups == 1 or left == before:
             return done.unionByName(loose.select(*COLUMNS))
     return done
 
