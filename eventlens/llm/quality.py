@@ -33,8 +33,6 @@ PER_LABEL = 2000
 # Passes over the sample, and batches at least: a small sample is passed more often.
 EPOCHS = 16
 STEPS = 1200
-# One in so many good chunks is also learned from by its start alone.
-SHORT = 4
 BATCH = 64
 RATE = 0.004
 # Bytes of text per step of a task: blocks and their answers take some twenty times as much.
@@ -100,10 +98,8 @@ def fit(chunks: dict[int, list[bytes]], seed: int = 7) -> Network:
     if not chunks.get(0) or not chunks.get(1):
         return {"constant": np.array(1.0 if chunks.get(1) else 0.0 if chunks.get(0) else 0.5)}
     rng = np.random.default_rng(seed)
-    # Few labelled texts are short; starts of good chunks stand in for more of them.
-    short = [t[: int(n)] for t, n in zip(chunks[1][::SHORT], rng.integers(1, 120, len(chunks[1])), strict=False)]
-    texts = chunks[0] + chunks[1] + short
-    target = np.repeat([0.0, 1.0], [len(chunks[0]), len(chunks[1]) + len(short)]).astype(np.float32)
+    texts = chunks[0] + chunks[1]
+    target = np.repeat([0.0, 1.0], [len(chunks[0]), len(chunks[1])]).astype(np.float32)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     block, bounds = blocks(flat, offsets)

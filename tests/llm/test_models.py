@@ -117,3 +117,11 @@ def test_samples_are_bounded(documents, rows):
     found = labelled_chunks(docs.select("doc_id", "text"), labels, rows)
     assert set(found) == {0, 1}
     assert all(0 < len(c) <= PER_TEXT * rows and all(len(x) <= CHUNK for x in c) for c in found.values())
+
+
+def test_quality_finds_both_labels(spark):
+    """Held-out rows of a table with a few hundred bad labelled texts: most are bad or good by name, so each label counts by itself."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.score(docs, quality.learn(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    for label, least in ((0, 0.88), (1, 0.98)):
+        assert np.mean([r.predicted == label for r in found if r.quality == label]) > least
