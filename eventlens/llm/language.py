@@ -5,8 +5,9 @@ machines; then every pair of its languages has a machine of its own, and the lan
 (ties: larger sum of margins, then the name). All machines are linear in the shares, so the tasks add up one
 row of weights per byte and never build a feature vector.
 
-Fitting takes chunks of at most ``ROWS`` rows over all languages (``samples``). Languages missing from
-``FAMILIES`` form families of their own. At most ``LANGUAGES`` languages, the most frequent ones, are learned.
+Fitting takes chunks of at most ``ROWS`` rows over all languages, shared evenly, but ``LEAST`` of each language
+however many there are (``samples``). Every language is learned; those missing from ``FAMILIES`` form families of
+their own.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; so is every text when nothing could be
 learned. With one language learned it is predicted with score 1. Repeated rows are predicted each; an empty
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.llm.samples import PER_TEXT, held_out, labelled_chunks
+from eventlens.llm.samples import held_out, labelled_chunks
 from eventlens.llm.texts import lowered, prepare, slices, spread
 
 FAMILIES = {
@@ -32,8 +33,8 @@ FAMILIES = {
     **dict.fromkeys(("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"), "slavic"),
     **dict.fromkeys(("fi", "et", "hu"), "uralic"),
 }
-ROWS = 4000
-LANGUAGES = 100
+ROWS = 2000
+LEAST = 2
 # Hashed byte triples.
 FEATURES = 4096
 EPOCHS = 12
@@ -166,14 +167,12 @@ def learn(docs: DataFrame, families: dict[str, str] | None = None) -> Model:
     prepare(docs.sparkSession)
     marks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
     marks = marks.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    top = marks.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES)
-    languages = [r.label for r in top.collect()]
+    languages = marks.agg(F.count_distinct("label").alias("n")).first().n
     if not languages:
         return fit({}, families)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.col("text").rlike(r"\p{L}"))
-    per_label = max(1, ROWS // (PER_TEXT // 2) // len(languages))
-    return fit(labelled_chunks(texts, marks.where(F.col("label").isin(languages)), per_label), families)
+    return fit(labelled_chunks(texts, marks, max(LEAST, ROWS // languages)), families)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

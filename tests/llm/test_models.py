@@ -125,3 +125,12 @@ def test_quality_finds_both_labels(spark):
     found = quality.score(docs, quality.learn(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     for label, least in ((0, 0.88), (1, 0.98)):
         assert np.mean([r.predicted == label for r in found if r.quality == label]) > least
+
+
+def test_rare_languages_are_learned(spark):
+    """More languages than rows could be shared evenly among; each has an alphabet of its own."""
+    rows = [(60 * lang + i, "".join(chr(0x4E00 + 40 * lang + (7 * i + j) % 40) for j in range(60)), f"l{lang:03}") for lang in range(110) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, language.learn(docs)).collect()}
+    assert len(set(found.values())) == 110
+    assert np.mean([found[i] == lang for i, _, lang in rows]) > 0.95
