@@ -7,16 +7,21 @@ tree is grown in its own task, and the forest is a table of at most ``trees * 51
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens.operators.ranked import first_ranked
 from eventlens.session import settle
 
+# Tasks get the masks with their code, so that workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the model.
 TREES = 100
 SAMPLE = 256

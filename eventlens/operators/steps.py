@@ -7,14 +7,18 @@ other partitions need, so a group may lie in any number of them.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import types as T
 
+# Tasks get these functions with their code, so that workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EDGE = (
     "chunk: int, number: bigint, first: array<string>, last: array<string>, first_us: bigint, last_us: bigint, "
     "n: bigint, s: bigint, q: double, hi: bigint, lo: bigint"

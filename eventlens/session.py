@@ -16,6 +16,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Short lists per scope are collected in many groups at once; beyond this many, tasks sort instead.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
     return spark
 
 

@@ -288,3 +288,11 @@ def test_html_shows_texts_as_they_are(spark):
 def test_records_of_events(spark):
     row = sources.event_records(frame(spark, [{"command": "ls"}]), ["event_id", "command", "username"], "2024-01-01 00:00:00").first()
     assert json.loads(row["event"]) == {"event_id": 0, "command": "ls", "username": None} and row["source"] == "hybrid_detector"
+
+
+def test_content_ids_of_small_and_large_doubles(spark):
+    values = [0.00012345678901234567, 0.0001, 0.00099999, -0.0005, 1e-4 / 3, 9.999e-5, 1e7, 123456789012345.6, -98765432.1, 1e15, 9007199254740993.0, 1.5e16, 0.001, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "d double").select("d", F.struct("d").alias("s"))
+    for r in df.select("d", content_id(F.col("s"), df.schema["s"].dataType).alias("v")).collect():
+        text = json.dumps({"d": r["d"]})
+        assert r["v"] == hashlib.sha256(text.encode()).hexdigest()[:12], text
