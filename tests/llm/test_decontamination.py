@@ -64,7 +64,7 @@ def mixed(rnd, items, vocabulary):
     return rnd.choice([" ", ", ", "\n"]).join(w.upper() if rnd.random() < 0.3 and w.isascii() else w for w in out)
 
 
-@pytest.mark.parametrize("seed,letters,short", [(1, 3, True), (2, 40, False), (3, 500, True), (4, 1, True)])
+@pytest.mark.parametrize("seed,letters,short", [(1, 3, True), (2, 40, False), (4, 1, True)])
 def test_query_equals_brute_force(spark, documents, monkeypatch, seed, letters, short):
     rnd = random.Random(seed)
     vocabulary = [f"w{i}é" if i % 3 else f"{i}" for i in range(letters)]

@@ -64,7 +64,7 @@ def run(spark, rows, monkeypatch):
     return Counter(map(tuple, queries.QUERIES["op11_merkle_manifest"](spark, "").collect()))
 
 
-@pytest.mark.parametrize("sources", [1, 2, 3, 4, 11])
+@pytest.mark.parametrize("sources", [1, 4, 11])
 def test_query_equals_climbing_every_tree(spark, monkeypatch, sources):
     rnd = random.Random(sources)
     names = [None, "é", "z", "", "Z", *[f"s{i}" for i in range(20)]][:sources]
@@ -78,7 +78,7 @@ def test_query_equals_climbing_every_tree(spark, monkeypatch, sources):
     assert run(spark, rows, monkeypatch) == Counter(expected(rows))
 
 
-@pytest.mark.parametrize("count", [0, 1, 2, 3, 4, 9, 10, 28])
+@pytest.mark.parametrize("count", [0, 1, 3, 10])
 def test_single_trees_of_every_shape(spark, monkeypatch, count):
     rows = [(i, f"t\n{i}", "en", "s", i) for i in range(count)]
     assert run(spark, rows, monkeypatch) == Counter(expected(rows) if rows else [])
