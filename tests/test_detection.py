@@ -309,6 +309,17 @@ def test_metric_drift(spark):
     assert drift.drift_detected(got.where("false")).first()[0] is False
 
 
+def test_metric_drift_query_compares_lines_below_a_quantity_with_the_rest(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    # Predicted: A below 15, N below 30, else R. A quantity of null is on neither side.
+    lines = [("A", 1.0), ("N", 10.0), ("N", 20.0), ("N", 24.0), ("N", 25.0), ("R", 40.0), ("R", 50.0), ("A", 45.0), ("R", None)]
+    spark.createDataFrame(lines, "l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["metric"]: (r["drift"], r["exceeds"], r["drift_detected"]) for r in queries()["metric_drift"](spark, str(tmp_path)).collect()}
+    low, high = (0.5 + 3 * 1) / 4, (0 + 1 + 2 * 2 / 3) / 4
+    assert got == {"precision": (pytest.approx(low - high, abs=1e-6), True, True), "recall": (0.0, False, True)}
+
+
 def test_newest_per_group_and_last(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "m string, timestamp int")
     assert sorted(tuple(r) for r in drift.newest(df, 2, ["m"], tie="m").collect()) == [("a", 3), ("a", 4), ("b", 9)]
