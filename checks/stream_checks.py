@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from checks.detection_checks import BY_HAND_SQL, by_hand
@@ -21,20 +23,28 @@ def _stream(spark, sf):
     return project(stream_table(spark, sf, table(spark, sf, "events").schema, "events.parquet"))
 
 
-# A stream that comes in parts: so many parts, each of so many files.
-PARTS, FILES = 4, 2
+# A stream that comes in parts: so many parts, each of as many files of about so many rows as it takes, but of so many at least.
+PARTS, FILES, FILE_ROWS = 4, 2, 250_000
+
 
+def _parts(spark, sf, change=lambda df: df, file_rows=FILE_ROWS):
+    """All events in parts of rising times, cut at quantiles of the table, one part per micro-batch. ``change`` edits the raw table.
 
-def _parts(spark, sf, change=lambda df: df):
-    """All events in parts of rising times, cut at quantiles of the table, one part per micro-batch. ``change`` edits the raw table."""
+    A part is written and read by as many tasks as it has files, so their number grows with the table.
+    """
     path = new_path(spark, "event-parts")
     raw = change(table(spark, sf, "events"))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = raw.select(at.cast("double").alias("at")).approxQuantile("at", [i / PARTS for i in range(1, PARTS)], 0.01)
     part = sum((F.coalesce(at >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    files = max(FILES, ceil(raw.count() / (PARTS * file_rows)))
     for i in range(PARTS):
-        raw.where(part == i).repartition(FILES).write.mode("append").parquet(path)
-    return project(stream_table(spark, path, raw.schema, files_per_batch=FILES))
+        rows = raw.where(part == i)
+        rows.repartition(files).write.mode("append").parquet(path)
+        # A part of few rows leaves files out. Empty ones stand in, or its batch would take files of the next part.
+        for _ in range((i + 1) * files - len(spark.read.schema(raw.schema).parquet(path).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return project(stream_table(spark, path, raw.schema, files_per_batch=files))
 
 
 FIELDS = ("event_type", "username", "process_name", "source_ip", "destination_ip", "alert_level", "command", "file_path", "protocol", "syscall")

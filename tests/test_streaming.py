@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import pytest
 from helpers import START, frame
 from pyspark.sql import functions as F
@@ -155,3 +157,32 @@ def test_stream_equals_batch_transitions(spark):
     df = frame(spark, rows)
     want = ordered.transition_counts(df, [], ["timestamp", "event_id"], {"e": F.col("event_type")})
     assert sum(r["n"] for r in want.collect()) == 49
+
+
+def batches_of_parts(spark, folder, times, **options):
+    """Per micro-batch of the check's stream over events at these seconds: its rows and the files that hold them."""
+    from checks import stream_checks
+
+    rows = [(i, None if at is None else START + timedelta(seconds=at), i, "view", 1.0, '{"k": 1}') for i, at in enumerate(times)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/events.parquet")
+    stream = stream_checks._parts(spark, folder, **options).withColumn("file", F.input_file_name())
+    found = {}
+
+    def count(batch, number):
+        found[number] = tuple(batch.agg(F.count("*"), F.count_distinct("file")).first())
+
+    sinks.finish(sinks.run_batches(stream, count, new_path(spark, "parts-state")))
+    return [found[i] for i in sorted(found)]
+
+
+def test_files_of_a_part_grow_with_the_table(spark, tmp_path):
+    got = batches_of_parts(spark, str(tmp_path), range(400), file_rows=20)
+    assert len(got) == 4 and sum(n for n, _ in got) == 400
+    assert [files for _, files in got] == [5] * 4
+
+
+@pytest.mark.parametrize("times", [[0] * 20 + [7200], [None] * 12 + [0, 4000, 8000], [0, 4000, 8000]], ids=["ties", "nulls", "few"])
+def test_a_part_without_rows_takes_no_files_of_the_next(spark, tmp_path, times):
+    got = batches_of_parts(spark, str(tmp_path), times)
+    assert len(got) == 4 and sum(n for n, _ in got) == len(times)
